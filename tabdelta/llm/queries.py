@@ -9,11 +9,28 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import importance as _importance
+from . import jaccard_join as _jaccard_join
 from . import language_id as _language_id
+from . import license_scan as _license_scan
+from . import line_dedup as _line_dedup
 from . import lm_scoring as _lm_scoring
+from . import packing as _packing
+from . import pseudonyms as _pseudonyms
 from . import quality_rules as _quality_rules
 
 
+#: Id that ends a packed document.
+END_ID = 1
+#: Key of the query's pseudonyms; a real run passes a secret.
+PSEUDONYM_KEY = "tabdelta-example-key"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +44,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), clean_labels(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -35,6 +56,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _importance.resample(table(spark, sf_dir, "documents"), clean_labels(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license_scan.scan(table(spark, sf_dir, "documents"), _license_scan.template_table(spark))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup.remove_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,17 +80,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_license_scan": op5_license_scan,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_packing": op7_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(_license_scan.NOTICES))
+_PLAIN = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
     "op8_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_FOLD.format('text'))} AS w FROM documents WHERE text IS NOT NULL),
@@ -68,5 +113,37 @@ n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*)::DOUBLE / any_value(n_item) AS containment
 FROM ds JOIN s USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
+""",
+    "op2_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({_WORDS.format(_FOLD.format('text'))}, []) AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS k FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+3], ' ') AS s FROM k),
+n AS (SELECT d.doc_id, count(s.s) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.low FROM r JOIN g ON g.a = r.doc_id)
+SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(low) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id
+""",
+    "op5_license_scan": f"""
+WITH t(template, license, text) AS (VALUES {_NOTICES}),
+tw AS (SELECT template, license, {_PLAIN} AS w FROM t),
+dw AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL),
+ts AS (SELECT DISTINCT template, license, array_to_string(w[k:k+2], ' ') AS s FROM (SELECT template, license, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS k FROM tw)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS k FROM dw)),
+n AS (SELECT template, count(*) AS n_template FROM ts GROUP BY template)
+SELECT doc_id, template::INTEGER AS template, license, count(*) AS n_shared, any_value(n_template) AS n_template, count(*)::DOUBLE / any_value(n_template) AS containment
+FROM ds JOIN ts USING (s) JOIN n USING (template) GROUP BY doc_id, template, license HAVING count(*) >= 0.95 * any_value(n_template)
+""",
+    "op6_line_dedup": r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS pos, trim(unnest(ls), E' \t\x0b\f\r') AS line FROM d),
+g AS (SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 10),
+x AS (SELECT doc_id, list(pos) AS gone FROM l JOIN g USING (line) WHERE doc_id <> first.doc_id OR pos <> first.pos GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda y, i: NOT list_contains(gone, i)), chr(10)) END AS text,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """,
 }

@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Odd base of the polynomial byte hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -126,3 +127,11 @@ def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it.
+
+    Inside the function of a ``transform`` an expression would be evaluated for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
