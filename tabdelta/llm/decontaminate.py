@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textkit import map_text, mix64, window_hashes, words_of
 
 #: One-row MinHash bands.
@@ -137,6 +138,7 @@ def decontaminate(
     return out
 
 
-def remove_contaminated(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents without the ones named in ``pairs``; rows with a null id stay."""
-    return docs.join(pairs.select(id_col).distinct(), id_col, "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without those that ``decontaminate`` pairs with an item; rows with a null id stay."""
+    pairs = decontaminate(docs, items, id_col, text_col, **options)
+    return docs.join(Scratch(docs.sparkSession, "decontaminate").save(pairs.select(id_col).distinct()), id_col, "left_anti")

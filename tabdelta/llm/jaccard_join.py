@@ -394,4 +394,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the row of the lowest id of each component only; rows with a null id stay."""
     found = jaccard_components(docs, id_col, text_col, width, num, den)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(Scratch(docs.sparkSession, "jaccard").save(gone), id_col, "left_anti")

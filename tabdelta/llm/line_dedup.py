@@ -90,3 +90,14 @@ def remove_spread_lines(
     lost = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(parts) - F.size(left))
     counted = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(words))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], counted.cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"))
+
+
+def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with its own columns after the removal.
+
+    Documents of which no word is left go; ``chars_col``, if there is one, counts the new text.
+    """
+    clean = remove_spread_lines(docs, id_col, text_col, site_col, **options)
+    emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
+    chars = F.when(F.col("n_removed") > 0, F.length(text_col).cast("long")).otherwise(F.col(chars_col)) if chars_col in docs.columns else None
+    return clean.where(~emptied).select(*[chars.alias(c) if c == chars_col else F.col(c) for c in docs.columns if c in clean.columns])

@@ -4,7 +4,7 @@ A document goes where the squared numbers of open sequences per residual gap, su
 over all gaps, become smallest; that keeps many different gaps open for what comes.
 
 Pieces are dealt by a hash into groups of about ``GROUP`` pieces, and each group is
-packed on its own, longest piece first.  A group costs a few sequences that aren't
+packed on its own, in the better of two orders.  A group costs a few sequences that aren't
 full at most, so the loss against packing everything at once is a fraction of a
 percent at any size, and no task holds more than one group.
 """
@@ -29,16 +29,17 @@ CAPACITY = 4096
 #: Pieces packed together, about.
 GROUP = 16_384
 #: Words whose ids a worker keeps.
-_KNOWN = 300_000
+_KNOWN = 500_000
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts under a tokenizer that drops white space.
+    """Token ids of texts under a tokenizer that drops white space and lower-cases.
 
     Such a tokenizer treats what stands between spaces on its own, so a worker encodes
-    each distinct word once and keeps its ids.
+    each distinct word once and keeps its ids.  New words of letters alone are encoded many
+    at a time and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -47,6 +48,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        ends = sorted(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
+        self.marks = dict(zip(".,", self._apart([".", ","]), strict=True))
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -54,15 +59,44 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [np.array(f.ids, "<u4").tobytes() for f in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        out: list[bytes] = []
+        blocks = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for block, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(x) for x in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            last = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+            if len(last) != len(block):  # a letter that falls apart when lower-cased
+                out += self._apart(block)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in last.tolist():
+                out.append(data[at:end])
+                at = end
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        known, marks = self.known, self.marks
+        letters = {w for w in new if w.isalpha()}
+        marked = {w for w in new - letters if w[-1:] in marks and w[:-1].isalpha()}
+        stems = letters.union(w[:-1] for w in marked if w[:-1] not in known)
+        for words, encode in ((list(stems), self._together), (list(new - letters - marked), self._apart)):
+            known.update(zip(words, encode(words), strict=True))
+        known.update({w: known[w[:-1]] + marks[w[-1]] for w in marked})
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        # A-Z are folded first, so that a word is kept once; the tokenizer folds the rest
+        parts = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > _KNOWN:
             self.known.clear()
         known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        new = {w for p in parts for w in p if w not in known}
+        if new:
+            self._learn(new)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
@@ -141,9 +175,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     place = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", *names[:2]], ascending=[False, True, True], kind="stable")
-        sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=rows["_group"] * (1 << 32) + sequence, offset=offset).drop(columns="_group")
+        # longest first, or as dealt: neither order is best for all mixes of lengths
+        longest = rows.sort_values(["length", *names[:2]], ascending=[False, True, True], kind="stable")
+        dealt = rows.sort_values(["ids_crc32", *names[:2]], kind="stable") if "ids_crc32" in names else longest
+        tries = [(order, *sum_of_squares(order["length"].to_numpy(), capacity)) for order in (longest, dealt)]
+        order, sequence, offset = min(tries, key=lambda t: t[1].max())
+        return order.assign(sequence_id=order["_group"] * (1 << 32) + sequence, offset=offset).drop(columns="_group")
 
     return dealt.groupBy("_group").applyInPandas(run, f"{place}, sequence_id long, offset long")
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import Scratch
 from .textkit import map_text, window_hashes
@@ -66,16 +67,18 @@ def count_text(text: str | None) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), ended, len(distinct), plain, marked
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id and the counts of its whole text."""
-    kind = dict(docs.dtypes)[id_col]
+def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row of ``docs`` with the counts of its whole text; they replace columns of their names."""
+    base = docs.drop(*_NAMES)
+    at = base.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [count_text(t) for t in batch.column(1).to_pylist()]
+        rows = [count_text(t) for t in batch.column(at).to_pylist()]
         columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *_NAMES])
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *_NAMES])
 
-    return map_text(docs.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"{id_col} {kind}, {COUNTS}")
+    schema = StructType([*base.schema.fields, *(StructField(n, LongType()) for n in _NAMES)])
+    return map_text(base, run, schema, text_col)
 
 
 def _ratio(top: str, bottom: str) -> Column:
@@ -150,8 +153,31 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, fl
     return LabelModel(good, bad, prior)
 
 
+def learn(counts: DataFrame, rules: list[Rule]) -> LabelModel:
+    """Fit the label model to a table of counts; combinations of votes reach the driver with their numbers."""
+    names = [r.name for r in rules]
+    seen = counts.select(*[r.vote().alias(r.name) for r in rules]).groupBy(*names).count().collect()
+    votes = np.array([[r[n] for n in names] for r in seen]).reshape(-1, len(rules))
+    return fit_label_model(votes, np.array([r["count"] for r in seen], float))
+
+
+def verdicts(counts: DataFrame, rules: list[Rule], model: LabelModel, least: float) -> DataFrame:
+    """``counts`` with the votes, ``base_failed``, the posterior ``p_quality`` and ``kept``."""
+    votes = [r.vote().alias(f"vote_{r.name}") for r in rules]
+    odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
+    for rule, g, b in zip(rules, model.good, model.bad, strict=True):
+        vote = F.col(f"vote_{rule.name}")
+        odds = odds + F.when(vote == 1, float(np.log(g / (1 - b)))).when(vote == 0, float(np.log((1 - g) / b))).otherwise(0.0)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (
+        counts.select("*", *votes, failed.alias("base_failed"))
+        .withColumn("p_quality", 1 / (1 + F.exp(-odds)))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= least))
+    )
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, least: float = 0.5) -> DataFrame:
-    """Counts, rule votes, posterior quality and verdict for each row of ``docs``.
+    """Id, counts, rule votes, posterior quality and verdict of each row of ``docs``.
 
     ``base_failed`` marks texts with fewer than 50 words or with more than half of
     their words in repeated 3-word windows; they are never kept.  Others are kept if
@@ -162,18 +188,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     result.  Further columns of ``docs`` are ignored.
     """
     rules = default_rules() if rules is None else rules
-    scratch = Scratch(docs.sparkSession, "quality_rules")
-    counts = scratch.save(text_counts(docs, id_col, text_col))
-    votes = [r.vote().alias(f"vote_{r.name}") for r in rules]
-    names = [f"vote_{r.name}" for r in rules]
-    seen = counts.select(*votes).groupBy(*names).count().collect()
-    model = fit_label_model(np.array([[r[n] for n in names] for r in seen]).reshape(-1, len(rules)), np.array([r["count"] for r in seen], float))
-    odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for name, g, b in zip(names, model.good, model.bad, strict=True):
-        odds = odds + F.when(F.col(name) == 1, float(np.log(g / (1 - b)))).when(F.col(name) == 0, float(np.log((1 - g) / b))).otherwise(0.0)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        counts.select("*", *votes, failed.alias("base_failed"))
-        .withColumn("p_quality", 1 / (1 + F.exp(-odds)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= least))
-    )
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
+    counts = Scratch(docs.sparkSession, "quality_rules").save(with_counts(texts).drop("text"))
+    return verdicts(counts, rules, learn(counts, rules), least)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Texts are counted once to learn the accuracies and once to judge, so no text is shuffled.
+    """
+    rules = default_rules() if rules is None else rules
+    model = learn(with_counts(docs.select(F.col(text_col).alias("text"))), rules)
+    marked = F.struct(*docs.columns)
+    judged = verdicts(with_counts(docs.select(F.col(text_col).alias("_text"), marked.alias("_row")), "_text"), rules, model, least)
+    return judged.where("kept").select("_row.*")
+
+
