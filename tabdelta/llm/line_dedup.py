@@ -9,15 +9,21 @@ from it for the sketch to decide.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import Scratch
+from .textkit import map_text
 
 #: Log of the number of registers of a sketch: a standard error of 1.6 %.
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: over ten standard errors.
 NEAR = 0.2
+#: Spread lines up to this number are broadcast.
+BROADCAST_LINES = 200_000
+_BLANK = " \t\x0b\x0c\r"
 
 
 def line_keys(line: Column) -> list[Column]:
@@ -26,16 +32,16 @@ def line_keys(line: Column) -> list[Column]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """``doc, site, pos, k1, k2`` of each line with a word, blank space around it taken off."""
+    """``doc, site, pos, line, k1, k2`` of each line with a word, blank space around it taken off."""
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
     )
     line = _trimmed(F.col("line"))
-    return rows.where(line != "").select("doc", "site", "pos", *line_keys(line))
+    return rows.where(line != "").select("doc", "site", "pos", line.alias("line"), *line_keys(line))
 
 
 def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\u000b\u000c\r"))
+    return F.btrim(line, F.lit(_BLANK))
 
 
 def spread_lines(lines: DataFrame, least: int) -> DataFrame:
@@ -61,6 +67,7 @@ def remove_spread_lines(
     site_col: str = "source",
     least: int = 10,
     keep_first: bool = True,
+    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """``docs`` without lines found on ``least`` or more sites; also ``n_lines`` and ``n_removed``.
 
@@ -69,6 +76,9 @@ def remove_spread_lines(
     occurrence of a line, by document id and position, stays, so that what many
     sites copy is left once.  A null site is a site of its own.
 
+    Up to ``broadcast_lines`` such lines are sent to the executors, and no text is shuffled;
+    beyond that their places are joined to the documents.
+
     Null and empty texts stay as they are, with 0 lines.  Rows with a null id stay
     as they are and their lines don't count.  Rows repeated with the same id count as one
     document: a first occurrence stays in each of them.  All columns of ``docs`` stay, but
@@ -77,11 +87,48 @@ def remove_spread_lines(
     scratch = Scratch(docs.sparkSession, "line_dedup")
     lines = lines_of(docs, id_col, text_col, site_col)
     spread = scratch.save(spread_lines(lines, least))
+    base = docs.drop("n_lines", "n_removed")
+    if spread.count() <= broadcast_lines:
+        return _removed_by_text(base, lines, spread, id_col, text_col, keep_first)
+    return _removed_by_place(base, scratch, lines, spread, id_col, text_col, keep_first)
+
+
+def _removed_by_text(base: DataFrame, lines: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
+    """Removal with the spread lines at hand in each task."""
+    first = lines.join(F.broadcast(spread), ["k1", "k2"]).where((F.col("doc") == F.col("first.doc")) & (F.col("pos") == F.col("first.pos")))
+    known = base.sparkSession.sparkContext.broadcast({r["line"]: (r["doc"], r["pos"]) for r in first.select("line", "doc", "pos").distinct().collect()})
+    at, key = base.columns.index(text_col), base.columns.index(id_col)
+
+    def clean(doc, text: str | None) -> tuple[str | None, int, int]:
+        if doc is None or not text:
+            return text, 0, 0
+        left, count, places = [], 0, known.value
+        parts = text.split("\n")
+        for pos, part in enumerate(parts):
+            line = part.strip(_BLANK)
+            count += bool(line)
+            place = places.get(line) if line else None
+            if place is None or (keep_first and place == (doc, pos)):
+                left.append(part)
+        return "\n".join(left), count, len(parts) - len(left)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [clean(d, t) for d, t in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), strict=True)]
+        text, count, lost = zip(*rows, strict=True)
+        columns = list(batch.columns)
+        columns[at] = pa.array(text, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(lost, pa.int64())], [*batch.schema.names, "n_lines", "n_removed"])
+
+    schema = StructType([*base.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return map_text(base, run, schema, text_col)
+
+
+def _removed_by_place(base: DataFrame, scratch: Scratch, lines: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
+    """Removal by a join of the places of spread lines with the documents."""
     hits = lines.join(spread, ["k1", "k2"])
     if keep_first:
         hits = hits.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
     gone = scratch.save(hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "k1")).alias("_gone")))
-    base = docs.drop("n_lines", "n_removed")
     joined = base.join(gone.withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left")
     parts = F.split(text_col, "\n")
     words = F.filter(parts, lambda x: _trimmed(x) != "")

@@ -29,8 +29,9 @@ def brute(rows, least):
     return out
 
 
+@pytest.mark.parametrize("broadcast_lines", [0, 1000])
 @pytest.mark.parametrize("least", [3, 10])
-def test_matches_brute_force(spark, rng, least):
+def test_matches_brute_force(spark, rng, least, broadcast_lines):
     common = [f"common line {k}" for k in range(12)]
     rows = []
     for i in range(300):
@@ -39,7 +40,7 @@ def test_matches_brute_force(spark, rng, least):
         rows.append((i, "\n".join(lines), f"s{i % 15}" if i % 17 else None))
     rows += [(400, None, "s1"), (401, "", "s1"), (402, "\n \n", None), (None, common[0], "s2"), rows[5]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = remove_spread_lines(docs, least=least)
+    got = remove_spread_lines(docs, least=least, broadcast_lines=broadcast_lines)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute(rows, least), key=str)
 
 
