@@ -17,10 +17,12 @@ own.  Parts hold two to four shingles on average, so few documents meet by chanc
 
 Documents with the same set are one class, found by its hash of 128 bits, and only
 classes are searched and linked, so copies cost nothing further.  What is wanted of
-links is who reaches whom: in each round a cell gives every class the lowest few
-survivors in other components that weren't tried before, so a group of a thousand near copies
-makes a few thousand pairs, not a million.  Rounds end when no survivor is left untried
-between components, so no link between them is missed.
+links is who reaches whom, so classes seek partners in rounds, as in Boruvka's
+construction of a spanning forest: each class tries the few survivors in other components
+that the bound takes to be most alike and that weren't tried before, and more of them each
+round.  A group of a thousand near copies so makes a few thousand pairs, not a million.
+Rounds end when no survivor is left untried between components, so no link between them is
+missed.
 """
 
 from __future__ import annotations
@@ -33,19 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, broadcast_if_small
 from .textkit import map_text, mix64, shingle_set, slices
 
 #: Coordinates of a point.
-GROUPS = 64
+GROUPS = 128
 #: Points in a leaf and children of a node.
 LEAF = 16
 #: Sets smaller than this have parts of a single shingle each.
 SMALL = 64
 #: Members of a cell indexed in one tree.
 CHUNK = 2048
-#: Untried survivors of a class that a cell gives out in a round.
-TRIES = 4
+#: Untried survivors that a class tries in the first round, and how many times as many in each further one.
+TRIES, MORE = 3, 4
+#: Classes of a cell that ask at a time; bounds the survivors held.
+ASKING = 256
+#: Ids up to which texts to verify are picked by a broadcast; beyond it by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Members up to which cells are compared by their members.
 _SHORT = 64
 
@@ -67,11 +73,14 @@ class Similarity:
         return -(-self.num * total // (self.num + self.den))
 
     def parts(self, level: int) -> int:
-        """Log of the number of parts of sets of 2 ** level to 2 ** (level + 1) shingles; -1: one part a shingle."""
-        need = (self.den - self.num) / self.num / 0.72
-        if 1 << level < SMALL or need > 0.6:
-            return -1
-        return level + 1 + int(np.ceil(np.log2(max(need, 1 / 64))))
+        """The number of parts of sets of 2 ** level to 2 ** (level + 1) shingles; 0: one part a shingle.
+
+        At most 0.72 of the parts are needed, so that enough of them hold a shingle.
+        """
+        need = self.differ(2 << level) + 1
+        if 1 << level < SMALL or self.num * 5 < self.den * 3:
+            return 0
+        return -(-need * 100 // 72)
 
     def levels(self, n: int) -> list[int]:
         """The size class of a set, and the next one if sets in it can be similar."""
@@ -88,16 +97,16 @@ def cell_keys(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
     most = sim.differ(n) + 1
     out = {}
     for level in sim.levels(n):
-        bits = sim.parts(level)
-        if bits in out:
+        parts = sim.parts(level)
+        if parts in out:
             continue
-        if bits < 0:
-            out[bits] = mix64(shingles[:most] + np.uint64(1))
+        if not parts:
+            out[parts] = mix64(shingles[:most] + np.uint64(1))
             continue
-        part = shingles >> np.uint64(64 - bits)  # in order, as the hashes are
+        part = (shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # in order, as the hashes are
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         held = np.add.reduceat(mix64(shingles), first)[:most]
-        out[bits] = mix64(held ^ mix64((part[first][:most] << np.uint64(6)) | np.uint64(bits)))
+        out[parts] = mix64(held ^ mix64((part[first][:most] << np.uint64(32)) | np.uint64(parts)))
     return np.concatenate(list(out.values()))
 
 
@@ -122,8 +131,8 @@ class RTree:
             rows = rows[np.argsort(held[:, int(np.ptp(held, axis=0).argmax())], kind="stable")]
         return high, least, None, [self._node(p, depth + 1) for p in np.array_split(rows, min(LEAF, -(-len(rows) // LEAF)))]
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (rows of the queries, rows of the tree) whose bound allows a link."""
+    def search(self, points: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (rows of the queries, rows of the tree) whose bound allows a link, and the bound."""
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             (high, least, rows, below), asking = todo.pop()
@@ -136,19 +145,19 @@ class RTree:
                 continue
             bound = np.minimum(points[asking][:, None, :], self.points[rows][None, :, :]).sum(axis=2)
             q, x = np.nonzero(bound >= sim.overlap(sizes[asking][:, None] + self.sizes[rows][None, :]))
-            yield asking[q], rows[x]
+            yield asking[q], rows[x], bound[q, x]
 
 
 def _features(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
-    """``id, n, cls, check, keys``: size and 128-bit hash of each set, and its cells.
+    """``id, n, cls, check, point, keys``: size, 128-bit hash and point of each set, and its cells.
 
-    A task gives the cells of a set only once.
+    A task gives the point and cells of a set only once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in (p for batch in batches for p in slices(batch, "text")):
-            size, cls, check, keys = [], [], [], []
+            size, cls, check, points, keys = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingle_set(text, width)
                 a, b = _set_hash(s)
@@ -158,12 +167,13 @@ def _features(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
                 size.append(len(s))
                 cls.append(a)
                 check.append(b)
+                points.append(point(s) if new else None)
                 keys.append(cell_keys(s, sim).view(np.int64) if new else None)
-            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "cls", "check", "keys"])
+            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "cls", "check", "point", "keys"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, cls long, check long, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, cls long, check long, point array<int>, keys array<long>")
 
 
 def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -230,55 +240,67 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``cls, n, point, shingles`` of documents."""
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``cls, n, shingles`` of the classes in ``wanted(cls, id)``, made anew from the texts of these ids."""
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
-        columns = [
-            pa.array([_set_hash(s)[0] for s in found], pa.int64()),
-            pa.array([len(s) for s in found], pa.int64()),
-            pa.array([point(s) for s in found], pa.list_(pa.int32())),
-            pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["cls", "n", "point", "shingles"])
+        rows = []
+        for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s = shingle_set(text, width)
+            if _set_hash(s)[0] == cls:  # else another text with the same id
+                rows.append((cls, len(s), s.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [(), (), ()], schema.types, strict=True)], schema=schema)
 
-    return map_text(docs.select("text"), run, "cls long, n long, point array<int>, shingles array<long>")
+    found = texts.join(broadcast_if_small(wanted, BROADCAST_IDS), "id")
+    return map_text(found.select("cls", "text"), run, "cls long, n long, shingles array<long>")
 
 
-def _survivors(members: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs ``a < b`` to try next from rows of cells, sorted by ``cell, chunk, cls``."""
+def _survivors(members: DataFrame, sim: Similarity, tries: int) -> DataFrame:
+    """``q, x, alike, cell`` from rows of cells sorted by ``cell, chunk``.
 
-    def of_cell(cell: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
-        comp = cell["comp"].to_numpy()
-        if (comp == comp[0]).all():
-            return None
-        cls, size = cell["cls"].to_numpy(), cell["n"].to_numpy()
-        points = np.array(cell["point"].to_pylist(), np.int32).reshape(len(cls), GROUPS)
-        asks, indexed = cell["asks"].to_numpy(), cell["indexed"].to_numpy()
-        tried = {(int(c), t) for c, ts in zip(cls, cell["tried"].to_pylist(), strict=True) for t in ts or ()}
-        query, rows = np.flatnonzero(asks), np.flatnonzero(indexed)
-        if not len(query) or not len(rows):
+    For each asking class ``q`` the ``tries`` survivors ``x`` in other components, not tried yet,
+    with the highest Jaccard similarities that the bound allows; the lowest of equals first.
+    """
+
+    def alike(bound: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return bound / np.maximum(total - bound, 1)
+
+    def of_pairs(t: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cells of two members all at once; each asks for the other."""
+        points, size = t["point"], t["n"]
+        bound, total = np.minimum(points[at], points[at + 1]).sum(axis=1), size[at] + size[at + 1]
+        fits = (bound >= sim.overlap(total)) & (t["comp"][at] != t["comp"][at + 1])
+        at, near = at[fits], alike(bound[fits], total[fits])
+        a, b, cell = t["cls"][at], t["cls"][at + 1], t["cell"][at]
+        return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([near, near]), np.concatenate([cell, cell])
+
+    def of_cell(t: dict[str, np.ndarray], tried: list[list[int] | None]) -> tuple[np.ndarray, ...] | None:
+        comp, cls, points, size = t["comp"], t["cls"], t["point"], t["n"]
+        query, rows = np.flatnonzero(t["asks"]), np.flatnonzero(t["indexed"])
+        if (comp == comp[0]).all() or not len(query) or not len(rows):
             return None
+        past = {(int(c), x) for c, ts in zip(cls, tried, strict=True) for x in ts or ()}
         tree = RTree(points[rows], size[rows])
-        left, right = [], []
-        for q, x in tree.search(points[query], size[query], sim):
-            q, x = query[q], rows[x]
-            other = comp[q] != comp[x]
-            left.append(q[other])
-            right.append(x[other])
-        if not left:
-            return None
-        q, x = np.concatenate(left), np.concatenate(right)
-        low, high = np.minimum(cls[q], cls[x]), np.maximum(cls[q], cls[x])
-        if tried:
-            new = np.array([(h, lo) not in tried for h, lo in zip(high.tolist(), low.tolist(), strict=True)], bool)
-            q, x, low, high = q[new], x[new], low[new], high[new]
-        order = np.lexsort((cls[x], q))
-        q, low, high = q[order], low[order], high[order]
-        start = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - start < TRIES
-        return low[keep], high[keep]
+        out: list[tuple[np.ndarray, ...]] = []
+        for first in range(0, len(query), ASKING):
+            asking = query[first : first + ASKING]
+            found = list(tree.search(points[asking], size[asking], sim))
+            if not found:
+                continue
+            q, x, bound = (np.concatenate(c) for c in zip(*found, strict=True))
+            q, x = asking[q], rows[x]
+            new = comp[q] != comp[x]
+            q, x, bound = q[new], x[new], bound[new]
+            if past:
+                new = np.array([(max(i, j), min(i, j)) not in past for i, j in zip(cls[q].tolist(), cls[x].tolist(), strict=True)], bool)
+                q, x, bound = q[new], x[new], bound[new]
+            near = alike(bound, size[q] + size[x])
+            order = np.lexsort((cls[x], -near, q))
+            q, x, near = q[order], x[order], near[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < tries
+            out.append((cls[q[keep]], cls[x[keep]], near[keep], np.full(int(keep.sum()), t["cell"][0])))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -286,29 +308,38 @@ def _survivors(members: DataFrame, sim: Similarity) -> DataFrame:
             if batch is not None:
                 table = pa.Table.from_batches([batch])
                 held = table if held is None else pa.concat_tables([held, table])
-                if held.num_rows < 10_000 and batch.num_rows < 10_000:
-                    continue
             if held is None or not held.num_rows:
                 continue
             held = held.combine_chunks()
-            cell, chunk = held["cell"].to_numpy(), held["chunk"].to_numpy()
-            cut = np.flatnonzero((cell[1:] != cell[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            bounds = [0, *cut.tolist()] + ([held.num_rows] if batch is None else [])
-            out = [of_cell(held.slice(i, j - i)) for i, j in zip(bounds, bounds[1:], strict=False)]
-            held = held.slice(bounds[-1])
-            pairs = [x for x in out if x is not None]
-            if pairs:
-                a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return members.mapInArrow(run, "a long, b long")
+            t = {n: held[n].to_numpy() for n in ("cell", "chunk", "cls", "comp", "n", "asks", "indexed")}
+            t["point"] = held["point"].chunk(0).flatten().to_numpy().reshape(-1, GROUPS)
+            tried = held["tried"]
+            cut = np.flatnonzero((t["cell"][1:] != t["cell"][:-1]) | (t["chunk"][1:] != t["chunk"][:-1])) + 1
+            bounds = np.array([0, *cut.tolist()] + ([held.num_rows] if batch is None else []))
+            sizes = np.diff(bounds)
+            two = bounds[:-1][sizes == 2]
+            plain = np.array([not (tried[i].is_valid or tried[i + 1].is_valid) for i in two.tolist()], bool) if len(two) else np.zeros(0, bool)
+            both = plain & t["asks"][two] & t["asks"][two + 1] & t["indexed"][two] & t["indexed"][two + 1] if len(two) else plain
+            out = [of_pairs(t, two[both])]
+            done = set(two[both].tolist())
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if j - i > 1 and i not in done:
+                    found = of_cell({n: v[i:j] for n, v in t.items()}, tried.slice(i, j - i).to_pylist())
+                    if found is not None:
+                        out.append(found)
+            held = held.slice(int(bounds[-1]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "x", "alike", "cell"])
+
+    return members.mapInArrow(run, "q long, x long, alike double, cell long")
 
 
 def _members(cells: DataFrame, labels: DataFrame | None, tried: DataFrame | None) -> DataFrame:
     """Rows of cells for a round: who asks, who is indexed, and in which chunk of the cell.
 
-    At first everyone asks in the own chunk, and the cell's lowest class is indexed in
-    every chunk; later those outside that class's component ask in every chunk.
+    At first everyone asks in the own chunk, where the cell's lowest class is indexed too;
+    later those outside that class's component ask in every chunk.
     """
     rows = cells
     if labels is None:
@@ -330,9 +361,17 @@ def _members(cells: DataFrame, labels: DataFrame | None, tried: DataFrame | None
     everywhere = head if first else outside
     rows = rows.withColumn("own", own).withColumn("chunk", F.explode(F.when(everywhere & (chunks > 1), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("own"))))
     here = F.col("chunk") == F.col("own")
-    asks = here & ~head if first else outside
+    asks = here if first else outside
     indexed = F.lit(True) if first else here
-    return rows.select("cell", "chunk", "cls", "comp", "n", "point", "tried", asks.alias("asks"), indexed.alias("indexed"))
+    return rows.select("cell", "chunk", "cls", "comp", "tried", asks.alias("asks"), indexed.alias("indexed"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """``a, b, linked`` by the exact overlap of the sets."""
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (sim.den * both >= sim.num * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -353,31 +392,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "jaccard")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = scratch.save(_features(texts, width, sim))
-    sets = known.select("id", "n", "cls", "check")
+    sets = scratch.save(known.select("id", "n", "cls", "check"))
 
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = known.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "cls")
     shared = _shared_cells(keyed.repartition(partitions, "key").sortWithinPartitions("key", "cls"))
     cells = scratch.save(shared.distinct())
-    wanted = scratch.save(sets.join(cells.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("id")))
-    held = scratch.save(_sets(texts.join(wanted.select("id").distinct(), "id"), width).join(wanted.select("cls"), "cls"))
-    members = scratch.save(cells.join(held.select("cls", "n", "point"), "cls"))
+    met = known.where(F.col("point").isNotNull()).select("cls", "id", "n", "point").join(cells.select("cls").distinct(), "cls")
+    classes = scratch.save(met.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")))
+    scratch.drop(known)
 
     tried: DataFrame | None = None
     labels: DataFrame | None = None
+    big = scratch.save(cells.groupBy("cell").count().where(F.col("count") > CHUNK).select("cell"))
+    live, tries = cells, TRIES
     while True:
-        rows = _members(members, labels, tried)
-        found = _survivors(rows.repartition(partitions, "cell", "chunk").sortWithinPartitions("cell", "chunk", "cls"), sim)
-        pairs = scratch.save(found.distinct())
-        if pairs.isEmpty():
+        rows = _members(live, labels, tried).join(classes.select("cls", "n", "point"), "cls")
+        found = scratch.save(_survivors(rows.repartition(partitions, "cell", "chunk").sortWithinPartitions("cell", "chunk"), sim, tries))
+        ranked = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("alike")).alias("far"), "x"))), 1, tries).alias("best"))
+        chosen = ranked.select("q", F.explode("best.x").alias("x"))
+        pairs = scratch.save(chosen.select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b")).distinct())
+        if pairs.isEmpty() and (labels is not None or big.isEmpty()):
             break
-        left, right = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        checked = pairs.join(left, "a").join(right, "b").select("a", "b", (den * both >= num * (F.col("na") + F.col("nb") - both)).alias("linked"))
-        done = scratch.save(checked)
+        wanted = classes.select("cls", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+        shingles = scratch.save(_sets(texts, wanted, width))
+        done = scratch.save(_verified(pairs, shingles, sim))
+        scratch.drop(shingles)
         tried = done if tried is None else scratch.save(tried.unionAll(done))
-        links = tried.where("linked")
-        labels = components(links, scratch)
+        if labels is None or not done.where("linked").isEmpty():
+            labels = components(tried.where("linked"), scratch)
+        tries *= MORE
+        # only cells that had survivors can have more; large ones were searched in parts
+        live = scratch.save(live.join(found.select("cell").unionAll(big).distinct(), "cell", "left_semi"))
 
     if labels is None:
         named = sets.withColumn("comp", F.lit(None).cast("long"))

@@ -78,6 +78,13 @@ def test_large_groups_in_chunks(docs_of, rng, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
 
 
+def test_hub_of_copies_that_are_not_alike(docs_of, rng):
+    base = words(rng, 200)
+    rows = [(900, " ".join(base))] + [(i, " ".join(near(rng, base, 5))) for i in range(120)]
+    got = J.jaccard_components(docs_of(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
+
+
 def test_similar_sets_always_share_a_cell():
     r = np.random.default_rng(3)
     for num, den in ((85, 100), (80, 100), (9, 10), (1, 2)):
@@ -99,7 +106,7 @@ def test_tree_finds_all_that_the_bound_allows():
     base = r.poisson(3, (40, J.GROUPS))
     points = np.repeat(base, 10, axis=0) + r.poisson(0.1, (400, J.GROUPS))
     sizes = points.sum(axis=1)
-    found = {(int(a), int(b)) for q, x in J.RTree(points, sizes).search(points, sizes, sim) for a, b in zip(q, x, strict=True)}
+    found = {(int(a), int(b)) for q, x, _ in J.RTree(points, sizes).search(points, sizes, sim) for a, b in zip(q, x, strict=True)}
     bound = np.minimum(points[:, None], points[None]).sum(axis=2)
     want = bound >= sim.overlap(sizes[:, None] + sizes[None])
     assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True)) and 400 < len(found) < 160_000
