@@ -31,7 +31,7 @@ PATTERNS = {
     "iso_date": r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![\w-])",
     "day_date": r"(?<![\w/.])(?:0[1-9]|[12][0-9]|3[01])[/.](?:0[1-9]|1[0-2])[/.](?:19|20)[0-9]{2}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -152,14 +152,7 @@ def _card(key: str, m: Column) -> Column:
 
 def _phone(key: str, m: Column) -> Column:
     number = F.substr(_digits(m), F.length(_digits(m)) - 9)
-    area, exchange, line = (F.substring(number, *x).cast("long") for x in ((1, 3), (4, 3), (7, 4)))
-    new = permute(key, "phone", ((area - 200) * 800 + exchange - 200) * 10_000 + line, 640_000, 10_000)
-
-    def digits_of(n: Column) -> Column:
-        front = F.floor(n / 10_000)
-        return F.concat((F.floor(front / 800) + 200).cast("string"), (front % 800 + 200).cast("string"), _padded(n % 10_000, 4))
-
-    digits = let(new, digits_of)
+    digits = _padded(permute(key, "phone", number.cast("long"), 100_000, 100_000), 10)
     country = F.when(F.length(_digits(m)) == 11, F.lit("1")).otherwise("")
     return _refill(m, F.concat(country, digits), "0-9")
 

@@ -78,7 +78,7 @@ def luhn(number):
 
 VALUES = {
     "card": ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005"],
-    "phone": ["+1 (988) 555-2485", "988-555-2485", "456.555.2186"],
+    "phone": ["+1 (152) 555-8590", "+1 (988) 555-2485", "988-555-2485", "456.555.2186"],
     "ipv4": ["42.144.35.254", "0.0.0.0", "255.255.255.255"],
     "iso_date": ["1999-12-31", "2024-02-29"],
     "day_date": ["31/12/1999", "29.02.2024"],
