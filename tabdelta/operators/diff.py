@@ -40,7 +40,7 @@ def diff_pairs(pairs: DataFrame, columns: list[tuple[str, str]], old_keys: list[
     that differ, so a row without changes makes none; nothing is shuffled.
     """
     old, new = F.col("old"), F.col("new")
-    key = F.coalesce(F.nullif(F.when(new.isNotNull(), display_key([new[k] for k in new_keys])), F.lit("")), F.when(old.isNotNull(), display_key([old[k] for k in old_keys])))
+    key = F.coalesce(F.nullif(F.when(new.isNotNull(), display_key([new[k] for k in new_keys])), F.lit("")), F.when(old.isNotNull(), display_key([old[k] for k in old_keys])), F.lit(""))
 
     def one(a: Column, b: Column, name: str) -> Column:
         return F.when(~a.eqNullSafe(b), F.struct(F.lit(name).alias("column"), a.alias("old"), b.alias("new"), F.lit(name in numeric).alias("numeric")))

@@ -192,7 +192,7 @@ def if_(test: Column, then: Column, otherwise: Column | None = None) -> Column:
 
 _CELL = r"\$?[A-Z]{1,3}\$?[1-9][0-9]*"
 #: A text literal, or a cell or range with or without a sheet.
-REFERENCE = rf'"(?:[^"]|"")*"|(?<![A-Za-z0-9_.$!])(?:(?:\'(?:[^\']|\'\')+\'|[A-Za-z_][A-Za-z0-9_.]*)!)?{_CELL}(?::{_CELL})?(?![A-Za-z0-9_(])'
+REFERENCE = rf'"(?:[^"]|"")*"|(?<![A-Za-z0-9_.$!])(?:(?:\'(?:[^\']|\'\')+\'|[A-Za-z_][A-Za-z0-9_.]*)!)?{_CELL}(?::{_CELL})?(?![A-Za-z0-9_.(])'
 
 
 def references(formulas: DataFrame) -> DataFrame:

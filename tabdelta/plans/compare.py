@@ -250,6 +250,7 @@ SELECT count(*) FILTER (n.k IS NULL OR trim(o.n_name) <> trim(n.n_name)) + count
     "q_key_duplicates": "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem",
     "q_key_uniqueness": "SELECT 0 AS combo, round(count(DISTINCT (l_orderkey, l_linenumber))::DOUBLE / count(*), 6) AS uniq FROM lineitem UNION ALL SELECT 1, round(count(DISTINCT (l_orderkey, l_partkey))::DOUBLE / count(*), 6) FROM lineitem UNION ALL SELECT 2, round(count(DISTINCT (l_orderkey, l_linenumber, l_partkey))::DOUBLE / count(*), 6) FROM lineitem",
     "q_key_detect_single": "SELECT 'o_orderkey' AS columns, 'key' AS mode, 'high' AS confidence, 0::BIGINT AS duplicates",
+    "q_key_detect_composite": "SELECT 'l_orderkey,l_partkey' AS columns, 'composite' AS mode, 'medium' AS confidence, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicates FROM lineitem",
     "q_column_match": "SELECT * FROM (VALUES ('Invoice No', 'invoice no.', 'matched'), ('Rate (₹)', 'Rate', 'matched'), ('GST %', 'GST %', 'matched'), ('Customer Name', 'Customer Nme', 'renamed'), ('Old Column', NULL, 'removed'), (NULL, 'Fresh', 'added')) AS t(old, new, status)",
     "q_sheet_pair_similarity": "SELECT * FROM (VALUES ('region', 'region', 1.0::DOUBLE), ('region', 'nation', 0.0::DOUBLE), ('nation', 'region', 0.0::DOUBLE), ('nation', 'nation', 1.0::DOUBLE)) AS t(old, new, score)",
     "q_header_row": "SELECT 3::BIGINT AS header_row",

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.values import EMPTY, NUMBER, STRING, cell, parse_numeric_text
 
+#: Where windows-1252 has other characters than ISO 8859-1, which Spark reads: both sides of a translation.
+_OTHER = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_WESTERN = tuple("".join(side) for side in zip(*_OTHER, strict=True))
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -65,7 +68,9 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
         encoding = "windows-1252" if any(r["e"] != "UTF-8" for r in whole) else "UTF-8"
     if delimiter is None:
         delimiter = detect_delimiter([r["value"] for r in spark.read.text(path).limit(200).collect()])
-    return spark.read.csv(path, sep=delimiter, encoding=encoding, multiLine=True, quote='"', escape='"', header=False, inferSchema=False)
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    rows = spark.read.csv(path, sep=delimiter, encoding="ISO-8859-1" if western else encoding, multiLine=True, quote='"', escape='"', header=False, inferSchema=False)
+    return rows.select(*[F.translate(c, *_WESTERN).alias(c) for c in rows.columns]) if western else rows
 
 
 def csv_cell(text: Column) -> Column:
