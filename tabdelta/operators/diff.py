@@ -23,6 +23,12 @@ class Diff:
     row_states: DataFrame
     cell_changes: DataFrame
 
+    def persist(self) -> Diff:
+        """Keep states and changes, for results that read them more than once."""
+        self.row_states.persist()
+        self.cell_changes.persist()
+        return self
+
     def counts(self) -> DataFrame:
         return change_counts(self.row_states, self.cell_changes)
 

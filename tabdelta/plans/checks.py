@@ -84,7 +84,7 @@ def q_cell_findings(spark, sf):
 def q_findings_ranked(spark, sf):
     """Findings of all checks that a comparison alone gives, in order, without their texts."""
     old, new = orders_pair(spark, sf)
-    diff = _diff(spark, sf)
+    diff = _diff(spark, sf).persist()
     keys = [x.select(F.col("o_orderkey").cast("string").alias("key")) for x in (old, new)]
     return K.ranked(K.run_checks(diff, *keys)).select("rule", "severity", "key", "column")
 
@@ -92,7 +92,7 @@ def q_findings_ranked(spark, sf):
 def q_counts_full(spark, sf):
     old, new = orders_pair(spark, sf)
     keys = [x.select(F.col("o_orderkey").cast("string").alias("key")) for x in (old, new)]
-    return K.severity_counts(K.run_checks(_diff(spark, sf), *keys, extra=[q_chk04(spark, sf)]))
+    return K.severity_counts(K.run_checks(_diff(spark, sf).persist(), *keys, extra=[q_chk04(spark, sf)]))
 
 
 def q_touched_rows(spark, sf):

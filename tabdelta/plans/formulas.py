@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import BOOLEAN, EMPTY, NUMBER, STRING, cell
 from ..operators import formulas as X
+from ..operators.impact import extended_ranges
 from ..sources.snapshots import as_cells
 from .fixtures import table
 
@@ -111,6 +112,12 @@ def q_chk02(spark, sf):
     return X.short_totals(rows, tables).select("id", "sheet", "first_missing", "last_missing")
 
 
+def q_extend_ranges(spark, sf):
+    rows = spark.range(1, 30).select("id", F.lit("Summary").alias("sheet"), F.concat(F.lit("SUM(Register!$D$2:$D$"), F.col("id").cast("string"), F.lit(")")).alias("formula"))
+    tables = spark.createDataFrame([("Register", 1, 20, 0, 3)], "sheet string, data_start int, data_end int, c_first int, c_last int")
+    return extended_ranges(rows, tables)
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _M = "SELECT o_orderkey, o_orderkey % 10 AS k, CASE WHEN o_orderkey % 10 = 2 THEN 1.0::DOUBLE WHEN o_orderkey % 10 > 2 THEN o_totalprice END AS x FROM orders"
@@ -135,5 +142,6 @@ ORACLE_SQL = {
     "q_formula_translate": f"""WITH t AS ({_ROWS}) SELECT id, CASE n % 5 WHEN 0 THEN 'SUM(D2:D' || ({_END} + 1) || ')'
 WHEN 1 THEN 'IF(' || coalesce('A' || {_AT}, '#REF!') || '="A1",' || coalesce('B$' || {_AT}, '#REF!') || '*2,Other!C3)' ELSE coalesce('B' || {_AT}, '#REF!') || '*' || coalesce('$C' || {_AT}, '#REF!') END AS formula FROM t""",
     "q_formula_equivalent": f"WITH t AS ({_ROWS}) SELECT id, id % 20 <> 0 AS same FROM t WHERE n % 5 <> 1",
+    "q_extend_ranges": "SELECT id, 'D' || id AS range_end, 'D21' AS new_end FROM range(1, 30) AS t(id) WHERE id - 1 < 20 AND (id - 1 - 1 + 1) / 20.0 >= 0.5",
     "q_chk02": "SELECT id, 'Register' AS sheet, CAST(id AS INT) AS first_missing, 20 AS last_missing FROM range(1, 30) AS t(id) WHERE id - 1 < 20 AND (id - 1 - 1 + 1) / 20.0 >= 0.5",
 }
