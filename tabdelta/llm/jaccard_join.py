@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
-Tokens (hashes of word shingles) are dealt into ``GROUPS`` groups, and a document is the
-point of its group counts.  The overlap of two documents is at most the sum of the
+Tokens (hashes of word shingles) are dealt into groups, about as many as the document has
+tokens, and a document is the point of its group counts.  The overlap of two documents is at most the sum of the
 coordinate minima of their points, and the overlap of a document with any in a box at
 most that with the box's upper corner.  An R-tree over the points prunes by this bound,
 and pairs that survive are verified on their exact sets.
@@ -38,8 +38,8 @@ from .components import components
 from .scratch import Scratch, broadcast_if_small
 from .textkit import map_text, mix64, shingle_set, slices
 
-#: Coordinates of a point.
-GROUPS = 128
+#: Logs of the least and the greatest number of groups.
+FEWEST, MOST = 6, 12
 #: Points in a leaf and children of a node.
 LEAF = 16
 #: Sets smaller than this have parts of a single shingle each.
@@ -110,9 +110,27 @@ def cell_keys(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
     return np.concatenate(list(out.values()))
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    """Shingles in each group."""
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point(shingles: np.ndarray) -> bytes:
+    """Shingles in each group, as bytes; two a group from 2 ** 19 shingles on."""
+    n = len(shingles)
+    groups = 1 << min(max((n - 1).bit_length(), FEWEST), MOST)
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(_width(n)).tobytes()
+
+
+def _width(n: int) -> str:
+    return "<u1" if n < 1 << 19 else "<u2"
+
+
+def folded(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points as rows of one matrix, with the fewest groups among them.
+
+    Groups go by the low bits of the hash, so the halves of a point add up to the point of half
+    as many groups.
+    """
+    held = [np.frombuffer(x, _width(n)) for x, n in zip(points, sizes.tolist(), strict=True)]
+    groups = min(map(len, held))
+    return np.stack([x if len(x) == groups else x.reshape(-1, groups).sum(axis=0, dtype=np.uint16) for x in held]).astype(np.uint16)
 
 
 class RTree:
@@ -128,7 +146,7 @@ class RTree:
             return high, least, rows, None
         if depth:  # tiles of the widest coordinate
             held = self.points[rows]
-            rows = rows[np.argsort(held[:, int(np.ptp(held, axis=0).argmax())], kind="stable")]
+            rows = rows[np.argsort(held[:, int((held.max(axis=0) - held.min(axis=0)).argmax())], kind="stable")]
         return high, least, None, [self._node(p, depth + 1) for p in np.array_split(rows, min(LEAF, -(-len(rows) // LEAF)))]
 
     def search(self, points: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,14 +154,14 @@ class RTree:
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             (high, least, rows, below), asking = todo.pop()
-            bound = np.minimum(points[asking], high).sum(axis=1)
+            bound = np.minimum(points[asking], high).sum(axis=1, dtype=np.int64)
             asking = asking[bound >= sim.overlap(sizes[asking] + least)]
             if not len(asking):
                 continue
             if below is not None:
                 todo += [(node, asking) for node in below]
                 continue
-            bound = np.minimum(points[asking][:, None, :], self.points[rows][None, :, :]).sum(axis=2)
+            bound = np.minimum(points[asking][:, None, :], self.points[rows][None, :, :]).sum(axis=2, dtype=np.int64)
             q, x = np.nonzero(bound >= sim.overlap(sizes[asking][:, None] + self.sizes[rows][None, :]))
             yield asking[q], rows[x], bound[q, x]
 
@@ -169,11 +187,11 @@ def _features(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
                 check.append(b)
                 points.append(point(s) if new else None)
                 keys.append(cell_keys(s, sim).view(np.int64) if new else None)
-            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "cls", "check", "point", "keys"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, cls long, check long, point array<int>, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, cls long, check long, point binary, keys array<long>")
 
 
 def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -266,20 +284,29 @@ def _survivors(members: DataFrame, sim: Similarity, tries: int) -> DataFrame:
     def alike(bound: np.ndarray, total: np.ndarray) -> np.ndarray:
         return bound / np.maximum(total - bound, 1)
 
-    def of_pairs(t: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, ...]:
+    def of_pairs(t: dict[str, np.ndarray], points: list[bytes], at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cells of two members all at once; each asks for the other."""
-        points, size = t["point"], t["n"]
-        bound, total = np.minimum(points[at], points[at + 1]).sum(axis=1), size[at] + size[at + 1]
+        size = t["n"]
+        length = np.array([len(x) for x in points], np.int64)
+        bound = np.zeros(len(at), np.int64)
+        kinds = np.stack([length[at], length[at + 1]], axis=1)
+        for kind in np.unique(kinds, axis=0) if len(at) else ():
+            some = np.flatnonzero((kinds == kind).all(axis=1))
+            rows = np.concatenate([at[some], at[some] + 1])
+            both = folded([points[i] for i in rows.tolist()], size[rows])
+            bound[some] = np.minimum(both[: len(some)], both[len(some) :]).sum(axis=1, dtype=np.int64)
+        total = size[at] + size[at + 1]
         fits = (bound >= sim.overlap(total)) & (t["comp"][at] != t["comp"][at + 1])
         at, near = at[fits], alike(bound[fits], total[fits])
         a, b, cell = t["cls"][at], t["cls"][at + 1], t["cell"][at]
         return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([near, near]), np.concatenate([cell, cell])
 
-    def of_cell(t: dict[str, np.ndarray], tried: list[list[int] | None]) -> tuple[np.ndarray, ...] | None:
-        comp, cls, points, size = t["comp"], t["cls"], t["point"], t["n"]
+    def of_cell(t: dict[str, np.ndarray], held: list[bytes], tried: list[list[int] | None]) -> tuple[np.ndarray, ...] | None:
+        comp, cls, size = t["comp"], t["cls"], t["n"]
         query, rows = np.flatnonzero(t["asks"]), np.flatnonzero(t["indexed"])
         if (comp == comp[0]).all() or not len(query) or not len(rows):
             return None
+        points = folded(held, size)
         past = {(int(c), x) for c, ts in zip(cls, tried, strict=True) for x in ts or ()}
         tree = RTree(points[rows], size[rows])
         out: list[tuple[np.ndarray, ...]] = []
@@ -312,19 +339,18 @@ def _survivors(members: DataFrame, sim: Similarity, tries: int) -> DataFrame:
                 continue
             held = held.combine_chunks()
             t = {n: held[n].to_numpy() for n in ("cell", "chunk", "cls", "comp", "n", "asks", "indexed")}
-            t["point"] = held["point"].chunk(0).flatten().to_numpy().reshape(-1, GROUPS)
-            tried = held["tried"]
+            points, tried = held["point"].to_pylist(), held["tried"]
             cut = np.flatnonzero((t["cell"][1:] != t["cell"][:-1]) | (t["chunk"][1:] != t["chunk"][:-1])) + 1
             bounds = np.array([0, *cut.tolist()] + ([held.num_rows] if batch is None else []))
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]
             plain = np.array([not (tried[i].is_valid or tried[i + 1].is_valid) for i in two.tolist()], bool) if len(two) else np.zeros(0, bool)
             both = plain & t["asks"][two] & t["asks"][two + 1] & t["indexed"][two] & t["indexed"][two + 1] if len(two) else plain
-            out = [of_pairs(t, two[both])]
+            out = [of_pairs(t, points, two[both])]
             done = set(two[both].tolist())
             for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if j - i > 1 and i not in done:
-                    found = of_cell({n: v[i:j] for n, v in t.items()}, tried.slice(i, j - i).to_pylist())
+                    found = of_cell({n: v[i:j] for n, v in t.items()}, points[i:j], tried.slice(i, j - i).to_pylist())
                     if found is not None:
                         out.append(found)
             held = held.slice(int(bounds[-1]))

@@ -103,15 +103,23 @@ def test_similar_sets_always_share_a_cell():
 def test_tree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(4)
     sim = J.Similarity(85, 100)
-    base = r.poisson(3, (40, J.GROUPS))
-    points = np.repeat(base, 10, axis=0) + r.poisson(0.1, (400, J.GROUPS))
-    sizes = points.sum(axis=1)
+    base = r.poisson(3, (40, 128))
+    points = (np.repeat(base, 10, axis=0) + r.poisson(0.1, (400, 128))).astype(np.uint16)
+    sizes = points.sum(axis=1, dtype=np.int64)
     found = {(int(a), int(b)) for q, x, _ in J.RTree(points, sizes).search(points, sizes, sim) for a, b in zip(q, x, strict=True)}
     bound = np.minimum(points[:, None], points[None]).sum(axis=2)
     want = bound >= sim.overlap(sizes[:, None] + sizes[None])
     assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True)) and 400 < len(found) < 160_000
 
 
+def test_folded_points_are_points_of_fewer_groups():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (40, 100, 1000)]
+    got = J.folded([J.point(s) for s in sets], np.array([len(s) for s in sets]))
+    want = [np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64) for s in sets]
+    assert (got == np.array(want)).all()
+
+
 def test_one_of_each(docs_of, rng):
     base = words(rng, 100)
     rows = [(5, " ".join(base)), (3, " ".join(near(rng, base, 1))), (9, " ".join(words(rng, 100))), (10, None), (11, None), (None, " ".join(base))]
