@@ -23,7 +23,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text hashed at a time; bounds the power tables and the prefix sums.
 _BLOCK = 1 << 18
 #: Bytes of text given to one call of a batch function.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _tables: list[np.ndarray] = []
 
