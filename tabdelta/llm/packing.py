@@ -4,7 +4,7 @@ A document goes where the squared numbers of open sequences per residual gap, su
 over all gaps, become smallest; that keeps many different gaps open for what comes.
 
 Pieces are dealt by a hash into groups of about ``GROUP`` pieces, and each group is
-packed on its own, in the better of two orders.  A group costs a few sequences that aren't
+packed on its own, longest piece first.  A group costs a few sequences that aren't
 full at most, so the loss against packing everything at once is a fraction of a
 percent at any size, and no task holds more than one group.
 """
@@ -28,7 +28,7 @@ from .textkit import map_text
 CAPACITY = 4096
 #: Pieces packed together, about.
 GROUP = 16_384
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps, about, in two halves: the newer half takes over words in use.
 _KNOWN = 500_000
 
 _encoders: dict[str, Encoder] = {}
@@ -48,6 +48,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ends = sorted(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
@@ -65,9 +66,8 @@ class Encoder:
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters."""
         out: list[bytes] = []
-        blocks = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for block, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(x) for x in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+        for block in (words[i : i + 256] for i in range(0, len(words), 256)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, "<u4")
             last = (np.flatnonzero(self.is_end[ids]) + 1) * 4
             if len(last) != len(block):  # a letter that falls apart when lower-cased
                 out += self._apart(block)
@@ -91,10 +91,13 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         # A-Z are folded first, so that a word is kept once; the tokenizer folds the rest
         parts = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > _KNOWN // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = {w for p in parts for w in p if w not in known}
+        if older:
+            known.update({w: older[w] for w in new if w in older})
+            new = {w for w in new if w not in known}
         if new:
             self._learn(new)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
@@ -132,9 +135,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_i
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each length, taken in the given order.
 
-    With N(g) open sequences of residual gap g, a length goes into the gap, or into a new
-    sequence, where the sum of N(g) ** 2 over 0 < g < capacity grows least or shrinks most;
-    ties go to the smallest gap.
+    With N(g) open sequences of residual gap g, a length goes into the gap where the sum of
+    N(g) ** 2 over 0 < g < capacity becomes smallest; ties go to the smallest gap.  A new
+    sequence is opened only where none that is open has room.
     """
     counts = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -144,13 +147,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for i, size in enumerate(lengths.tolist()):
         gaps = counts[size:capacity]
         used = np.flatnonzero(gaps)
-        best, gap = (2 * counts[capacity - size] + 1 if size < capacity else 0), capacity
+        gap = capacity
         if len(used):
             after = np.where(used > 0, 2 * counts[used] + 1, 0)  # a gap of 0 is closed and not counted
-            change = after - 2 * gaps[used] + 1
-            k = int(change.argmin())
-            if change[k] <= best:
-                gap = int(used[k]) + size
+            gap = int(used[(after - 2 * gaps[used] + 1).argmin()]) + size
         if gap == capacity:
             into, made = made, made + 1
         else:
@@ -175,12 +175,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     place = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # longest first, or as dealt: neither order is best for all mixes of lengths
-        longest = rows.sort_values(["length", *names[:2]], ascending=[False, True, True], kind="stable")
-        dealt = rows.sort_values(["ids_crc32", *names[:2]], kind="stable") if "ids_crc32" in names else longest
-        tries = [(order, *sum_of_squares(order["length"].to_numpy(), capacity)) for order in (longest, dealt)]
-        order, sequence, offset = min(tries, key=lambda t: t[1].max())
-        return order.assign(sequence_id=order["_group"] * (1 << 32) + sequence, offset=offset).drop(columns="_group")
+        rows = rows.sort_values(["length", *names[:2]], ascending=[False, True, True], kind="stable")
+        sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
+        return rows.assign(sequence_id=rows["_group"] * (1 << 32) + sequence, offset=offset).drop(columns="_group")
 
     return dealt.groupBy("_group").applyInPandas(run, f"{place}, sequence_id long, offset long")
 
