@@ -23,10 +23,10 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._saved: list[tuple[DataFrame, str]] = []
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         """Write ``df`` and return it read back."""
         path = f"{self.root}/{len(self._saved)}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._saved.append((table, path))
         return table

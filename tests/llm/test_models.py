@@ -70,6 +70,36 @@ def test_scores_match_brute_force(spark, docs_of, rng, odd, min_share):
     assert np.mean([by[i] for i in target]) < 0 < np.mean([by[i] for i in range(80) if i not in target])
 
 
+def whole_scores(rows, target):
+    texts = [(i, (t or "").lower().split()) for i, t in rows]
+    own = [[w for i, w in texts if m == 0 or i in target] for m in (0, 1)]
+    n = [Counter(x for w in ws for x in w) for ws in own]
+    pairs = [Counter(p for w in ws for p in zip(["<s>", *w], w, strict=False)) for ws in own]
+    follow = [Counter(h for w in ws for h in ["<s>", *w][: len(w)]) for ws in own]
+    out = []
+    for i, w in texts:
+        bits = [0.0, 0.0]
+        for h, x in zip(["<s>", *w], w, strict=False):
+            for m in (0, 1):
+                p1 = (n[m][x] + 1) / (n[m].total() + len(n[0]) + 2)
+                bits[m] -= math.log2((pairs[m][h, x] + M.PRIOR * p1) / (follow[m][h] + M.PRIOR))
+        out.append((i, len(w), (bits[1] - bits[0]) / len(w) if w else None))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [200, 8 << 20])
+def test_models_hold_every_word_and_bigram(spark, docs_of, rng, odd, monkeypatch, chunk):
+    monkeypatch.setattr(M, "CHUNK_BYTES", chunk)
+    rows = [*corpus(rng), *odd, (500, "once seen words only here"), (501, "ABC é ü c"), (502, "x" * 3000)]
+    rows.append(rows[7])
+    target = {i for i in range(80) if i % 3 == 0} | {500}
+    got = M.cross_entropy_difference(docs_of(rows), spark.createDataFrame([(i,) for i in target], "doc_id long"))
+    key = lambda r: (str(r[0]), r[1])
+    have = sorted(((r.doc_id, r.n_tokens, r.score) for r in got.collect()), key=key)
+    for a, b in zip(have, sorted(whole_scores(rows, target), key=key), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-9), (a, b)
+
+
 def test_scores_of_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long")
     assert M.cross_entropy_difference(docs_of([]), none).count() == 0
