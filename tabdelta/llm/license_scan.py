@@ -3,9 +3,9 @@
 A text is cut into overlapping windows of ``WINDOW`` word shingles in steps of half
 that, a template into overlapping segments of at most half a window, so every
 occurrence of a segment lies wholly in some window.  Windows and segments that agree
-in one of ``BANDS`` one-row MinHash bands are compared; a segment of four
-shingles, the least in use, fills a quarter of a window and goes unseen with a chance of
-about 1e-4, one of eight with 1e-10.  The template is then verified by exact containment of its shingles in the text.
+in one of ``BANDS`` one-row MinHash bands are compared; a segment of eight shingles goes unseen
+with a chance of 1e-10.  Templates of fewer than ``FEW`` shingles could be missed there, so texts with
+any of their shingles are compared.  The template is then verified by exact containment of its shingles in the text.
 
 A band can only agree if the window holds the very shingle that is a segment's minimum;
 windows without any such shingle need no signature, and the outcome is the same.
@@ -25,8 +25,27 @@ from .textkit import let
 WIDTH = 3
 WINDOW = 16
 BANDS = 32
-
-#: Openings of well-known license notices, as their publishers give them (fixed values).
+#: Notices of fewer shingles than this can go unseen in the bands; any of their shingles brings them up.
+FEW = 8
+
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
+#: Well-known license notices, short grants and full short licenses (fixed values, without apostrophes).
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
@@ -43,6 +62,42 @@ NOTICES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced"),
+    ("MIT", "Released under the MIT License"),
+    ("MIT", "Distributed under the MIT License"),
+    ("MIT", "Available under the MIT License"),
+    ("MIT", "This project is licensed under the terms of the MIT License"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Proprietary", "All rights reserved"),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"),
+    ("Apache-2.0", "Released under the Apache License 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "Released under the GNU General Public License, version 3"),
+    ("GPL-2.0", "Released under the GNU General Public License, version 2"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-4.0", "Released under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "Released under CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "Released under CC BY-NC 4.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MIT", _MIT),
+    ("ISC", _ISC),
 ]
 
 
@@ -129,18 +184,21 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     for r in rows:
         owners.setdefault(r["template"], set()).add(r["band"])
 
+    few = {t for t, (_, every) in list_all.items() if len(every) < FEW}
+    # of a text's shingles only those of some template matter in what follows
+    sought = _numbers({x for _, every in list_all.values() for x in every})
     base = docs.select(F.col(id_col), shingles(words(F.col(text_col).cast("string"))).alias("_s"))
     # signatures of the windows that hold an anchor, and of these the bands that some segment has
     windows = F.filter(_cut(F.col("_s"), WINDOW, half), lambda w: F.arrays_overlap(w, anchors))
     agreed = F.array_distinct(F.flatten(F.transform(windows, lambda w: F.array_intersect(bands(w), keys))))
-    found = base.select(id_col, "_s", F.when(F.arrays_overlap("_s", anchors), agreed).alias("_bands"))
+    found = base.select(id_col, F.array_intersect("_s", sought).alias("_held"), F.when(F.arrays_overlap("_s", anchors), agreed).alias("_bands"))
 
     def pair(template: int) -> Column:
         name, every = list_all[template]
-        shared = F.size(F.array_intersect(F.col("_s"), _numbers(every)))
-        hit = F.arrays_overlap("_bands", _numbers(owners[template]))
+        shared = F.size(F.array_intersect(F.col("_held"), _numbers(every)))
+        hit = F.arrays_overlap("_held", _numbers(every)) if template in few else F.arrays_overlap("_bands", _numbers(owners[template]))
         return F.when(hit, F.struct(F.lit(template).alias("template"), F.lit(name).alias("license"), shared.cast("long").alias("n_shared"), F.lit(len(every)).cast("long").alias("n_template")))
 
     every_pair = F.array_compact(F.array(*[pair(t) for t in sorted(list_all)]))
-    pairs = found.select(id_col, F.explode(F.when(F.size("_bands") > 0, every_pair)).alias("p"))
+    pairs = found.select(id_col, F.explode(F.when(F.size("_held") > 0, every_pair)).alias("p"))
     return pairs.select(id_col, "p.template", "p.license", "p.n_shared", "p.n_template", (F.col("p.n_shared") / F.col("p.n_template")).alias("containment")).where(F.col("containment") >= least)

@@ -39,6 +39,16 @@ def test_scan_matches_brute_force(spark, docs_of, rng, odd):
     assert sorted(((r.doc_id, r.template, r.n_shared, r.n_template) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_common_wordings_are_found(spark, docs_of, rng):
+    lines = {
+        "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "Released under CC BY 4.0": "CC-BY-4.0", S._ISC.replace("THE AUTHOR", "THE HOLDER", 1): "ISC",
+    }
+    docs = [(k, " ".join(words(rng, 40)) + "\n" + line + "\n" + " ".join(words(rng, 40))) for k, line in enumerate([*lines] * 20)]
+    got = {(r.doc_id, r.license) for r in S.scan(docs_of(docs), S.template_table(spark)).collect()}
+    assert got == {(k, name) for k, name in enumerate([*lines.values()] * 20)}
+
+
 def test_scan_of_empty_tables(spark, docs_of):
     assert S.scan(docs_of([]), S.template_table(spark)).count() == 0
     assert S.scan(docs_of([(1, "a b c")]), S.template_table(spark, [])).count() == 0
