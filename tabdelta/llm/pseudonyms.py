@@ -25,11 +25,11 @@ ROUNDS = 12
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "hex_secret": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,31}[0-9])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{18,128}(?![A-Za-z0-9])",
+    "hex_secret": r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]{0,127}[0-9])(?=[0-9A-Fa-f]{0,127}[A-Fa-f])[0-9A-Fa-f]{18,128}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9])",
-    "iso_date": r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![\w-])",
-    "day_date": r"(?<![\w/.])(?:0[1-9]|[12][0-9]|3[01])[/.](?:0[1-9]|1[0-2])[/.](?:19|20)[0-9]{2}(?![\w/])",
+    "iso_date": r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?!(?!T[0-9])[\w-])",
+    "day_date": r"(?<![\w/.])(?:0?[1-9]|[12][0-9]|3[01])[/.](?:0?[1-9]|[12][0-9]|3[01])[/.](?:19|20)[0-9]{2}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
@@ -192,8 +192,23 @@ def _iso_date(key: str, m: Column) -> Column:
 
 
 def _day_date(key: str, m: Column) -> Column:
-    day = F.try_to_date(_digits(m), "ddMMyyyy")
-    return F.when(day.isNull(), m).otherwise(_refill(m, F.date_format(_date(key, day), "ddMMyyyy"), "0-9"))
+    """Day first if that is a real day, else month first; a single digit in it means no leading zeros."""
+    parts = F.split(m, "[/.]")
+    first, second, year = (_padded(F.get(parts, F.lit(k)), 2) if k < 2 else F.get(parts, F.lit(k)) for k in range(3))
+
+    def written(order: str) -> Column:
+        short = m.rlike(r"(?:^|[/.])[0-9][/.]")
+        own = "d/M/yyyy" if order == "dd/MM/yyyy" else "M/d/yyyy"
+
+        def put(day: Column) -> Column:
+            text = F.split(F.when(short, F.date_format(day, own)).otherwise(F.date_format(day, order)), "/")
+            marks = F.regexp_replace(m, "[0-9]", "")
+            return F.concat(F.get(text, F.lit(0)), F.substring(marks, 1, 1), F.get(text, F.lit(1)), F.substring(marks, 2, 1), F.get(text, F.lit(2)))
+
+        return let(_date(key, F.try_to_date(F.concat_ws("/", first, second, year), order)), put)
+
+    by_day, by_month = (F.try_to_date(F.concat_ws("/", first, second, year), order).isNotNull() for order in ("dd/MM/yyyy", "MM/dd/yyyy"))
+    return F.when(by_day, written("dd/MM/yyyy")).when(by_month, written("MM/dd/yyyy")).otherwise(m)
 
 
 def _iban(key: str, m: Column) -> Column:
@@ -214,7 +229,8 @@ def _access_key(key: str, m: Column) -> Column:
 
 
 def _hex_secret(key: str, m: Column) -> Column:
-    return permute_text(key, "hex_secret", m, hexadecimal=True)
+    new = permute_text(key, "hex_secret", F.lower(m), hexadecimal=True)
+    return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
 
 
 _MAKERS: dict[str, Callable[[str, Column], Column]] = {
@@ -236,12 +252,14 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     text = F.col("text")
     base = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    split = base.withColumn("_found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    split = base.withColumn("_found", F.when(text.rlike("[0-9@]|AKIA"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
     def replaced(m: Column) -> Column:
         kind, value = F.lit(None).cast("string"), m
         for name in reversed(PATTERNS):
             hit = m.rlike(f"^(?:{PATTERNS[name]})$")
+            if name == "hex_secret":  # an account number may have these letters only
+                hit = hit & ~(m.rlike(f"^(?:{PATTERNS['iban']})$") & (iban_remainder(m) == 1))
             kind, value = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, _MAKERS[name](key, m)).otherwise(value)
         return F.struct(kind.alias("kind"), value.alias("value"))
 
