@@ -9,20 +9,23 @@ and pairs that survive are verified on their exact sets.
 One tree over everything can't be built or searched in pieces, so the points are
 first dealt into cells without losing a pair.  The shingles of a document are dealt into
 parts by hash.  Two documents with Jaccard similarity t or more differ in at most
-r = (1 - t) n / t shingles, each of which spoils one part, so of the first r + 1 parts
-that aren't empty at least one holds the very same shingles in both.  A document
-enters the cells named by the contents of these parts; each cell has an R-tree of its
-own.  Parts hold two to four shingles on average, so few documents meet by chance.
-(Fewer than r + 1 parts with a shingle have a chance below 1e-12 for a document.)
+r = (1 - t) n / t shingles, each of which spoils one part.  Parts go by their number of
+shingles, most first, and then by a hash of what they hold: of the first r + 1 in this order
+at least one holds the very same shingles in both documents, as at most r that only one of
+them has can stand before it.  A document enters the cells named by the contents of these
+parts; each cell has an R-tree of its own.  The fullest parts hold three shingles or more, so few
+documents meet by chance.  (A document has fewer than r + 1 parts with a shingle with a chance
+below 1e-8.)  Tiny sets enter a cell for each two of their first r + 2 shingles.
 
 Documents with the same set are one class, found by its hash of 128 bits, and only
-classes are searched and linked, so copies cost nothing further.  What is wanted of
-links is who reaches whom, so classes seek partners in rounds, as in Boruvka's
-construction of a spanning forest: each class tries the few survivors in other components
-that the bound takes to be most alike and that weren't tried before, and more of them each
-round.  A group of a thousand near copies so makes a few thousand pairs, not a million.
-Rounds end when no survivor is left untried between components, so no link between them is
-missed.
+classes are searched and linked, so copies cost nothing further.  Who reaches whom is found
+first: classes seek partners in rounds, as in Boruvka's construction of a spanning forest.
+Each class tries the few survivors in other components that the bound takes to be most
+alike and that weren't tried before, and more of them each round.  Rounds end when no
+survivor is left untried between components, so no link between them is missed.  All
+links then lie within components; these are searched in blocks of bounded size, by an R-tree
+again, and each class's links are counted where its survivors are verified, so pairs never
+become rows.  The work for a component grows with the square of its different texts, as its links do.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +46,12 @@ from .textkit import map_text, mix64, shingle_set, slices
 FEWEST, MOST = 6, 12
 #: Points in a leaf and children of a node.
 LEAF = 16
-#: Sets smaller than this have parts of a single shingle each.
-SMALL = 64
+#: Sets smaller than this have twice as many parts as needed, and those below the first bound pairs of shingles instead.
+TINY, SMALL = 16, 64
 #: Members of a cell indexed in one tree.
-CHUNK = 2048
+CHUNK = 4096
+#: Classes and shingles of a component searched in one block.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 #: Untried survivors that a class tries in the first round, and how many times as many in each further one.
 TRIES, MORE = 3, 4
 #: Classes of a cell that ask at a time; bounds the survivors held.
@@ -64,6 +70,11 @@ class Similarity:
             raise ValueError("the least similarity lies above 0 and up to 1")
         self.num, self.den = num, den
 
+    @property
+    def wide(self) -> bool:
+        """Whether similar sets may differ in so much that parts would hold less than two shingles."""
+        return self.num * 5 < self.den * 3
+
     def differ(self, n: int) -> int:
         """Most shingles by which a set of ``n`` and a similar one can differ."""
         return (self.den - self.num) * n // self.num
@@ -73,14 +84,14 @@ class Similarity:
         return -(-self.num * total // (self.num + self.den))
 
     def parts(self, level: int) -> int:
-        """The number of parts of sets of 2 ** level to 2 ** (level + 1) shingles; 0: one part a shingle.
+        """The number of parts of sets of 2 ** level to 2 ** (level + 1) shingles; 0: single shingles.
 
-        At most 0.72 of the parts are needed, so that enough of them hold a shingle.
+        At most 0.72 of the parts are needed, half of them for small sets, so that enough of them hold a shingle.
         """
         need = self.differ(2 << level) + 1
-        if 1 << level < SMALL or self.num * 5 < self.den * 3:
+        if 1 << level < TINY or self.wide:
             return 0
-        return -(-need * 100 // 72)
+        return 2 * need if 1 << level < SMALL else -(-need * 100 // 72)
 
     def levels(self, n: int) -> list[int]:
         """The size class of a set, and the next one if sets in it can be similar."""
@@ -92,21 +103,27 @@ class Similarity:
 def cell_keys(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
     """Keys of the cells that a set (sorted distinct hashes) enters."""
     n = len(shingles)
-    if not n:
+    spoiled = sim.differ(n)
+    if not spoiled:  # similar to itself only
         return np.empty(0, np.uint64)
-    most = sim.differ(n) + 1
     out = {}
     for level in sim.levels(n):
         parts = sim.parts(level)
         if parts in out:
             continue
-        if not parts:
-            out[parts] = mix64(shingles[:most] + np.uint64(1))
+        if not parts and sim.wide:
+            out[parts] = mix64(shingles[: spoiled + 1] + np.uint64(1))
+            continue
+        if not parts:  # of the first spoiled + 2 shingles two are the same in both
+            held = mix64(shingles[: spoiled + 2])
+            i, j = np.triu_indices(len(held), 1)
+            out[parts] = mix64(held[i] ^ mix64(held[j] + np.uint64(1)))
             continue
         part = (shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # in order, as the hashes are
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        held = np.add.reduceat(mix64(shingles), first)[:most]
-        out[parts] = mix64(held ^ mix64((part[first][:most] << np.uint64(32)) | np.uint64(parts)))
+        keys = mix64(np.add.reduceat(mix64(shingles), first) ^ mix64((part[first] << np.uint64(32)) | np.uint64(parts)))
+        size = np.diff(np.append(first, n))
+        out[parts] = keys[np.lexsort((keys, -size))[: spoiled + 1]]
     return np.concatenate(list(out.values()))
 
 
@@ -167,15 +184,15 @@ class RTree:
 
 
 def _features(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
-    """``id, n, cls, check, point, keys``: size, 128-bit hash and point of each set, and its cells.
+    """``id, n, cls, check, keys``: size and 128-bit hash of each set, and its cells.
 
-    A task gives the point and cells of a set only once.
+    A task gives the cells of a set only once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in (p for batch in batches for p in slices(batch, "text")):
-            size, cls, check, points, keys = [], [], [], [], []
+            size, cls, check, keys = [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingle_set(text, width)
                 a, b = _set_hash(s)
@@ -185,13 +202,12 @@ def _features(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
                 size.append(len(s))
                 cls.append(a)
                 check.append(b)
-                points.append(point(s) if new else None)
                 keys.append(cell_keys(s, sim).view(np.int64) if new else None)
-            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "cls", "check", "point", "keys"])
+            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "cls", "check", "keys"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, cls long, check long, point binary, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, cls long, check long, keys array<long>")
 
 
 def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -203,54 +219,64 @@ def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _shared_cells(cells: DataFrame) -> DataFrame:
-    """``cell, cls`` of the cells with two classes or more, from rows sorted by ``key, cls``.
+    """``cell, chunk, cls`` of the cells with two classes or more, from ranges of ``key, cls`` in order.
 
-    Small cells with the same members are named by these, so that pairs that share many
-    cells are seen once.  A cell of any size passes through in pieces.
+    Small cells with the same members are named by these, so that classes that share many
+    cells are seen once.  A cell of any size passes through in pieces, which are its chunks; a
+    cell cut by the end of a range goes on under the same name in another chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_cls = np.empty(0, np.int64), np.empty(0, np.int64)
-        long_key: int | None = None  # a cell of which rows were passed on already
+        base = TaskContext.get().partitionId() << 32
+        key, cls = np.empty(0, np.int64), np.empty(0, np.int64)
+        first_key: int | None = None
+        long_key: int | None = None  # a cell of which rows were passed on already, how many, and the last one
+        passed, last = 0, 0
         seen: set[int] = set()
         for batch in _with_end(batches):
             if batch is not None:
-                key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-                cls = np.concatenate([held_cls, batch.column(1).to_numpy(zero_copy_only=False)])
-            else:
-                key, cls = held_key, held_cls
+                key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+                cls = np.concatenate([cls, batch.column(1).to_numpy(zero_copy_only=False)])
             if not len(key):
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+            new = np.concatenate([[not (int(key[0]) == long_key and int(cls[0]) == last)], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
             key, cls = key[new], cls[new]
+            if not len(key):
+                continue
+            first_key = int(key[0]) if first_key is None else first_key
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            end = np.append(first[1:], len(key))
-            size = end - first
-            hold = len(first) - 1 if batch is not None and size[-1] <= _SHORT and key[first[-1]] != long_key else len(first)
-            name = key[first].copy()
-            short = size <= _SHORT
+            size = np.diff(np.append(first, len(key)))
+            before = np.zeros(len(first), np.int64)
+            before[0] = passed if int(key[0]) == long_key else 0
+            hold = batch is not None and before[-1] + size[-1] <= _SHORT
+            out = len(first) - hold
+            name = key[first]
+            edge = name == first_key
+            if batch is None:
+                edge[-1] = True
+            whole = (before + size <= _SHORT) & ~edge
+            take = (before + size >= 2) | edge
             members = mix64(np.add.reduceat(mix64(cls.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
-            going_on = name == long_key if long_key is not None else np.zeros(len(first), bool)
-            name = np.where(short & ~going_on, members, name)
-            take = (size >= 2) | going_on
-            if hold < len(first):
-                take[-1] = False
-                held_key, held_cls = key[first[-1] :], cls[first[-1] :]
-            else:
-                held_key, held_cls = key[:0], cls[:0]
-                if batch is not None:
-                    long_key = int(key[-1])
-                    held_key, held_cls = key[-1:], cls[-1:]  # to leave out the same row if it comes again
-            for k in np.flatnonzero(take & short & ~going_on).tolist():
+            name = np.where(whole, members, name)
+            take[out:] = False
+            for k in np.flatnonzero(take & whole).tolist():
                 if int(name[k]) in seen:
                     take[k] = False
                 elif len(seen) < 1_000_000:
                     seen.add(int(name[k]))
             rows = np.repeat(take, size)
             if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows]), pa.array(cls[rows])], ["cell", "cls"])
+                place = np.arange(len(key)) - np.repeat(first - before, size)
+                chunk = np.where(np.repeat(whole, size), 0, base + place // CHUNK)
+                columns = [np.repeat(name, size)[rows], chunk[rows], cls[rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "chunk", "cls"])
+            if hold:
+                key, cls = key[first[-1] :], cls[first[-1] :]
+            else:
+                long_key, passed, last = int(key[-1]), int(before[-1] + size[-1]), int(cls[-1])
+                key, cls = key[:0], cls[:0]
 
-    return cells.mapInArrow(run, "cell long, cls long")
+    return cells.mapInArrow(run, "cell long, chunk long, cls long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -259,19 +285,21 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``cls, n, shingles`` of the classes in ``wanted(cls, id)``, made anew from the texts of these ids."""
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """``cls, n, point, shingles`` of the classes in ``wanted(cls, id)``, made anew from the texts of these ids."""
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingle_set(text, width)
             if _set_hash(s)[0] == cls:  # else another text with the same id
-                rows.append((cls, len(s), s.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [(), (), ()], schema.types, strict=True)], schema=schema)
+                rows.append((cls, len(s), point(s), s.view(np.int64)))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     found = texts.join(broadcast_if_small(wanted, BROADCAST_IDS), "id")
-    return map_text(found.select("cls", "text"), run, "cls long, n long, shingles array<long>")
+    made = map_text(found.select("cls", "text"), run, "cls long, n long, point binary, shingles array<long>")
+    return made.dropDuplicates(["cls"])  # repeated rows
 
 
 def _survivors(members: DataFrame, sim: Similarity, tries: int) -> DataFrame:
@@ -361,12 +389,15 @@ def _survivors(members: DataFrame, sim: Similarity, tries: int) -> DataFrame:
     return members.mapInArrow(run, "q long, x long, alike double, cell long")
 
 
-def _members(cells: DataFrame, labels: DataFrame | None, tried: DataFrame | None) -> DataFrame:
-    """Rows of cells for a round: who asks, who is indexed, and in which chunk of the cell.
+def _first_members(cells: DataFrame, big: DataFrame) -> DataFrame:
+    """Rows of cells for the first round: everyone asks in the own chunk, where the cell's lowest class is indexed too."""
+    heads = big.select("cell", F.explode("chunks").alias("chunk"), F.col("head.cls").alias("cls"), F.col("head.chunk").alias("home")).where("chunk <> home")
+    rows = cells.withColumn("asks", F.lit(True)).unionByName(heads.drop("home").withColumn("asks", F.lit(False)))
+    return rows.select("cell", "chunk", "cls", F.col("cls").alias("comp"), F.lit(None).cast("array<long>").alias("tried"), "asks", F.lit(True).alias("indexed"))
 
-    At first everyone asks in the own chunk, where the cell's lowest class is indexed too;
-    later those outside that class's component ask in every chunk.
-    """
+
+def _further_members(cells: DataFrame, labels: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """Rows of cells for a further round: those outside the component of the cell's lowest class ask in every chunk."""
     rows = cells
     if labels is None:
         rows = rows.withColumn("comp", F.col("cls"))
@@ -376,20 +407,88 @@ def _members(cells: DataFrame, labels: DataFrame | None, tried: DataFrame | None
         rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
     else:
         rows = rows.join(tried.groupBy(F.col("b").alias("cls")).agg(F.collect_set("a").alias("tried")), "cls", "left")
-    cell = rows.groupBy("cell").agg(F.count("*").alias("size"), F.min(F.struct("cls", "comp")).alias("head"), F.max("comp").alias("last"), F.min("comp").alias("least"))
-    # cells that lie in one component are done
-    rows = rows.join(cell.where(F.col("last") != F.col("least")).drop("last", "least"), "cell")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), chunks).cast("int")
-    first = labels is None
-    head = F.col("cls") == F.col("head.cls")
-    outside = F.col("comp") != F.col("head.comp")
-    everywhere = head if first else outside
-    rows = rows.withColumn("own", own).withColumn("chunk", F.explode(F.when(everywhere & (chunks > 1), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("own"))))
-    here = F.col("chunk") == F.col("own")
-    asks = here if first else outside
-    indexed = F.lit(True) if first else here
-    return rows.select("cell", "chunk", "cls", "comp", "tried", asks.alias("asks"), indexed.alias("indexed"))
+    cell = rows.groupBy("cell").agg(F.min(F.struct("cls", "comp")).alias("head"), F.max("comp").alias("last"), F.min("comp").alias("least"), F.collect_set("chunk").alias("chunks"))
+    # cells that lie in one component are done; rows meet their cell's facts by the chunk, as a cell may be of any size
+    open_ = cell.where(F.col("last") != F.col("least")).select("cell", F.col("head.comp").alias("within"), "chunks", F.explode("chunks").alias("chunk"))
+    outside = F.col("comp") != F.col("within")
+    rows = rows.join(open_, ["cell", "chunk"]).withColumn("at", F.explode(F.when(outside, F.col("chunks")).otherwise(F.array("chunk"))))
+    return rows.select("cell", F.col("at").alias("chunk"), "cls", "comp", "tried", outside.alias("asks"), (F.col("at") == F.col("chunk")).alias("indexed"))
+
+
+def _links(labels: DataFrame, weights: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """``cls, links``: documents of other classes that each class of a component links with.
+
+    A large component is dealt into blocks, and each two blocks are searched in a group of their own.
+    """
+
+    def count(t: dict[str, np.ndarray], points: list[bytes], held: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        size, weight = t["n"], t["weight"]
+        ends = starts + size
+        query, rows = np.flatnonzero(t["block"] == t["lo"]), np.flatnonzero(t["block"] == t["hi"])
+        both = bool(t["lo"][0] == t["hi"][0])
+        links = np.zeros(len(size), np.int64)
+        vocabulary, ids = np.unique(held, return_inverse=True)
+        mark = np.zeros(len(vocabulary), bool)
+        flat = ids if both else np.concatenate([ids[starts[i] : ends[i]] for i in rows.tolist()] or [ids[:0]])
+        first = np.cumsum(size[rows]) - size[rows]
+        folds = folded(points, size)
+        tree = RTree(folds[rows], size[rows])
+        for at in range(0, len(query), ASKING):
+            asking = query[at : at + ASKING]
+            found = list(tree.search(folds[asking], size[asking], sim))
+            if not found:
+                continue
+            q, x = (np.concatenate(c) for c in list(zip(*found, strict=True))[:2])
+            order = np.argsort(q, kind="stable")
+            q, x = q[order], x[order]
+            cuts = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                own, near = int(asking[q[i]]), x[i:j]
+                mine = ids[starts[own] : ends[own]]
+                mark[mine] = True
+                if len(near) * 4 > len(rows):
+                    overlap = np.add.reduceat(mark[flat], first, dtype=np.int64)[near]
+                else:
+                    overlap = np.array([np.count_nonzero(mark[flat[first[k] : first[k] + size[rows[k]]]]) for k in near.tolist()])
+                mark[mine] = False
+                hit = rows[near[sim.den * overlap >= sim.num * (size[own] + size[rows[near]] - overlap)]]
+                hit = hit[hit != own]
+                links[own] += weight[hit].sum()
+                if not both:
+                    links[hit] += weight[own]
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or not held.num_rows:
+                continue
+            t = {n: held[n].to_numpy() for n in ("comp", "lo", "hi", "block", "cls", "n", "weight")}
+            cut = np.flatnonzero((t["comp"][1:] != t["comp"][:-1]) | (t["lo"][1:] != t["lo"][:-1]) | (t["hi"][1:] != t["hi"][:-1])) + 1
+            bounds = [0, *cut.tolist()] + ([held.num_rows] if batch is None else [])
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                group = held.slice(i, j - i).combine_chunks()
+                sets = group["shingles"].combine_chunks()
+                sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+                flat = sets.flatten().to_numpy(zero_copy_only=False)
+                size = t["n"][i:j]
+                links = count({n: v[i:j] for n, v in t.items()}, group["point"].to_pylist(), flat, np.cumsum(size) - size)
+                yield pa.RecordBatch.from_arrays([pa.array(t["cls"][i:j]), pa.array(links)], ["cls", "links"])
+            held = held.slice(bounds[-1])
+
+    sized = labels.withColumnRenamed("node", "cls").join(weights, "cls").join(classes.select("cls", "n"), "cls")
+    large = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = sized.join(broadcast_if_small(large, BROADCAST_IDS), "comp", "left").select("comp", "cls", "weight", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = dealt.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    rows = met.join(classes, "cls").select("comp", "lo", "hi", "block", "cls", "n", "weight", "point", "shingles")
+    partitions = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = rows.repartition(partitions, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(run, "cls long, links long")
+    return found.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -400,12 +499,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (sim.den * both >= sim.num * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``n_shingles`` and ``component_id`` of each row of ``docs``.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, with_links: bool = True) -> DataFrame:
+    """``n_shingles``, ``component_id`` and ``n_links`` of each row of ``docs``.
 
     Two documents link if their sets of ``width``-word shingles (words folded A-Z) have a
     Jaccard similarity of ``num / den`` or more; a component is all that links reach,
-    and its id is its lowest document id.
+    and its id is its lowest document id.  ``n_links`` counts the other rows that a row links
+    with, copies each on their own; it is left out without ``with_links``.
 
     With fewer words than ``width`` the whole sequence is the one shingle.  Null, empty
     and blank texts have no shingles and link with nothing.  Rows with a null id take no
@@ -418,52 +518,64 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "jaccard")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = scratch.save(_features(texts, width, sim))
-    sets = scratch.save(known.select("id", "n", "cls", "check"))
 
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = known.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "cls")
-    shared = _shared_cells(keyed.repartition(partitions, "key").sortWithinPartitions("key", "cls"))
+    shared = _shared_cells(keyed.repartitionByRange(partitions, "key", "cls").sortWithinPartitions("key", "cls"))
     cells = scratch.save(shared.distinct())
-    met = known.where(F.col("point").isNotNull()).select("cls", "id", "n", "point").join(cells.select("cls").distinct(), "cls")
-    classes = scratch.save(met.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")))
-    scratch.drop(known)
+    met = known.where(F.col("keys").isNotNull()).join(cells.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("id"))
+    classes = scratch.save(_sets(texts, met, width))
+    by_cell = cells.groupBy("cell").agg(F.min(F.struct("cls", "chunk")).alias("head"), F.collect_set("chunk").alias("chunks"))
+    big = scratch.save(by_cell.where(F.size("chunks") > 1))
 
     tried: DataFrame | None = None
     labels: DataFrame | None = None
-    big = scratch.save(cells.groupBy("cell").count().where(F.col("count") > CHUNK).select("cell"))
-    live, tries = cells, TRIES
+    live, tries, first = cells, TRIES, True
     while True:
-        rows = _members(live, labels, tried).join(classes.select("cls", "n", "point"), "cls")
+        members = _first_members(live, big) if first else _further_members(live, labels, tried)
+        rows = members.join(classes.select("cls", "n", "point"), "cls")
         found = scratch.save(_survivors(rows.repartition(partitions, "cell", "chunk").sortWithinPartitions("cell", "chunk"), sim, tries))
         ranked = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("alike")).alias("far"), "x"))), 1, tries).alias("best"))
         chosen = ranked.select("q", F.explode("best.x").alias("x"))
         pairs = scratch.save(chosen.select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b")).distinct())
-        if pairs.isEmpty() and (labels is not None or big.isEmpty()):
+        if pairs.isEmpty() and (not first or big.isEmpty()):
             break
-        wanted = classes.select("cls", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-        shingles = scratch.save(_sets(texts, wanted, width))
-        done = scratch.save(_verified(pairs, shingles, sim))
-        scratch.drop(shingles)
+        done = scratch.save(_verified(pairs, classes, sim))
         tried = done if tried is None else scratch.save(tried.unionAll(done))
-        if labels is None or not done.where("linked").isEmpty():
+        if not done.where("linked").isEmpty():
             labels = components(tried.where("linked"), scratch)
-        tries *= MORE
+        tries, first = tries * MORE, False
         # only cells that had survivors can have more; large ones were searched in parts
-        live = scratch.save(live.join(found.select("cell").unionAll(big).distinct(), "cell", "left_semi"))
+        live = scratch.save(live.join(found.select("cell").unionAll(big.select("cell")).distinct(), "cell", "left_semi"))
 
     if labels is None:
-        named = sets.withColumn("comp", F.lit(None).cast("long"))
+        named = known.withColumn("comp", F.lit(None).cast("long"))
     else:
-        named = sets.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        named = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     # a class without links is told by all of its 128 bits
     named = named.withColumn("rest", F.when(F.col("comp").isNull(), F.col("check")).otherwise(0)).withColumn("comp", F.coalesce("comp", "cls"))
     some = F.col("n") > 0
     lowest = named.where(some).groupBy("comp", "rest").agg(F.min("id").alias("low"))
-    return named.join(lowest, ["comp", "rest"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+    result = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("low")).otherwise(F.col("id")).alias("component_id")]
+    named = named.select("id", "n", "cls", "check", "comp", "rest").join(lowest, ["comp", "rest"], "left")
+    if not with_links:
+        return named.select(*result)
+    copies = known.where(some).groupBy("cls", "check").agg((F.count("*")).alias("copies"))
+    named = named.join(copies, ["cls", "check"], "left")
+    links = F.lit(0)
+    if labels is not None:
+        weights = copies.groupBy("cls").agg(F.sum("copies").alias("weight"))
+        counted = scratch.save(_links(labels, weights, classes, sim))
+        named, links = named.join(counted, "cls", "left"), F.coalesce("links", F.lit(0))
+    return named.select(*result, F.when(some, F.col("copies") - 1 + links).otherwise(0).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the row of the lowest id of each component only; rows with a null id stay."""
-    found = jaccard_components(docs, id_col, text_col, width, num, den)
+    """``docs`` with the row of the lowest id of each component only; rows with a null id stay.
+
+    Rows go by id: rows repeated with the id that stays all stay, and an id with several texts goes if
+    any of these is a copy of a text with a lower id.
+    """
+    found = jaccard_components(docs, id_col, text_col, width, num, den, with_links=False)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(Scratch(docs.sparkSession, "jaccard").save(gone), id_col, "left_anti")

@@ -122,8 +122,10 @@ n AS (SELECT d.doc_id, count(s.s) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.low FROM r JOIN g ON g.a = r.doc_id)
-SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(low) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.low FROM r JOIN g ON g.a = r.doc_id),
+l AS (SELECT a, count(*) AS n_links FROM g GROUP BY a)
+SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(low) AS component_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links
+FROM n JOIN r ON r.doc_id = n.doc_id LEFT JOIN l ON l.a = n.doc_id GROUP BY n.doc_id
 """,
     "op5_license_scan": f"""
 WITH t(template, license, text) AS (VALUES {_NOTICES}),

@@ -28,10 +28,15 @@ def brute(rows, width, num, den):
             x, y = rows[a][1], rows[b][1]
             if x and y and den * len(x & y) >= num * len(x | y):
                 up[find(a)] = find(b)
-    low = {}
+    low, links = {}, [0] * len(rows)
     for k, (i, s) in enumerate(rows):
         low[find(k)] = min(low.get(find(k), i), i)
-    return sorted((i, len(s), low[find(k)] if s else i) for k, (i, s) in enumerate(rows))
+        links[k] = sum(bool(s and y) and den * len(s & y) >= num * len(s | y) for _, y in rows) - bool(s)
+    return sorted((i, len(s), low[find(k)] if s else i, links[k]) for k, (i, s) in enumerate(rows))
+
+
+def found(table):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in table.collect())
 
 
 def near(rng, base, edits):
@@ -66,23 +71,43 @@ def test_matches_brute_force(docs_of, rng, odd, width, num, den):
     rows = [*corpus(rng), *odd]
     rows += [rows[3], (7000, rows[9][1].upper())]
     got = J.jaccard_components(docs_of(rows), width=width, num=num, den=den)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, width, num, den)
+    assert found(got) == brute(rows, width, num, den)
 
 
 def test_large_groups_in_chunks(docs_of, rng, monkeypatch):
     monkeypatch.setattr(J, "CHUNK", 16)
     monkeypatch.setattr(J, "_SHORT", 8)
+    monkeypatch.setattr(J, "BLOCK", 40)
     base = words(rng, 150)
     rows = [(i, " ".join(near(rng, base, 1 + i % 4))) for i in range(150)] + [(500 + i, " ".join(base)) for i in range(100)]
     got = J.jaccard_components(docs_of(rows))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
+    assert found(got) == brute(rows, 4, 85, 100)
 
 
 def test_hub_of_copies_that_are_not_alike(docs_of, rng):
     base = words(rng, 200)
     rows = [(900, " ".join(base))] + [(i, " ".join(near(rng, base, 5))) for i in range(120)]
     got = J.jaccard_components(docs_of(rows))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
+    assert found(got) == brute(rows, 4, 85, 100)
+
+
+def test_cells_in_pieces_keep_all_pairs(spark, monkeypatch):
+    """A cell cut by ranges and into chunks goes on under one name; small ones are named by their members."""
+    r = np.random.default_rng(6)
+    rows = [(7, int(c)) for c in range(900)] + [(int(k), int(c)) for k, c in zip(r.integers(100, 400, 800), r.integers(0, 300, 800), strict=True)]
+    rows += [(k, 5000 + k % 3) for k in range(1000, 1040)] + [(1, 1), (2000, 2000)]
+    keyed = spark.createDataFrame(rows + rows[:50], "key long, cls long")
+    got = J._shared_cells(keyed.repartitionByRange(7, "key", "cls").sortWithinPartitions("key", "cls")).distinct().collect()
+    cells, chunks = {}, {}
+    for x in got:
+        cells.setdefault(x.cell, set()).add(x.cls)
+        chunks.setdefault((x.cell, x.chunk), set()).add(x.cls)
+    want = {}
+    for key, cls in rows:
+        want.setdefault(key, set()).add(cls)
+    shared = {frozenset(v) for v in want.values() if len(v) > 1}
+    assert shared <= {frozenset(v) for v in cells.values()} and {frozenset(v) for v in cells.values() if len(v) > 1} <= shared
+    assert cells[7] == set(range(900)) and max(map(len, chunks.values())) <= J.CHUNK
 
 
 def test_similar_sets_always_share_a_cell():
@@ -96,7 +121,7 @@ def test_similar_sets_always_share_a_cell():
             lost = int(r.integers(0, spare + 1))
             b = np.unique(np.concatenate([r.permutation(a)[lost:], r.integers(0, 1 << 63, max(spare - lost, 0)).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if len(b) and den * both >= num * (len(a) + len(b) - both):
+            if len(b) and not np.array_equal(a, b) and den * both >= num * (len(a) + len(b) - both):
                 assert np.intersect1d(J.cell_keys(a, sim), J.cell_keys(b, sim)).size, (num, n, lost)
 
 
@@ -131,5 +156,5 @@ def test_one_of_each(docs_of, rng):
 
 def test_empty_table_and_no_pairs(docs_of):
     assert J.jaccard_components(docs_of([])).count() == 0
-    assert [tuple(r) for r in J.jaccard_components(docs_of([(4, "a b c d e")])).collect()] == [(4, 2, 4)]
+    assert [tuple(r) for r in J.jaccard_components(docs_of([(4, "a b c d e")])).collect()] == [(4, 2, 4, 0)]
     assert len(shingle_set("a b c d e", 4)) == 2

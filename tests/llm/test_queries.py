@@ -43,7 +43,7 @@ def test_pipeline_matches_brute_force(spark):
     kept = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
     lines = brute_lines([(i, rows[i].text, rows[i].source) for i in sorted(kept)], 10)
     lines = [(i, t) for i, t in lines if not (t != rows[i].text and not (t or "").split())]
-    low = {i: c for i, _, c in brute_components(lines, 5, 80, 100)}
+    low = {i: c for i, _, c, _ in brute_components(lines, 5, 80, 100)}
     left = {i: t for i, t in lines if low[i] == i}
     items = [words_of(r.text) for r in Q.table(spark, SF, "benchmark").collect()]
 
