@@ -38,6 +38,41 @@ def test_em_finds_good_and_bad_rules():
     assert np.allclose(model.good, right, atol=0.04) and abs(model.prior - 0.8) < 0.03
 
 
+def test_rules_that_say_good_of_everything_do_not_outvote_others():
+    # two rules see the junk, three call everything good
+    votes = np.array([[1, 1, 1, 1, 1], [0, 0, 1, 1, 1], [1, 2, 1, 1, 1]])
+    model = fit_label_model(votes, np.array([900.0, 80.0, 20.0]))
+    odds = np.log(model.prior / (1 - model.prior)) + (votes == 1) @ np.log(model.good / (1 - model.bad)) + (votes == 0) @ np.log((1 - model.good) / model.bad)
+    assert (odds > 0).tolist() == [True, False, True]
+    assert (model.good + model.bad >= 1.05 - 1e-9).all()
+
+
+def posterior(row, rules, model):
+    """The posterior of a row of counts, by plain arithmetic."""
+    odds = model.prior / (1 - model.prior)
+    for name, g, b in zip(rules, model.good, model.bad, strict=True):
+        odds *= {0: (1 - g) / b, 1: g / (1 - b), 2: 1.0}[row[f"vote_{name}"]]
+    return odds / (1 + odds)
+
+
+def test_verdicts_match_a_second_computation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [r.asDict() for r in quality_rules(docs).collect()]
+    assert list(rows[0])[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    names = [c.removeprefix("vote_") for c in rows[0] if c.startswith("vote_")]
+    taught = Counter(tuple(r[f"vote_{n}"] for n in names) for r in rows if not r["base_failed"])
+    model = fit_label_model(np.array(list(taught)), np.array(list(taught.values()), float))
+    for r in rows:
+        words, chars, symbols, dup, repeat = brute(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (words, chars, symbols, dup, repeat)
+        assert r["base_failed"] == (words < 50 or 100 * repeat > 50 * words)
+        p = posterior(r, names, model)
+        assert abs(r["p_quality"] - p) < 1e-9 and r["kept"] == (not r["base_failed"] and p >= 0.5)
+        share = symbols / max(words, 1)
+        assert r["vote_symbols"] == (0 if share > 0.1 else 1 if share <= 0.02 else 2)
+
+
 def clean(rng, n=120):
     return " ".join(rng.choice(["the", "of", "cat", "dog", "house", "tree"]) + rng.choice(["", "s", "ly", "er", "ing"]) for _ in range(n)) + "."
 
