@@ -31,13 +31,23 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _FLUSH = 500_000
 
 
+def _letters(text: str) -> str:
+    """Runs of letters (``str.isalpha``) in lower case, with a space between."""
+    words = _NOT_LETTERS.sub(" ", text.lower())
+    if not words.isascii():
+        others = {c for c in set(words) if c != " " and not c.isalpha()}
+        if others:
+            words = re.sub(f"[{re.escape(''.join(sorted(others)))} ]+", " ", words)
+    return words.strip()
+
+
 def grams(text: str | None) -> np.ndarray:
     """Keys of all n-grams of the words of a text, one for each place; empty without letters.
 
     Words are runs of letters, in lower case, with a space before and after.  A key
     packs up to three code points of 21 bits.
     """
-    letters = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    letters = _letters(text) if text else ""
     if not letters:
         return np.empty(0, np.int64)
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)

@@ -187,7 +187,7 @@ def test_held_out_accuracy_and_edge_cases(spark, rng, odd):
     for i in range(300):
         lang = list(letters)[i % 3]
         rows.append((i, " ".join(words(rng, 30, letters[lang].replace(" ", ""))), lang))
-    rows += [(i, t, "aa") for i, t in odd] + [(950, "12345 --", "aa"), (951, "no language given here", None), rows[4]]
+    rows += [(i, t, "aa") for i, t in odd] + [(950, "12345 --", "aa"), (952, "½", "aa"), (953, "² ③ Ⅷ १", "aa"), (951, "no language given here", None), rows[4]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     profiles = L.learn_profiles(docs.where(~L.held_out()), train_docs=60)
     assert profiles.names == ["aa", "bb", "cc"]
@@ -197,7 +197,7 @@ def test_held_out_accuracy_and_edge_cases(spark, rng, odd):
     by = {r.doc_id: r for r in found}
     held = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 and r[0] < 300]
     assert held and all(by[i].lang_pred == lang for i, _, lang in held)
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (901, 902, 903, 950))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (901, 902, 903, 950, 952, 953))
     assert all(0 <= r.score <= 1 for r in found)
     held_ids = {r.doc_id for r in docs.where(L.held_out()).collect()}
     assert held_ids == {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2}
