@@ -21,6 +21,10 @@ from .textkit import let
 #: Half-rounds of a permutation: each adds a keyed function of one half to the other.
 ROUNDS = 12
 
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "|".join([*_MONTHS, *(m[:3] for m in _MONTHS)])
+_DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
+
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -29,9 +33,12 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9])",
     "iso_date": r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?!(?!T[0-9])[\w-])",
+    "slash_date": r"(?<![\w/-])(?:19|20)[0-9]{2}/(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])(?![\w/-])",
+    "name_date": rf"(?<![\w-])(?:{_DAY} (?:{_MONTH}) (?:19|20)[0-9]{{2}}|(?:{_MONTH}) {_DAY}, (?:19|20)[0-9]{{2}})(?![\w-])",
     "day_date": r"(?<![\w/.])(?:0?[1-9]|[12][0-9]|3[01])[/.](?:0?[1-9]|[12][0-9]|3[01])[/.](?:19|20)[0-9]{2}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![\w-])",
+    "phone_abroad": r"(?<![\w+])\+(?!1[ .-]?[(2-9])[1-9][0-9](?:[ .-]?[0-9]){6,12}(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -151,12 +158,22 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    number = F.substr(_digits(m), F.length(_digits(m)) - 9)
-    digits = _padded(permute(key, "phone", number.cast("long"), 100_000, 100_000), 10)
+    number = F.substr(_digits(m), F.length(_digits(m)) - 9).cast("long")
+    # area codes from 200 on, which need no brackets, stay such; those below stay below
+    low = F.lit(2_000_000_000)
+    new = F.when(number >= low, permute(key, "phone", number - low, 80_000, 100_000) + low).otherwise(permute(key, "low_phone", number, 20_000, 100_000))
+    digits = _padded(new, 10)
     country = F.when(F.length(_digits(m)) == 11, F.lit("1")).otherwise("")
     return _refill(m, F.concat(country, digits), "0-9")
 
 
+def _phone_abroad(key: str, m: Column) -> Column:
+    """The first two digits, which tell the country or at least its region, stay."""
+    digits = _digits(m)
+    new = F.concat(F.substring(digits, 1, 2), permute_text(key, "phone_abroad", F.substr(digits, F.lit(3))))
+    return _refill(m, new, "0-9")
+
+
 def _ssn(key: str, m: Column) -> Column:
     area, group, serial = (F.substring(m, *x).cast("long") for x in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -191,6 +208,25 @@ def _iso_date(key: str, m: Column) -> Column:
     return F.when(day.isNull(), m).otherwise(F.date_format(_date(key, day), "yyyy-MM-dd"))
 
 
+def _slash_date(key: str, m: Column) -> Column:
+    day = F.try_to_date(m, "yyyy/MM/dd")
+    return F.when(day.isNull(), m).otherwise(F.date_format(_date(key, day), "yyyy/MM/dd"))
+
+
+def _name_date(key: str, m: Column) -> Column:
+    """The order, the length of the month's name and leading zeros stay."""
+    name, month_first = F.regexp_extract(m, "[A-Z][a-z]+", 0), m.rlike("^[A-Z]")
+    new = F.lit(None).cast("string")
+    for short in (False, True):
+        for first in (False, True):
+            for zero in (False, True):
+                month, day = "MMM" if short else "MMMM", "dd" if zero else "d"
+                order = f"{month} {day}, yyyy" if first else f"{day} {month} yyyy"
+                own = ((F.length(name) == 3) == short) & (month_first == first) & (m.rlike("(?:^| )0[0-9][ ,]") == zero)
+                new = F.when(own, F.date_format(_date(key, F.try_to_date(m, order)), order)).otherwise(new)
+    return F.coalesce(new, m)
+
+
 def _day_date(key: str, m: Column) -> Column:
     """Day first if that is a real day, else month first; a single digit in it means no leading zeros."""
     parts = F.split(m, "[/.]")
@@ -229,13 +265,17 @@ def _access_key(key: str, m: Column) -> Column:
 
 
 def _hex_secret(key: str, m: Column) -> Column:
+    """Permuted again while there is no letter or no digit left (one in thousands for 18 digits), four times at most."""
     new = permute_text(key, "hex_secret", F.lower(m), hexadecimal=True)
+    for _ in range(3):
+        new = let(new, lambda x: F.when(x.rlike("[0-9]") & x.rlike("[a-f]"), x).otherwise(permute_text(key, "hex_secret", x, hexadecimal=True)))
     return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
 
 
 _MAKERS: dict[str, Callable[[str, Column], Column]] = {
     "email": _email, "access_key": _access_key, "hex_secret": _hex_secret, "iban": _iban, "ipv4": _ipv4,
-    "iso_date": _iso_date, "day_date": _day_date, "ssn": _ssn, "phone": _phone, "card": _card,
+    "iso_date": _iso_date, "slash_date": _slash_date, "name_date": _name_date, "day_date": _day_date,
+    "ssn": _ssn, "phone": _phone, "phone_abroad": _phone_abroad, "card": _card,
 }
 
 

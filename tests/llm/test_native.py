@@ -1,6 +1,8 @@
 """License scans and pseudonyms."""
 
 import hashlib
+import datetime
+import random
 import re
 
 import pytest
@@ -174,3 +176,135 @@ def test_upper_hex_time_stamps_and_other_dates(docs_of):
     assert re.fullmatch(r"(0[1-9]|1[0-2])/[0-3][0-9]/[0-9]{4}", got[2].text) and re.fullmatch(r"[1-9][0-9]?/[1-9][0-9]?/[0-9]{4}", got[3].text)
     assert re.fullmatch(r"at [0-9]{4}-[0-9]{2}-[0-9]{2}T10:00:00 sharp", got[10].text) and "2024-01-02" not in got[10].text
     assert got[11].n_replaced == 0
+
+
+def brute_text(kind, text, hexadecimal=False):
+    """``permute_text`` by plain Python."""
+    cut = len(text) // 2
+    left, right = text[:cut], text[cut:]
+
+    def shift(half, digest):
+        out = []
+        for i, c in enumerate(half):
+            step = int(digest[(i % 31) * 2 : (i % 31) * 2 + 4], 16)
+            if hexadecimal:
+                out.append("0123456789abcdef"[(int(c, 16) + step) % 16])
+            else:
+                base = next((b for b, e in ("09", "az", "AZ") if b <= c <= e), None)
+                size = 10 if base == "0" else 26
+                out.append(c if base is None else chr((ord(c) - ord(base) + step) % size + ord(base)))
+        return "".join(out)
+
+    for i in range(1, P.ROUNDS + 1):
+        if i % 2:
+            left = shift(left, drawn(kind, i, right))
+        else:
+            right = shift(right, drawn(kind, i, left))
+    return left + right
+
+
+def refill(layout, values, kept):
+    rest = iter(values)
+    return "".join(next(rest) if re.match(f"[{kept}]", c) else c for c in layout)
+
+
+def brute_day(day):
+    first = datetime.date(1900, 1, 1)
+    return first + datetime.timedelta(brute_permute("date", (day - first).days, 17, 4297))
+
+
+def brute_value(kind, m):
+    digits = re.sub(r"\D", "", m)
+    if kind == "card":
+        inner = digits[1:-1]
+        n = len(inner)
+        front = digits[0] + str(brute_permute("card", int(inner), 10 ** (n // 2), 10 ** (n - n // 2))).zfill(n)
+        return refill(m, front + next(c for c in "0123456789" if luhn(front + c)), "0-9")
+    if kind == "phone":
+        number, low = int(digits[-10:]), 2_000_000_000
+        new = brute_permute("phone", number - low, 80_000, 100_000) + low if number >= low else brute_permute("low_phone", number, 20_000, 100_000)
+        return refill(m, digits[:-10] + str(new).zfill(10), "0-9")
+    if kind == "phone_abroad":
+        return refill(m, digits[:2] + brute_text(kind, digits[2:]), "0-9")
+    if kind == "ipv4":
+        value = 0
+        for x in m.split("."):
+            value = value * 256 + int(x)
+        return ".".join(str(x) for x in brute_permute(kind, value, 65_536, 65_536).to_bytes(4, "big"))
+    if kind in ("iso_date", "slash_date"):
+        mark = m[4]
+        return brute_day(datetime.date(*map(int, m.split(mark)))).strftime(f"%Y{mark}%m{mark}%d")
+    if kind == "day_date":
+        d, mo, y = map(int, re.split("[/.]", m))
+        return brute_day(datetime.date(y, mo, d)).strftime(f"%d{m[2]}%m{m[2]}%Y")
+    if kind == "name_date":
+        short = len(re.search("[A-Z][a-z]+", m)[0]) == 3
+        month = "%b" if short else "%B"
+        order = f"{month} %d, %Y" if m[0].isalpha() else f"%d {month} %Y"
+        new = brute_day(datetime.datetime.strptime(m, order).date())
+        return new.strftime(order.replace("%d", "%d" if re.search("(^| )0[0-9][ ,]", m) else "%-d"))
+    if kind == "ssn":
+        areas = [a for a in range(1, 900) if a != 666]
+        area, group, serial = map(int, m.split("-"))
+        new = brute_permute(kind, (areas.index(area) * 99 + group - 1) * 9_999 + serial - 1, 898 * 99, 9_999)
+        front, serial = divmod(new, 9_999)
+        return f"{areas[front // 99]:03d}-{front % 99 + 1:02d}-{serial + 1:04d}"
+    if kind == "iban":
+        plain = m.replace(" ", "")
+        body = brute_text(kind, plain[4:])
+        rest = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        return refill(m, plain[:2] + f"{98 - rest:02d}" + body, "A-Z0-9")
+    if kind == "email":
+        local, domain = m.split("@")
+        return f"{brute_text(kind, local)}@{domain}"
+    if kind == "access_key":
+        return "AKIA" + brute_text(kind, m[4:])
+    new = brute_text(kind, m.lower(), True)
+    return new.upper() if m == m.upper() else new
+
+
+MORE = {
+    "phone": ["(152) 555-8590", "800 200 3000", "201-000-0000", "999 999 9999"],
+    "phone_abroad": ["+44 20 7946 0958", "+49-30-1234567", "+358401234567"],
+    "slash_date": ["2021/03/04"],
+    "name_date": ["4 March 2021", "March 4, 2021", "04 Mar 2021", "Dec 31, 1999", "1 May 2000", "09 September 1950"],
+}
+
+
+def test_every_kind_by_brute_force(spark, mapped):
+    for (kind, old), row in mapped.items():
+        assert value(row) == brute_value(kind, old), (kind, old)
+    flat = [(k, v) for k, vs in MORE.items() for v in vs]
+    rows = spark.createDataFrame([(n, f"x {v}, y") for n, (_, v) in enumerate(flat)], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.pseudonymise(rows, KEY).collect()}
+    for n, (kind, old) in enumerate(flat):
+        assert got[n].kinds == kind and value(got[n]) == brute_value(kind, old), (kind, old, got[n])
+
+
+def test_pseudonyms_are_found_again_as_their_kind(spark):
+    r = random.Random(8)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    rows = []
+    for i in range(150):
+        front = "4" + n(14)
+        rows += [
+            ("card", front + next(c for c in "0123456789" if luhn(front + c))),
+            ("phone", f"{r.randint(200, 999)} {n(3)} {n(4)}"),
+            ("phone_abroad", f"+{r.randint(20, 99)} {n(3)} {n(5)}"),
+            ("ipv4", ".".join(str(r.randint(0, 255)) for _ in range(4))),
+            ("iso_date", str(datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(73_049)))),
+            ("name_date", (datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(73_049))).strftime("%-d %B %Y")),
+            ("ssn", f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"),
+            ("hex_secret", "a1" + "".join(r.choice("0123456789abcdef") for _ in range(18))),
+            ("access_key", "AKIA" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(16))),
+            ("email", f"u{i}.{n(2)}@x.org"),
+        ]
+    table = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(rows)], "doc_id long, text string")
+    once = P.pseudonymise(table, KEY)
+    again = P.pseudonymise(once.select("doc_id", "text"), KEY)
+    for first, second in ((x, y) for x, y in zip(once.orderBy("doc_id").collect(), again.orderBy("doc_id").collect(), strict=True)):
+        kind, old = rows[first.doc_id]
+        assert first.kinds == kind and second.kinds == kind and first.text == brute_value(kind, old), (kind, old, first, second)
+    for kind in {k for k, _ in rows}:
+        olds = {v for k, v in rows if k == kind}
+        assert len({r.text for r in once.collect() if rows[r.doc_id][0] == kind}) == len(olds)
