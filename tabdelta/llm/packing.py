@@ -52,6 +52,8 @@ class Encoder:
         ends = sorted(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
+        # added tokens are sought in the text as it is, inside of words too; texts that may hold one are encoded whole
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = dict(zip(".,", self._apart([".", ","]), strict=True))
 
     @classmethod
@@ -90,7 +92,10 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         # A-Z are folded first, so that a word is kept once; the tokenizer folds the rest
-        parts = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ") for t in texts]
+        folded = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+        apart = [i for i, t in enumerate(folded) if any(a in t for a in self.added)]
+        whole = dict(zip(apart, self._apart([texts[i] for i in apart]), strict=True))
+        parts = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(folded)]
         if len(self.known) > _KNOWN // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -100,7 +105,7 @@ class Encoder:
             new = {w for w in new if w not in known}
         if new:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return [whole[i] if i in whole else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -171,7 +176,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     """
     names = pieces.columns
     groups = max(1, math.ceil(pieces.count() / group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*[c for c in names if c != "ids"]), F.lit(groups)))
+    # the place of a row is hashed too, so that rows repeated do not meet in one group
+    place_of = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*[c for c in names if c != "ids"], place_of), F.lit(groups)))
     place = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

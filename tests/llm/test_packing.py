@@ -23,6 +23,7 @@ def whole(tokenizer, text):
 
 def test_words_on_their_own_give_the_ids_of_the_text(tokenizer):
     texts = ["The cat's  house—naïve\n\tÜber 12,345 it's fine x <|endoftext|> end", "", " ", None, "é ́x I'll we'RE ΑΣ ΟΔΟΣ", "日本語 テキスト\r\nx"]
+    texts += ["<|STARTOFTEXT|>", "a <|endoftext|>b", "A<|EndOfText|>", "x<|startoftext|><|endoftext|>\nY", "<| endoftext |>"]
     got = P.Encoder(tokenizer_path()).encode(texts)
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole(tokenizer, text)[:-1], text
