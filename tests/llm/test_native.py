@@ -41,6 +41,30 @@ def test_scan_matches_brute_force(spark, docs_of, rng, odd):
     assert sorted(((r.doc_id, r.template, r.n_shared, r.n_template) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_bands_find_templates_of_all_lengths(spark, docs_of, rng):
+    """Recall of 0.99 over random templates of 3 to 200 words at any place of a text; the bands alone from 8 shingles on."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    notices = [(f"t{n}", " ".join(words(rng, n, letters))) for n in [3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 50, 100, 200] * 8]
+    docs = [(k, " ".join([*words(rng, rng.randint(0, 90), letters), text, *words(rng, rng.randint(0, 90), letters)])) for k, (_, text) in enumerate(notices)]
+    got = {(r.doc_id, r.template) for r in S.scan(docs_of(docs), S.template_table(spark, notices)).collect()}
+    assert len(got & {(k, k) for k in range(len(notices))}) >= 0.99 * len(notices) and len(got) <= 1.05 * len(notices)
+
+
+def test_each_shingle_is_as_likely_the_least(spark):
+    """Of windows of 16 shingles that hold 3 of a segment, the bands see all but (13 / 16) ** 32."""
+    r = random.Random(2)
+    rows = [([r.getrandbits(64) - (1 << 63) for _ in range(16)],) for _ in range(6000)]
+    table = spark.createDataFrame(rows, "w array<long>")
+    seen = table.select(F.arrays_overlap(S.bands(F.col("w")), S.bands(F.slice("w", 1, 3))).cast("int").alias("x")).agg(F.avg("x")).first()[0]
+    assert seen > 1 - 3 * (13 / 16) ** 32
+
+
+def test_too_many_templates(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(S, "MOST", 5)
+    with pytest.raises(ValueError):
+        S.scan(docs_of([(1, "a b c")]), S.template_table(spark))
+
+
 def test_common_wordings_are_found(spark, docs_of, rng):
     lines = {
         "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
