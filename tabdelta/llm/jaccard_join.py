@@ -548,26 +548,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # only cells that had survivors can have more; large ones were searched in parts
         live = scratch.save(live.join(found.select("cell").unionAll(big.select("cell")).distinct(), "cell", "left_semi"))
 
-    if labels is None:
-        named = known.withColumn("comp", F.lit(None).cast("long"))
-    else:
-        named = known.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    # a class without links is told by all of its 128 bits
-    named = named.withColumn("rest", F.when(F.col("comp").isNull(), F.col("check")).otherwise(0)).withColumn("comp", F.coalesce("comp", "cls"))
-    some = F.col("n") > 0
-    lowest = named.where(some).groupBy("comp", "rest").agg(F.min("id").alias("low"))
-    result = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("low")).otherwise(F.col("id")).alias("component_id")]
-    named = named.select("id", "n", "cls", "check", "comp", "rest").join(lowest, ["comp", "rest"], "left")
-    if not with_links:
-        return named.select(*result)
-    copies = known.where(some).groupBy("cls", "check").agg((F.count("*")).alias("copies"))
-    named = named.join(copies, ["cls", "check"], "left")
-    links = F.lit(0)
+    # what a class has is found for classes first, so that only one join meets the rows of a group of copies
+    copies = scratch.save(known.where(F.col("n") > 0).groupBy("cls", "check").agg(F.count("*").alias("copies"), F.min("id").alias("low")))
+    facts = copies.select("cls", "check", "low", (F.col("copies") - 1).alias("links"))
     if labels is not None:
-        weights = copies.groupBy("cls").agg(F.sum("copies").alias("weight"))
-        counted = scratch.save(_links(labels, weights, classes, sim))
-        named, links = named.join(counted, "cls", "left"), F.coalesce("links", F.lit(0))
-    return named.select(*result, F.when(some, F.col("copies") - 1 + links).otherwise(0).alias("n_links"))
+        linked = copies.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        lowest = scratch.save(linked.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("low").alias("comp_low")))
+        facts = linked.join(lowest, "comp", "left").select("cls", "check", F.coalesce("comp_low", "low").alias("low"), (F.col("copies") - 1).alias("links"))
+        if with_links:
+            counted = _links(labels, copies.groupBy("cls").agg(F.sum("copies").alias("weight")), classes, sim)
+            facts = facts.join(counted.withColumnRenamed("links", "others"), "cls", "left").select("cls", "check", "low", (F.col("links") + F.coalesce("others", F.lit(0))).alias("links"))
+    named = known.select("id", "n", "cls", "check").join(scratch.save(facts), ["cls", "check"], "left")
+    result = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id")]
+    return named.select(*result, *[F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] * with_links)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
