@@ -1,12 +1,14 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written there cuts the lineage and survives the loss of executors.  The
-folder is ``spark.checkpoint.dir`` of the session; only where that is unset (as in
-tests) a folder of this machine is taken.
+folder is ``spark.checkpoint.dir`` of the session.  Where that is unset, a session in local mode (as in
+tests) takes a folder of this machine; on a cluster that would lose rows and is an error.
+Tables that a result still reads stay until the session ends.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +20,17 @@ class Scratch:
     """Tables of one run of an operator, in a folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabdelta-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="tabdelta-")
         self.spark = spark
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._saved: list[tuple[DataFrame, str]] = []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(path)
 
     def save(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         """Write ``df`` and return it read back."""
@@ -33,12 +42,10 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that no later step reads."""
-        jvm = self.spark._jvm
         for table in tables:
             for saved, at in self._saved:
                 if saved is table:
-                    path = jvm.org.apache.hadoop.fs.Path(at)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                    self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
