@@ -9,7 +9,9 @@ from it for the sketch to decide.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -21,9 +23,13 @@ from .textkit import map_text
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: over ten standard errors.
 NEAR = 0.2
-#: Spread lines up to this number are broadcast.
-BROADCAST_LINES = 200_000
+#: Spread lines up to this number are broadcast, as keys and first places of some 40 bytes each.
+BROADCAST_LINES = 2_000_000
 _BLANK = " \t\x0b\x0c\r"
+#: Stands for the site of documents without one.
+_NO_SITE = "\x01"
+#: Seeds of the two hashes of a line: Spark's hash of 1 and of 2, so that workers make the keys that Spark makes.
+_SEEDS = [xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42) for k in (1, 2)]
 
 
 def line_keys(line: Column) -> list[Column]:
@@ -34,7 +40,7 @@ def line_keys(line: Column) -> list[Column]:
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """``doc, site, pos, line, k1, k2`` of each line with a word, blank space around it taken off."""
     rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
+        F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit(_NO_SITE)).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
     )
     line = _trimmed(F.col("line"))
     return rows.where(line != "").select("doc", "site", "pos", line.alias("line"), *line_keys(line))
@@ -76,8 +82,8 @@ def remove_spread_lines(
     occurrence of a line, by document id and position, stays, so that what many
     sites copy is left once.  A null site is a site of its own.
 
-    Up to ``broadcast_lines`` such lines are sent to the executors, and no text is shuffled;
-    beyond that their places are joined to the documents.
+    The keys and first places of up to ``broadcast_lines`` such lines are sent to the executors, and
+    no text is shuffled; beyond that their places are joined to the documents.
 
     Null and empty texts stay as they are, with 0 lines.  Rows with a null id stay
     as they are and their lines don't count.  Rows repeated with the same id count as one
@@ -89,34 +95,55 @@ def remove_spread_lines(
     spread = scratch.save(spread_lines(lines, least))
     base = docs.drop("n_lines", "n_removed")
     if spread.count() <= broadcast_lines:
-        return _removed_by_text(base, lines, spread, id_col, text_col, keep_first)
+        return _removed_by_key(base, spread, id_col, text_col, keep_first)
     return _removed_by_place(base, scratch, lines, spread, id_col, text_col, keep_first)
 
 
-def _removed_by_text(base: DataFrame, lines: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
-    """Removal with the spread lines at hand in each task."""
-    first = lines.join(F.broadcast(spread), ["k1", "k2"]).where((F.col("doc") == F.col("first.doc")) & (F.col("pos") == F.col("first.pos")))
-    known = base.sparkSession.sparkContext.broadcast({r["line"]: (r["doc"], r["pos"]) for r in first.select("line", "doc", "pos").distinct().collect()})
-    at, key = base.columns.index(text_col), base.columns.index(id_col)
+class _Places:
+    """First places of spread lines by their keys."""
+
+    def __init__(self, spread: DataFrame):
+        table = spread.select("k1", "k2", "first.doc", "first.pos").orderBy("k1").toArrow()
+        self.k1, self.k2, self.pos = (table[c].to_numpy() for c in ("k1", "k2", "pos"))
+        self.doc = table["doc"].combine_chunks()
+
+    def find(self, lines: list[bytes]) -> np.ndarray:
+        """The place of each line among the spread lines, or -1."""
+        keys = [np.array([xxhash.xxh64_intdigest(x, seed) for x in lines], np.uint64).view(np.int64) for seed in _SEEDS]
+        if not len(self.k1):
+            return np.full(len(lines), -1)
+        at = np.minimum(np.searchsorted(self.k1, keys[0]), len(self.k1) - 1)
+        return np.where((self.k1[at] == keys[0]) & (self.k2[at] == keys[1]), at, -1)
 
-    def clean(doc, text: str | None) -> tuple[str | None, int, int]:
-        if doc is None or not text:
-            return text, 0, 0
-        left, count, places = [], 0, known.value
-        parts = text.split("\n")
-        for pos, part in enumerate(parts):
-            line = part.strip(_BLANK)
-            count += bool(line)
-            place = places.get(line) if line else None
-            if place is None or (keep_first and place == (doc, pos)):
-                left.append(part)
-        return "\n".join(left), count, len(parts) - len(left)
+
+def _removed_by_key(base: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
+    """Removal with the keys of the spread lines at hand in each task."""
+    known = base.sparkSession.sparkContext.broadcast(_Places(spread))
+    at, key = base.columns.index(text_col), base.columns.index(id_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [clean(d, t) for d, t in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), strict=True)]
-        text, count, lost = zip(*rows, strict=True)
+        places = known.value
+        docs, texts = batch.column(key).to_pylist(), batch.column(at).to_pylist()
+        parts = [t.split("\n") if t and d is not None else [] for d, t in zip(docs, texts, strict=True)]
+        trimmed = [x.strip(_BLANK) for p in parts for x in p]
+        lines = [x.encode("utf-8", "surrogatepass") for x in trimmed if x]
+        found = iter(places.find(lines).tolist())
+        count, lost = [0] * len(docs), [0] * len(docs)
+        each = iter(trimmed)
+        for k, (doc, held) in enumerate(zip(docs, parts, strict=True)):
+            left = []
+            for pos, part in enumerate(held):
+                place = -1
+                if next(each):
+                    count[k] += 1
+                    place = next(found)
+                if place < 0 or (keep_first and places.pos[place] == pos and places.doc[place].as_py() == doc):
+                    left.append(part)
+            lost[k] = len(held) - len(left)
+            if lost[k]:
+                texts[k] = "\n".join(left)
         columns = list(batch.columns)
-        columns[at] = pa.array(text, batch.schema.field(at).type)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
         return pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(lost, pa.int64())], [*batch.schema.names, "n_lines", "n_removed"])
 
     schema = StructType([*base.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
@@ -125,18 +152,17 @@ def _removed_by_text(base: DataFrame, lines: DataFrame, spread: DataFrame, id_co
 
 def _removed_by_place(base: DataFrame, scratch: Scratch, lines: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
     """Removal by a join of the places of spread lines with the documents."""
-    hits = lines.join(spread, ["k1", "k2"])
+    hits = lines.select("doc", "pos", "k1", "k2").join(spread, ["k1", "k2"])
     if keep_first:
         hits = hits.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
-    gone = scratch.save(hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "k1")).alias("_gone")))
-    joined = base.join(gone.withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left")
-    parts = F.split(text_col, "\n")
-    words = F.filter(parts, lambda x: _trimmed(x) != "")
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), F.struct(i.alias("pos"), line_keys(_trimmed(x))[0])))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    lost = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(parts) - F.size(left))
-    counted = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(words))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], counted.cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"))
+    gone = scratch.save(hits.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
+    rows = base.select(F.col(id_col).alias("doc"), F.struct(*base.columns).alias("row")).join(gone, "doc", "left")
+    value, parts = F.col("row")[text_col], F.split(F.col("row")[text_col], "\n")
+    left = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), value).otherwise(F.array_join(left, "\n"))
+    lost = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    counted = F.when(F.col("doc").isNull() | value.isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: _trimmed(x) != "")))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in base.columns], counted.cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"))
 
 
 def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:

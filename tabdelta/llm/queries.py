@@ -140,7 +140,7 @@ FROM ds JOIN ts USING (s) JOIN n USING (template) GROUP BY doc_id, template, lic
     "op6_line_dedup": r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS pos, trim(unnest(ls), E' \t\x0b\f\r') AS line FROM d),
-g AS (SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 10),
+g AS (SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= 10),
 x AS (SELECT doc_id, list(pos) AS gone FROM l JOIN g USING (line) WHERE doc_id <> first.doc_id OR pos <> first.pos GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) FILTER (line <> '') AS n_lines FROM l GROUP BY doc_id)
 SELECT d.doc_id,

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabdelta.llm.line_dedup import remove_spread_lines, without_spread_lines
 
@@ -13,7 +14,7 @@ def brute(rows, least):
         for pos, line in enumerate(text.split("\n")):
             if line.strip(" \t\x0b\f\r"):
                 key = line.strip(" \t\x0b\f\r")
-                sites[key].add(site or "")
+                sites[key].add(site)
                 first[key] = min(first.get(key, (i, pos)), (i, pos))
     out = []
     for i, text, site in rows:
@@ -38,7 +39,7 @@ def test_matches_brute_force(spark, rng, least, broadcast_lines):
         lines = [f"own {i} {rng.random()}"] + [("  " if rng.random() < 0.3 else "") + c for k, c in enumerate(common) if rng.random() < 0.5 and i % 15 <= k] + [""]
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), f"s{i % 15}" if i % 17 else None))
-    rows += [(400, None, "s1"), (401, "", "s1"), (402, "\n \n", None), (None, common[0], "s2"), rows[5]]
+    rows += [(400, None, "s1"), (401, "", "s1"), (402, "\n \n", None), (403, common[11], ""), (404, "é—ü", "s1"), (None, common[0], "s2"), rows[5]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = remove_spread_lines(docs, least=least, broadcast_lines=broadcast_lines)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute(rows, least), key=str)
@@ -58,6 +59,15 @@ def test_stage_keeps_columns_counts_text_and_drops_what_it_emptied(spark):
     assert got == {0: ("all the same", 12), 50: ("and more", 8), 51: (None, None)}
 
 
+@pytest.mark.parametrize("broadcast_lines", [0, 1000])
+def test_clashing_columns_and_repeated_ids(spark, broadcast_lines):
+    rows = [(f"d{i}", f"é same line\nown {i}" if i else "é same line", f"s{i}", i) for i in range(12)] + [("d3", "é same line", "s3", 99)]
+    docs = spark.createDataFrame(rows, "key string, text string, source string, _gone int").withColumn("doc", F.lit(1)).withColumn("_doc", F.lit(2)).withColumn("pos", F.lit(3))
+    got = remove_spread_lines(docs, id_col="key", broadcast_lines=broadcast_lines)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted((r.key, r._gone, r.text, r.n_removed) for r in got.collect()) == sorted((k, n, "é same line" if k == "d0" else t.removeprefix("é same line").lstrip("\n"), int(k != "d0")) for k, t, _, n in rows)
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string, n_lines int")
     got = remove_spread_lines(empty)
