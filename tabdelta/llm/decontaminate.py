@@ -9,6 +9,10 @@ one-row bands a window with a similarity of 0.19 goes unseen with a chance of ab
 1e-6.  Items found are verified by exact containment of their shingles in the
 document.
 
+An item that a document holds in pieces, scattered over more than a window, is found by its signature as
+a whole: the shingles that are its minima are a sample of it, and if a document holds half of
+them anywhere, the item is verified too.
+
 A band can only agree if the window holds the very shingle that is the item's minimum,
 so signatures are made only of windows that hold such a shingle; the outcome is the
 same as with all signatures.
@@ -17,7 +21,7 @@ same as with all signatures.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -45,21 +49,30 @@ class ItemIndex:
         self.sets: list[tuple[int, int, np.ndarray]] = []
         bands: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         anchors: dict[tuple[int, int], set[int]] = defaultdict(set)
+        minima: list[set[int]] = []
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
             shingles = np.unique(window_hashes(words, width))
             part = (min(width, len(words)), int(len(shingles)).bit_length() - 1)
+            minima.append(set())
             for i, seed in enumerate(_SEEDS):
                 values = mix64(shingles ^ seed)
                 k = int(values.argmin())
                 bands[part][i, int(values[k])].append(len(self.sets))
-                anchors[part].add(int(shingles[k]))
+                minima[-1].add(int(shingles[k]))
+            anchors[part] |= minima[-1]
             self.sets.append((item_id, part[0], shingles))
         self.parts = {
             part: (np.array(sorted(anchors[part]), np.uint64), dict(bands[part])) for part in sorted(bands)
         }
+        #: Items of each anchor, and how many anchors each item has.
+        self.owners: dict[int, list[int]] = defaultdict(list)
+        self.n_anchors = [len(x) for x in minima]
+        for k, own in enumerate(minima):
+            for x in own:
+                self.owners[x].append(k)
 
     def search(self, text: str | None, least: float) -> list[tuple[int, int, int]]:
         """(item, shared shingles, shingles of the item) of the items contained in a text."""
@@ -74,6 +87,8 @@ class ItemIndex:
             h = hashes[width]
             at = np.searchsorted(anchors, h)
             hits = np.flatnonzero(anchors[np.minimum(at, len(anchors) - 1)] == h)
+            held = Counter(k for x in set(h[hits].tolist()) for k in self.owners[x])
+            found.update(k for k, n in held.items() if 2 * n >= self.n_anchors[k] and self.sets[k][1] == width)
             length = 1 << (size + 2)
             step = length // 2
             # window k holds the shingles from k * step to k * step + length
@@ -100,11 +115,13 @@ def decontaminate(
     width: int = 5,
     least: float = 0.8,
     block: int = 20_000,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Pairs of a document and a test item of whose shingles it holds ``least`` or more.
 
     Items are the stated query set: they go to the executors in blocks of about
-    ``block``, each sought in all documents.  Documents are neither shuffled nor cut.
+    ``block`` items and ``block_bytes`` of their texts, each sought in all documents.  Documents
+    are neither shuffled nor cut.
 
     Texts are folded to lower case (A-Z) and split at white space.  An item with fewer
     than ``width`` words is one sequence of its own length.  Null, empty and blank
@@ -116,7 +133,8 @@ def decontaminate(
     schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, n_shared long, n_item long, containment double"
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string").alias("text"))
     sought = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(item_col, item_text_col)
-    blocks = max(1, math.ceil(sought.count() / block))
+    size = sought.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(item_text_col).cast("string"))), F.lit(0))).first()
+    blocks = max(1, math.ceil(size[0] / block), math.ceil(size[1] / block_bytes))
     out: DataFrame | None = None
     for k in range(blocks):
         part = sought.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == k)
@@ -139,6 +157,9 @@ def decontaminate(
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those that ``decontaminate`` pairs with an item; rows with a null id stay."""
+    """``docs`` without those that ``decontaminate`` pairs with an item; rows with a null id stay.
+
+    Rows go by id: if an id has several texts, all go with the one that holds an item.
+    """
     pairs = decontaminate(docs, items, id_col, text_col, **options)
     return docs.join(Scratch(docs.sparkSession, "decontaminate").save(pairs.select(id_col).distinct()), id_col, "left_anti")

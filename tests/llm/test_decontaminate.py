@@ -40,6 +40,23 @@ def test_matches_brute_force(spark, docs_of, rng, odd):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in docs if d not in hit)
 
 
+def test_items_scattered_over_long_documents(spark, docs_of, rng):
+    """Items in pieces of some words, hundreds of words apart, are found by the share of their minima; recall is measured."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(i, " ".join(words(rng, n, letters))) for i, n in enumerate([20, 30, 50, 80, 120, 200, 400] * 6)]
+    docs = []
+    for i, text in items:
+        w, out = text.split(), []
+        step = max(len(w) // rng.randint(1, 3), 12)
+        for at in range(0, len(w), step):  # pieces overlap by four words, so that no shingle is lost
+            out += [*w[max(at - 4, 0) : at + step], *words(rng, rng.randint(200, 900), letters)]
+        docs.append((i, " ".join(out)))
+    want = brute(docs, items, 5, 0.8)
+    got = decontaminate(docs_of(docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=5000)
+    found = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got.collect()}
+    assert len(want) == len(items) and found <= set(want) and len(found) >= 0.99 * len(want)
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs_of([(1, "a b c d e f")]), none).count() == 0
