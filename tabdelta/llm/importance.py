@@ -120,8 +120,8 @@ def resample(
     ``kept`` marks the ceil(share * rows) largest keys; rows with the very same key as
     the last of these (the same id and text) are kept with it.
 
-    Null and empty texts have log importance 0.  Each row of ``docs`` gets one row; a null
-    id draws the noise of id 0.  Without target documents all importances are 0 and the
+    Null and empty texts have log importance 0.  Each row of ``docs`` gets one row.  Ids that are no
+    whole numbers draw noise by their hash; a null id draws the same noise each time.  Without target documents all importances are 0 and the
     sample is uniform.  An empty table gives an empty result.  Further columns are ignored.
     """
     spark = docs.sparkSession
@@ -133,11 +133,14 @@ def resample(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = np.array([weights.value[features(t, buckets)].sum() for t in batch.column(1).to_pylist()])
-        ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score + gumbel(ids, seed))], [id_col, "log_weight", "sample_key"])
+        noise = gumbel(batch.column(2).to_numpy(zero_copy_only=False), seed)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score + noise)], [id_col, "log_weight", "sample_key"])
+
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(0)) if whole else F.xxhash64(id_col)
 
     scratch = Scratch(spark, "importance")
-    scored = scratch.save(map_text(texts, run, f"{id_col} {kind}, log_weight double, sample_key double"))
+    scored = scratch.save(map_text(texts.withColumn(f"{id_col}_number", number), run, f"{id_col} {kind}, log_weight double, sample_key double"))
     rows = scored.count()
     if not rows:
         return scored.withColumn("kept", F.lit(True))

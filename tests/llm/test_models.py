@@ -147,6 +147,12 @@ def test_resample_of_empty_tables(spark, docs_of):
     assert {r.log_weight for r in I.resample(docs_of([(1, "a b"), (2, None)]), none).collect()} == {0.0}
 
 
+def test_resample_with_names_for_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}" if i % 9 else None, f"word{i % 7} again") for i in range(90)], "doc_id string, text string")
+    got = I.resample(docs, docs.where("doc_id > 'd5'").select("doc_id"), share=0.5).collect()
+    assert len(got) == 90 and len({r.sample_key for r in got if r.doc_id}) == 80 and 45 <= sum(r.kept for r in got) <= 55
+
+
 # language identification ----------------------------------------------------------
 
 
