@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from .errors import TabDeltaError
 from .operators import checks, merge
-from .operators.diff import snapshot_diff
-from .operators.keys import detect_key
+from .operators.compare import compare_tables
 from .sources.csv import detect_delimiter
-from .sources.snapshots import as_cells
 
 #: Findings shown of each severity.
 LINES = 50
@@ -49,21 +47,20 @@ def parse_answer(text: str) -> tuple[str, str, str | None, str | None]:
 
 
 def compare(spark: SparkSession, args: argparse.Namespace) -> int:
-    old, new = read_table(spark, args.old), read_table(spark, args.new)
-    names = [c for c in old.columns if c in new.columns]
-    key = detect_key(as_cells(old.select(*names)), as_cells(new.select(*names)), names, given=args.key)
-    if key.mode == "order":
-        print("No key was found; name one with --key.", file=sys.stderr)
-        return 1
-    diff = snapshot_diff(old, new, key.columns)
-    shown = [x.select(F.concat_ws(" / ", *[F.col(c).cast("string") for c in key.columns]).alias("key")) for x in (old, new)]
-    findings = checks.run_checks(diff, *shown).persist()
-    counts = diff.counts().first().asDict() | checks.severity_counts(findings).first().asDict()
-    top = {s: [r["message"] for r in checks.ranked(findings.where(F.col("severity") == s)).limit(LINES).collect()] for s in checks.SEVERITIES}
+    found = compare_tables(read_table(spark, args.old), read_table(spark, args.new), given=args.key)
+    findings = found.findings.persist()
+    counts = found.counts().first().asDict()
+    top = {s: [r["message"] for r in checks.ranked(findings.where(F.col("severity") == s)).where(F.col("rank") <= LINES).orderBy("rank").collect()] for s in checks.SEVERITIES}
+    matched_by = ", ".join(sorted(r["matched_by"] for r in found.matched_by.collect())) or "key"
+    findings.unpersist()
+    found.close()
+    columns = [{"old": m.old, "new": m.new, "status": m.status} for m in found.columns]
     if args.json:
-        print(json.dumps({"key": key.columns, "counts": counts, "findings": top}, ensure_ascii=False))
+        print(json.dumps({"key": found.key.columns, "matched_by": matched_by, "columns": columns, "counts": counts, "findings": top}, ensure_ascii=False))
         return 0
     print(f"{counts['real_changes']} real change(s), {counts['needs_attention']} need attention.")
+    if not found.key.columns:
+        print(f"No key was found; rows were matched by {matched_by}.")
     for severity, lines in top.items():
         if lines:
             print(f"\n{severity.capitalize()}")
@@ -86,7 +83,9 @@ def run_merge(spark: SparkSession, args: argparse.Namespace) -> int:
     changes = merge.change_set(classes, answers)
     merge.merged_table(base, a, b, key, changes).write.mode("overwrite").parquet(f"{args.out}/table")
     merge.merge_log(classes, answers).write.mode("overwrite").parquet(f"{args.out}/log")
-    print(f"{merge.proposals(classes).count()} proposal(s) and {len(rows)} answer(s) were applied.")
+    n = merge.proposals(classes).count()
+    classes.unpersist()
+    print(f"{n} proposal(s) and {len(rows)} answer(s) were applied.")
     return 0
 
 

@@ -55,6 +55,24 @@ def typed_cell(column: Column, kind: T.DataType) -> Column:
     return cell(F.when(blank, EMPTY).otherwise(STRING), None, F.when(~blank, text))
 
 
+def is_cell(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and kind.fieldNames() == ["kind", "num", "text", "formula"]
+
+
+def as_cell(column: Column, kind: T.DataType) -> Column:
+    """A column of cells as it is, a typed one as cells."""
+    return column if is_cell(kind) else typed_cell(column, kind)
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cell_of(df: DataFrame, name: str) -> Column:
+    return as_cell(named(name), df.schema[name].dataType)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value worked out once and the body kept as one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -117,7 +135,14 @@ def round_for_key(num: Column, tolerance: float) -> Column:
 
 
 def number_text(num: Column) -> Column:
-    """Shortest text of a number: 5, 0.25, 1e+21."""
+    """Shortest text of a number: 5, 0.25, 1e+21.
+
+    One function of the number, as its branches would swell generated code wherever it is used.
+    """
+    return let(num, _number_text)
+
+
+def _number_text(num: Column) -> Column:
     size = F.abs(num)
     plain = F.regexp_replace(F.regexp_replace(num.cast("decimal(38,17)").cast("string"), "0+$", ""), r"\.$", "")
     sci = F.regexp_replace(F.regexp_replace(F.regexp_replace(num.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
@@ -318,7 +343,7 @@ def format_inr(num: Column) -> Column:
 
 def format_value(c: Column, header: Column) -> Column:
     """A cell for a message: (blank) if empty, rupees in columns of amounts."""
-    number = F.when(is_amount_header(header), format_inr(c["num"])).otherwise(number_text(c["num"]))
+    number = F.when(is_amount_header(header), let(c["num"], format_inr)).otherwise(number_text(c["num"]))
     return F.when(c["kind"].isin(NUMBER, DATE), number).otherwise(F.coalesce(scalar_text(c), F.lit("(blank)")))
 
 

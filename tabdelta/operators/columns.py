@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaccard, jaro_winkler, normalize_header, overlap, token_set_ratio
-from ..functions.values import is_empty, row_hash
+from ..functions.values import is_empty, named, row_hash
 from ..options import CompareOptions
 
 
@@ -61,7 +61,7 @@ def match_columns(old: list[str], new: list[str], old_kinds: dict[str, int] | No
 
 def signature(cells: DataFrame, columns: list[str], row: str = "r", rows: int = 200, o: CompareOptions = CompareOptions()) -> DataFrame:
     """``headers, hashes`` of a sheet: normalised headers, and hashes of its first rows."""
-    some = cells.where(F.col(row) < rows).agg(F.collect_set(row_hash([F.col(c) for c in columns], o)).alias("hashes"))
+    some = cells.where(F.col(row) < rows).agg(F.collect_set(row_hash([named(c) for c in columns], o)).alias("hashes"))
     return some.select(F.array(*[F.lit(normalize_header(c)) for c in columns]).alias("headers"), "hashes")
 
 

@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import EMPTY, NUMBER, change_kind, compare_values, display_key, is_empty, large_change, let, number_as_text, scalar_text
+from ..functions.values import EMPTY, NUMBER, as_cell, change_kind, compare_values, display_key, is_empty, large_change, let, number_as_text, scalar_text
 from ..options import CompareOptions
-from ..sources.snapshots import as_cells
 from .rows import pair_by_key
 
 UNCHANGED, CHANGED, ADDED, REMOVED, MOVED = "unchanged", "changed", "added", "removed", "moved"
@@ -39,17 +38,28 @@ def _flags(a: Column, b: Column, kind: Column, numeric: Column) -> Column:
     return F.array_compact(F.array(large, text))
 
 
-def diff_pairs(pairs: DataFrame, columns: list[tuple[str, str]], old_keys: list[str], new_keys: list[str], o: CompareOptions = CompareOptions(), numeric: frozenset[str] = frozenset()) -> Diff:
+def diff_pairs(pairs: DataFrame, columns: list[tuple[str, str]], old_keys: list[str], new_keys: list[str], o: CompareOptions = CompareOptions(), numeric: frozenset[str] = frozenset(), label: str | None = None) -> Diff:
     """Compare paired rows cell by cell.
 
-    ``columns`` pairs old with new column names.  Every row makes one array of its cells
-    that differ, so a row without changes makes none; nothing is shuffled.
+    ``columns`` pairs old with new column names, typed or cells.  Values that are the same bit by
+    bit are passed over as they are; only the others become cells that the rules judge.
+    Nothing is shuffled.  ``label`` names a column of row numbers that stands for a missing key.
     """
     old, new = F.col("old"), F.col("new")
-    key = F.coalesce(F.nullif(F.when(new.isNotNull(), display_key([new[k] for k in new_keys])), F.lit("")), F.when(old.isNotNull(), display_key([old[k] for k in old_keys])), F.lit(""))
+    kinds = {side: {f.name: f.dataType for f in pairs.schema[side].dataType.fields} for side in ("old", "new")}
 
-    def one(a: Column, b: Column, name: str) -> Column:
-        return F.when(~a.eqNullSafe(b), F.struct(F.lit(name).alias("column"), a.alias("old"), b.alias("new"), F.lit(name in numeric).alias("numeric")))
+    def at(side: str, name: str) -> Column:
+        return as_cell(F.col(side)[name], kinds[side][name])
+
+    shown = [F.nullif(F.when(F.col(s).isNotNull(), display_key([at(s, k) for k in ks])), F.lit("")) for s, ks in (("new", new_keys), ("old", old_keys)) if ks]
+    if label:
+        shown.append(F.concat(F.lit("row "), (F.coalesce(new[label], old[label]) + 1).cast("string")))
+    key = F.coalesce(*shown, F.lit(""))
+
+    def one(x: str, y: str) -> Column:
+        same_kind = kinds["old"][x] == kinds["new"][y]
+        unlike = ~old[x].eqNullSafe(new[y]) if same_kind else ~at("old", x).eqNullSafe(at("new", y))
+        return F.when(unlike, F.struct(F.lit(y).alias("column"), at("old", x).alias("old"), at("new", y).alias("new"), F.lit(y in numeric).alias("numeric")))
 
     def judged(c: Column) -> Column:
         def made(kind: Column) -> Column:
@@ -57,23 +67,21 @@ def diff_pairs(pairs: DataFrame, columns: list[tuple[str, str]], old_keys: list[
 
         return let(change_kind(c["old"], c["new"], o), made)
 
-    # only cells that differ at all are judged by the rules
-    unlike = F.array_compact(F.array(*[one(old[x], new[y], y) for x, y in columns]))
-    cells = F.filter(F.transform(unlike, judged), lambda c: c["kind"].isNotNull())
+    unlike = F.array_compact(F.array(*[one(x, y) for x, y in columns]))
     both = old.isNotNull() & new.isNotNull()
-    compared = pairs.select(key.alias("key"), "old", "new", F.when(both, cells).alias("cells"))
-    real = F.exists("cells", lambda c: ~c["kind"].isin("recalculated", "format_changed"))
-    state = F.when(old.isNull(), ADDED).when(new.isNull(), REMOVED).when(real, CHANGED).otherwise(UNCHANGED)
-    states = compared.select("key", state.alias("state"))
-    changes = compared.select("key", F.explode("cells").alias("x")).select("key", "x.*")
+    first = F.when(old.isNull(), ADDED).when(new.isNull(), REMOVED)
+    # rows are left behind before the rules apply, and rows without unlike cells aren't judged
+    compared = pairs.select(key.alias("key"), first.alias("first"), F.when(both, unlike).alias("unlike"))
+    real = F.exists("unlike", lambda c: F.coalesce(~change_kind(c["old"], c["new"], o).isin("recalculated", "format_changed"), F.lit(False)))
+    states = compared.select("key", F.coalesce("first", F.when(F.size("unlike") > 0, F.when(real, CHANGED)), F.lit(UNCHANGED)).alias("state"))
+    changes = compared.where(F.size("unlike") > 0).select("key", F.explode("unlike").alias("x")).select("key", judged(F.col("x")).alias("x")).select("key", "x.*").where("kind IS NOT NULL")
     return Diff(pairs, states, changes)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str] | None = None, o: CompareOptions = CompareOptions(), numeric: frozenset[str] = frozenset()) -> Diff:
     """Compare two typed tables with the same column names by their ``keys``."""
     names = columns or [c for c in old.columns if c in set(new.columns)]
-    a, b = as_cells(old.select(*names)), as_cells(new.select(*names))
-    pairs = pair_by_key(a, b, keys, keys, o)
+    pairs = pair_by_key(old.select(*names), new.select(*names), keys, keys, o)
     return diff_pairs(pairs, [(c, c) for c in names], keys, keys, o, numeric)
 
 

@@ -270,17 +270,21 @@ def equivalent(pairs: DataFrame, row_map: DataFrame) -> DataFrame:
     return pairs.join(moved, "id").select("id", (canonical(F.col("formula")) == canonical(F.col("new"))).alias("same"))
 
 
+#: Functions whose ranges are totals.
+TOTALS = r"(?i)\b(SUM|AVERAGE|MIN|MAX|COUNT|COUNTA|COUNTBLANK|SUMIF|SUMIFS|COUNTIF|COUNTIFS|AVERAGEIF|AVERAGEIFS|SUBTOTAL|SUMPRODUCT)\("
+
+
 def short_totals(formulas: DataFrame, tables: DataFrame) -> DataFrame:
-    """CHK-02 hits: ``id, sheet, last, first_missing, last_missing`` of aggregate ranges that stop before a table's end.
+    """CHK-02 hits: ``id, sheet, c1, last, first_missing, last_missing`` of aggregate ranges that stop before a table's end.
 
     ``tables`` holds ``sheet, data_start, data_end, c_first, c_last``, a row for each sheet.
     A range counts if it starts at the table's first or second row, covers half of it or more
     and touches its columns.
     """
-    totals = formulas.where(F.col("formula").rlike(r"(?i)\b(SUM|AVERAGE|MIN|MAX|COUNT|COUNTA|COUNTBLANK|SUMIF|SUMIFS|COUNTIF|COUNTIFS|AVERAGEIF|AVERAGEIFS|SUBTOTAL|SUMPRODUCT)\("))
+    totals = formulas.where(F.col("formula").rlike(TOTALS))
     refs = references(totals).where("r2 IS NOT NULL")
     hit = refs.join(F.broadcast(tables), "sheet")
     cover = (F.col("r2") - F.greatest("r1", "data_start") + 1) / (F.col("data_end") - F.col("data_start") + 1)
     near = (F.col("r1") <= F.col("data_start") + 1) & (F.col("data_start") <= F.col("r2")) & (F.col("r2") < F.col("data_end"))
     inside = (F.col("c1") <= F.col("c_last")) & (F.col("c2") >= F.col("c_first"))
-    return hit.where(near & inside & (cover >= 0.5)).select("id", "sheet", F.col("r2").alias("last"), (F.col("r2") + 1).alias("first_missing"), F.col("data_end").alias("last_missing"))
+    return hit.where(near & inside & (cover >= 0.5)).select("id", "sheet", "c1", F.col("r2").alias("last"), (F.col("r2") + 1).alias("first_missing"), F.col("data_end").alias("last_missing"))

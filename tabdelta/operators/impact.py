@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import rc_to_a1
-from .formulas import references, short_totals
+from .formulas import TOTALS, references
 
 
 def totals_before_after(base: DataFrame, merged: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,10 +20,13 @@ def totals_before_after(base: DataFrame, merged: DataFrame, columns: list[str])
 
 
 def extended_ranges(formulas: DataFrame, tables: DataFrame) -> DataFrame:
-    """``id, range_end, new_end``: ends of total ranges that stop before the end of their table, and where they should."""
-    hits = short_totals(formulas, tables)
-    refs = references(formulas).where("r2 IS NOT NULL").select("id", "sheet", F.col("r2").alias("last"), "c2").distinct()
-    return hits.join(refs, ["id", "sheet", "last"]).select("id", rc_to_a1(F.col("last"), F.col("c2")).alias("range_end"), rc_to_a1(F.col("last_missing"), F.col("c2")).alias("new_end"))
+    """``id, range_end, new_end``: ends of all ranges of totals that stop before the end of their merged table, and that end.
+
+    ``formulas`` have followed the merge (``translate``); ``tables`` holds ``sheet, data_end`` of the merged tables.
+    """
+    refs = references(formulas.where(F.col("formula").rlike(TOTALS))).where("r2 IS NOT NULL")
+    early = refs.join(F.broadcast(tables.select("sheet", "data_end")), "sheet").where(F.col("r2") < F.col("data_end"))
+    return early.select("id", rc_to_a1(F.col("r2"), F.col("c2")).alias("range_end"), rc_to_a1(F.col("data_end"), F.col("c2")).alias("new_end")).distinct()
 
 
 def self_check(base: DataFrame, merged: DataFrame, key: str, changes: dict[str, DataFrame]) -> DataFrame:

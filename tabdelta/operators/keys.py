@@ -9,10 +9,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import BOOLEAN, DATE, NUMBER, STRING, cell_token, is_empty, matching_key, parse_numeric_text, parse_text_date
+from ..functions.values import BOOLEAN, DATE, NUMBER, STRING, cell_token, is_empty, matching_key, named, parse_numeric_text, parse_text_date
 from ..options import CompareOptions
 
-_NAME = re.compile(r"(\b|_)(id|no|number|code|key|gstin|invoice|ref|sku)\b|key$|id$", re.IGNORECASE)
+#: Words of headers that name keys (fixed values).
+_WORDS = ("no\\.?", "number", "id", "code", "ref", "invoice", "inv", "bill", "voucher", "vch", "employee", "emp", "gstin", "pan", "sku", "order")
+_NAME = re.compile(rf"\b({'|'.join(_WORDS)})\b", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,7 @@ def column_stats(cells: DataFrame, columns: list[str], o: CompareOptions = Compa
 
     Each task counts its distinct tokens before the shuffle.
     """
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")) for c in columns])
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), named(c).alias("cell")) for c in columns])
     long = cells.select(F.explode(parts).alias("x")).select("x.*")
     c = F.col("cell")
     shown = F.coalesce(F.when(c["kind"] == NUMBER, c["num"]), F.when(c["kind"] == STRING, parse_numeric_text(c["text"])))
@@ -52,13 +54,13 @@ def column_stats(cells: DataFrame, columns: list[str], o: CompareOptions = Compa
 
 def duplicates(cells: DataFrame, keys: list[str], o: CompareOptions = CompareOptions()) -> DataFrame:
     """``duplicates``: rows beyond the first of each key."""
-    groups = cells.select(matching_key([F.col(k) for k in keys], o).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    groups = cells.select(matching_key([named(k) for k in keys], o).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def uniqueness(cells: DataFrame, combos: list[list[str]], o: CompareOptions = CompareOptions()) -> DataFrame:
     """``combo, uniq``: distinct keys over rows with a key, of every combination of columns in one pass."""
-    parts = F.array(*[F.struct(F.lit(k).alias("combo"), matching_key([F.col(c) for c in cs], o).alias("key")) for k, cs in enumerate(combos)])
+    parts = F.array(*[F.struct(F.lit(k).alias("combo"), matching_key([named(c) for c in cs], o).alias("key")) for k, cs in enumerate(combos)])
     keys = cells.select(F.explode(parts).alias("x")).select("x.*").where("key IS NOT NULL").groupBy("combo", "key").agg(F.count("*").alias("n"))
     return keys.groupBy("combo").agg((F.count("*") / F.sum("n")).alias("uniq"))
 

@@ -6,10 +6,11 @@ differs from the base's, strictly: no tolerance applies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TabDeltaError
+from ..sources.snapshots import number_rows, running_last
 
 #: What may be answered to each type of conflict.
 ALLOWED = {
@@ -165,15 +166,36 @@ def merged_table(base: DataFrame, a: DataFrame, b: DataFrame, key: str, changes:
     return out
 
 
-def anchors(copy: DataFrame, base_keys: DataFrame, key: str, order: str, part: Column | None = None) -> DataFrame:
+def anchors(copy: DataFrame, base_keys: DataFrame, key: str, order: str, part: str | None = None) -> DataFrame:
     """``key, after``: for each row that the base lacks, the nearest row before it that the base has.
 
     A running last over ``order`` within ``part``; null at the top.
     """
     known = copy.join(base_keys.select(F.col("key").alias("_b")), F.col(key) == F.col("_b"), "left")
-    spec = (Window.partitionBy(part) if part is not None else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    after = F.last("_b", ignorenulls=True).over(spec)
-    return known.select(F.col(key).alias("key"), after.alias("after"), F.col("_b").isNull().alias("new")).where("new").drop("new")
+    rows = known.select(F.col(key).alias("key"), F.col(order).alias("_o"), "_b", *([F.col(part).alias("_part")] if part else []))
+    found = running_last(rows, ["_o"], F.col("_b"), "after", "_part" if part else None)
+    return found.where("_b IS NULL").select("key", "after")
+
+
+def merged_rows(base: DataFrame, a: DataFrame, b: DataFrame, key: str, changes: dict[str, DataFrame], order: str, name: str = "row") -> DataFrame:
+    """The merged table with its rows in order and their number from 0.
+
+    Base rows keep their ``order``; an inserted row follows the base row before it in its copy (at the top
+    if there is none), also where that row was deleted; first those of copy A, then those of B.
+    """
+    merged = merged_table(base, a, b, key, changes)
+    ranked = number_rows(base.select(F.col(key).alias("_bk"), F.col(order).alias("_bo")), "_bo", name="_pos")
+    new = changes["row_inserts"]
+    after = None
+    for k, (side, who) in enumerate(((a, ["A", "both"]), (b, ["B"]))):
+        found = anchors(side, base.select(F.col(key).alias("key")), key, order)
+        taken = new.where(F.col("source").isin(who)).select(F.col("key").alias("_new"), F.col("row_key").alias("_k"))
+        rows = found.join(side.select(F.col(key).alias("key"), F.col(order).alias("_o")), "key").join(taken, F.col("key").cast("string") == F.col("_k"))
+        part = rows.join(ranked, F.col("after") == F.col("_bk"), "left").select(F.col("_new").alias("_text"), F.coalesce("_pos", F.lit(-1)).alias("_at"), F.lit(k + 1).alias("_side"), F.col("_o").alias("_within"))
+        after = part if after is None else after.unionByName(part)
+    own = ranked.select(F.col("_bk").cast("string").alias("_text"), F.col("_pos").alias("_at"), F.lit(0).alias("_side"), F.col("_bo").alias("_within"))
+    placed = merged.join(own.unionByName(after), F.col(key).cast("string") == F.col("_text"))
+    return number_rows(placed, "_at", "_side", "_within", name=name).select(*merged.columns, name)
 
 
 def merge_log(classes: DataFrame, answers: DataFrame, unticked: DataFrame | None = None, labels: tuple[str, str] = ("Copy 1", "Copy 2"), sheet: str = "Sheet1") -> DataFrame:

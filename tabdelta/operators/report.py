@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import scalar_text
+from ..sources.snapshots import running_last
 from .diff import REMOVED
 
 
@@ -26,9 +27,8 @@ def removed_rows(old: DataFrame, states: DataFrame, key: str, order: str) -> Dat
     """``key, after``: removed rows and the nearest row before them, in ``order``, that is left."""
     gone = states.where(F.col("state") == REMOVED).select(F.col("key").alias("_k")).withColumn("gone", F.lit(True))
     rows = old.select(F.col(key).cast("string").alias("key"), F.col(order).alias("_o")).join(gone, F.col("key") == F.col("_k"), "left")
-    w = Window.partitionBy(F.lit(0)).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    after = F.last(F.when(F.col("gone").isNull(), F.col("key")), ignorenulls=True).over(w)
-    return rows.select("key", after.alias("after"), "gone").where("gone").drop("gone")
+    found = running_last(rows.select("key", "_o", "gone"), ["_o"], F.when(F.col("gone").isNull(), F.col("key")), "after")
+    return found.where("gone").select("key", "after")
 
 
 def summary(counts: dict[str, int], high: list[str], most: int = 1000) -> str:

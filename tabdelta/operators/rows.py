@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import cell_token, matching_key, row_hash
+from ..functions.values import cell_of, cell_token, matching_key, named
 from ..options import CompareOptions
 
 #: Above this product of row counts, rows are paired as a multiset.
@@ -18,34 +20,66 @@ CHURN = 0.4
 HUNK = 2_000
 
 
-def keyed(cells: DataFrame, keys: list[str], o: CompareOptions = CompareOptions(), order: Column | None = None) -> DataFrame:
-    """``cells`` with ``_key`` (null if a part is empty) and ``_occ``, the place among rows of that key."""
-    rows = cells.withColumn("_key", matching_key([F.col(k) for k in keys], o))
-    order = order if order is not None else F.xxhash64(*[c for c in cells.columns])
-    return rows.withColumn("_occ", F.when(F.col("_key").isNotNull(), F.row_number().over(Window.partitionBy("_key").orderBy(order))))
+def row_place() -> Column:
+    """The place of a row in its table as it is read; the order in which double rows are taken by default."""
+    return F.monotonically_increasing_id()
 
 
 def pair_by_key(old: DataFrame, new: DataFrame, old_keys: list[str], new_keys: list[str], o: CompareOptions = CompareOptions(), order: Column | None = None) -> DataFrame:
     """``old, new`` row structs: the k-th row of a key pairs with the k-th; a side is null if unmatched.
 
-    Rows with an empty key cell match nothing.  One shuffle of each side by key.
+    Columns are typed or cells.  Rows with an empty key cell match nothing.  Both sides go
+    through one shuffle by key, in which rows without a key are spread on their own; there
+    the rows of a key are numbered by ``order`` on each side, and equal numbers meet.
     """
-    a = keyed(old, old_keys, o, order).select("_key", "_occ", F.struct(*old.columns).alias("old"))
-    b = keyed(new, new_keys, o, order).select("_key", "_occ", F.struct(*new.columns).alias("new"))
-    return a.join(b, ["_key", "_occ"], "full_outer").select("old", "new")
+    place = order if order is not None else row_place()
+    kinds = [df.schema for df in (old, new)]
+
+    def side(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+        names = ["old", "new"]
+        # a key that no row has twice stands for a missing one
+        key = F.coalesce(matching_key([cell_of(df, c) for c in keys], o), F.concat(F.lit(f"\u0000{k}:"), row_place().cast("string")))
+        structs = [F.struct(*map(named, df.columns)).alias(names[k]) if i == k else F.lit(None).cast(kinds[i]).alias(names[i]) for i in (0, 1)]
+        return df.select(key.alias("_key"), F.lit(k).alias("_side"), place.alias("_place"), *structs)
+
+    both = side(old, old_keys, 0).unionByName(side(new, new_keys, 1)).repartition("_key")
+    number = F.row_number().over(Window.partitionBy("_key", "_side").orderBy("_place"))
+    met = Window.partitionBy("_key", "_k").orderBy("_side")
+    rows = both.withColumn("_k", number).select("_side", "old", "new", F.lead("new").over(met).alias("_new"), F.lag("_side").over(met).alias("_before"))
+    # an old row takes the new one after it; a new row stands alone if no old one is before it
+    return rows.where((F.col("_side") == 0) | F.col("_before").isNull()).select("old", F.when(F.col("_side") == 0, F.col("_new")).otherwise(F.col("new")).alias("new"))
+
+
+def number_within(rows: DataFrame, groups: list[str], place: str, name: str) -> DataFrame:
+    """``rows`` with their number from 1 within ``groups``, by ``place``; a group of any size is numbered in ranges.
+
+    Ranges number their rows on their own, and the sizes of a group's parts in the ranges
+    before, a small table, are added.
+    """
+    order = [*groups, place]
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p", *groups).orderBy(place)))
+    sizes = local.groupBy("_p", *groups).agg(F.max("_n").alias("_size"))
+    split = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).where("_before > 0")
+    # at most one group goes on from each range into the next
+    joined = local.join(F.broadcast(split.drop("_size")), ["_p", *groups], "left")
+    return joined.select(*rows.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).alias(name))
 
 
 def pair_as_multiset(old: DataFrame, new: DataFrame, old_columns: list[str], new_columns: list[str], o: CompareOptions = CompareOptions(), order: Column | None = None) -> DataFrame:
-    """Rows with equal values pair, the k-th with the k-th; columns are compared by position."""
+    """Rows with equal values pair, the k-th with the k-th; columns are compared by position.
+
+    Values are equal if 128 bits of hash of their tokens are.  A row that a large share of all
+    rows equal is spread by its number.
+    """
 
-    def hashed(df: DataFrame, columns: list[str]) -> DataFrame:
-        rows = df.withColumn("_hash", row_hash([F.col(c) for c in columns], o)).withColumn("_text", F.concat_ws("\u001f", *[cell_token(F.col(c), o) for c in columns]))
-        by = order if order is not None else F.lit(0)
-        return rows.withColumn("_occ", F.row_number().over(Window.partitionBy("_hash", "_text").orderBy(by)))
+    def hashed(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+        tokens = F.array(*[cell_token(cell_of(df, c), o) for c in columns])
+        rows = df.select(F.xxhash64(tokens).alias("_h1"), F.xxhash64(F.lit(1), tokens).alias("_h2"), (order if order is not None else row_place()).alias("_place"), F.struct(*map(named, df.columns)).alias(side))
+        return number_within(rows, ["_h1", "_h2"], "_place", "_k").drop("_place")
 
-    a = hashed(old, old_columns).select("_hash", "_text", "_occ", F.struct(*old.columns).alias("old"))
-    b = hashed(new, new_columns).select("_hash", "_text", "_occ", F.struct(*new.columns).alias("new"))
-    return a.join(b, ["_hash", "_text", "_occ"], "full_outer").select("old", "new")
+    keys = ["_h1", "_h2", "_k"]
+    return hashed(old, old_columns, "old").join(hashed(new, new_columns, "new"), keys, "full_outer").select("old", "new")
 
 
 # in order -----------------------------------------------------------------------
@@ -107,49 +141,56 @@ def _similar(left: list[int], right: list[int], old_tokens: list, new_tokens: li
     return pairs
 
 
-def align(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """``old_r, new_r, state`` of two row lists (``r, hash, tokens`` in order): same, similar, moved, removed or added."""
+def align(old: pd.DataFrame, new: pd.DataFrame, churn: float = 1.0) -> pd.DataFrame:
+    """``old_r, new_r, state, multiset`` of two row lists (``r, hash, tokens`` in order).
+
+    States are same, similar, moved, removed or added.  If more than ``churn`` of all rows lie
+    outside the longest common sequence, order says little, and equal rows pair wherever they stand.
+    """
     a, b = old["hash"].to_numpy(), new["hash"].to_numpy()
     anchors = common_sequence(a, b)
-    out = [(i, j, "same") for i, j in anchors]
-    bounds = [(-1, -1), *anchors, (len(a), len(b))]
-    removed: list[int] = []
-    added: list[int] = []
-    for (i0, j0), (i1, j1) in zip(bounds, bounds[1:], strict=False):
-        left, right = list(range(i0 + 1, i1)), list(range(j0 + 1, j1))
-        near = _similar(left, right, old["tokens"].tolist(), new["tokens"].tolist()) if left and right else []
-        out += [(i, j, "similar") for i, j in near]
-        removed += [i for i in left if i not in {p[0] for p in near}]
-        added += [j for j in right if j not in {p[1] for p in near}]
-    waiting: dict[int, list[int]] = {}
+    multiset = len(a) + len(b) - 2 * len(anchors) > churn * (len(a) + len(b))
+    out: list[tuple[int | None, int | None, str]] = []
+    removed, added = list(range(len(a))), list(range(len(b)))
+    if not multiset:
+        out = [(i, j, "same") for i, j in anchors]
+        bounds = [(-1, -1), *anchors, (len(a), len(b))]
+        removed, added = [], []
+        old_tokens, new_tokens = old["tokens"].tolist(), new["tokens"].tolist()
+        for (i0, j0), (i1, j1) in zip(bounds, bounds[1:], strict=False):
+            left, right = list(range(i0 + 1, i1)), list(range(j0 + 1, j1))
+            near = _similar(left, right, old_tokens, new_tokens) if left and right else []
+            out += [(i, j, "similar") for i, j in near]
+            olds, news = {i for i, _ in near}, {j for _, j in near}
+            removed += [i for i in left if i not in olds]
+            added += [j for j in right if j not in news]
+    waiting: dict[int, deque[int]] = {}
     for j in added:
-        waiting.setdefault(b[j], []).append(j)
+        waiting.setdefault(b[j], deque()).append(j)
     for i in removed:
         if waiting.get(a[i]):
-            j = waiting[a[i]].pop(0)
-            out.append((i, j, "moved"))
-            added.remove(j)
+            out.append((i, waiting[a[i]].popleft(), "same" if multiset else "moved"))
         else:
             out.append((i, None, "removed"))
-    out += [(None, j, "added") for j in added]
+    out += [(None, j, "added") for js in waiting.values() for j in js]
     olds, news = old["r"].to_numpy(), new["r"].to_numpy()
-    rows = [(None if i is None else int(olds[i]), None if j is None else int(news[j]), s) for i, j, s in out]
-    return pd.DataFrame(rows, columns=["old_r", "new_r", "state"]).astype({"old_r": "Int64", "new_r": "Int64"})
+    rows = [(None if i is None else int(olds[i]), None if j is None else int(news[j]), s, multiset) for i, j, s in out]
+    return pd.DataFrame(rows, columns=["old_r", "new_r", "state", "multiset"]).astype({"old_r": "Int64", "new_r": "Int64", "multiset": bool})
 
 
-def pair_in_order(old: DataFrame, new: DataFrame, columns: list[str], row: str = "r", o: CompareOptions = CompareOptions(), part: str | None = None) -> DataFrame:
-    """``part, old_r, new_r, state`` of rows without a key, aligned by position within each ``part``.
+def pair_in_order(old: DataFrame, new: DataFrame, columns: list[str], row: str = "r", o: CompareOptions = CompareOptions(), part: str | None = None, new_columns: list[str] | None = None) -> DataFrame:
+    """``part, old_r, new_r, state, multiset`` of rows without a key, aligned by position within each ``part``.
 
-    Only parts within ``WORK`` and ``CHURN`` are aligned, so a task holds a bounded sheet;
-    larger ones, and ones that mostly differ, are paired as multisets by joins.
-    ``multiset`` says which way a part went.
+    Only parts whose row counts multiply to ``WORK`` or less are aligned, so a task holds a bounded
+    sheet; larger ones are paired as multisets by joins, and so are those of which
+    too many rows have no equal.  ``multiset`` says which way a part went.
     """
 
-    def rows(df: DataFrame) -> DataFrame:
-        tokens = F.array(*[cell_token(F.col(c), o) for c in columns])
-        return df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(row).cast("long").alias("r"), F.xxhash64(F.concat_ws("\u001f", tokens)).alias("hash"), tokens.alias("tokens"))
+    def rows(df: DataFrame, names: list[str]) -> DataFrame:
+        tokens = F.array(*[cell_token(cell_of(df, c), o) for c in names])
+        return df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(row).cast("long").alias("r"), F.xxhash64(tokens).alias("hash"), tokens.alias("tokens"))
 
-    a, b = rows(old), rows(new)
+    a, b = rows(old, columns), rows(new, new_columns or columns)
     n = a.groupBy("part").agg(F.count("*").alias("n")).join(b.groupBy("part").agg(F.count("*").alias("m")), "part", "full_outer")
     overlap = a.groupBy("part", "hash").agg(F.count("*").alias("x")).join(b.groupBy("part", "hash").agg(F.count("*").alias("y")), ["part", "hash"]).groupBy("part").agg(F.sum(F.least("x", "y")).alias("both"))
     # rows in no common sequence are at least those without an equal row
@@ -158,20 +199,18 @@ def pair_in_order(old: DataFrame, new: DataFrame, columns: list[str], row: str =
     plan = sizes.select("part", large.alias("multiset"))
 
     small_a, small_b = (x.join(plan.where(~F.col("multiset")), "part").drop("multiset") for x in (a, b))
-    schema = "part string, old_r long, new_r long, state string"
+    schema = "part string, old_r long, new_r long, state string, multiset boolean"
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        made = align(left.sort_values("r").reset_index(drop=True), right.sort_values("r").reset_index(drop=True))
+        made = align(left.sort_values("r").reset_index(drop=True), right.sort_values("r").reset_index(drop=True), CHURN)
         made.insert(0, "part", key[0])
         return made
 
     aligned = small_a.groupBy("part").cogroup(small_b.groupBy("part")).applyInPandas(run, schema)
 
     def numbered(x: DataFrame) -> DataFrame:
-        kept = x.join(plan.where("multiset"), "part").drop("multiset", "tokens")
-        return kept.withColumn("k", F.row_number().over(Window.partitionBy("part", "hash").orderBy("r")))
+        return number_within(x.join(plan.where("multiset"), "part").drop("multiset", "tokens"), ["part", "hash"], "r", "k")
 
     joined = numbered(a).withColumnRenamed("r", "old_r").join(numbered(b).withColumnRenamed("r", "new_r"), ["part", "hash", "k"], "full_outer")
     state = F.when(F.col("old_r").isNull(), "added").when(F.col("new_r").isNull(), "removed").otherwise("same")
-    sets = joined.select("part", "old_r", "new_r", state.alias("state"))
-    return aligned.withColumn("multiset", F.lit(False)).unionByName(sets.withColumn("multiset", F.lit(True)))
+    return aligned.unionByName(joined.select("part", "old_r", "new_r", state.alias("state"), F.lit(True).alias("multiset")))

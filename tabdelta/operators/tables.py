@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import col_to_letter
 from ..functions.values import NUMBER, STRING, is_empty, trim
+from ..sources.snapshots import running_last
 
 #: Rows looked at for a header.
 HEADER_ROWS = 30
@@ -54,14 +55,11 @@ def data_range(cells: DataFrame, start: int) -> DataFrame:
     """``data_start, data_end``: the data ends where two rows together are blank; totals count as neither."""
     rows = _filled(cells.where(F.col("r") >= start)).select("r").distinct()
     totals = totals_rows(cells).select("r").withColumn("total", F.lit(True))
-    marked = rows.join(F.broadcast(totals), "r", "left")
-    # blank rows between filled ones, totals left out of account
-    ordered = Window.orderBy("r")
-    gaps = marked.select("r", F.col("total").isNotNull().alias("total"), (F.col("r") - F.coalesce(F.lag("r").over(ordered), F.lit(start - 1)) - 1).alias("blank"))
-    run = gaps.withColumn("seen", F.coalesce(F.last(F.when(~F.col("total"), F.col("r")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(start - 1)))
-    total_before = F.sum(F.col("total").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    first_stop = run.withColumn("tb", F.coalesce(total_before, F.lit(0))).agg(F.min(F.when(F.col("blank") >= 2, F.col("r"))).alias("stop"))
-    kept = gaps.where(~F.col("total")).join(F.broadcast(first_stop), F.lit(True)).where(F.col("stop").isNull() | (F.col("r") < F.col("stop")))
+    marked = rows.join(totals, "r", "left")
+    # rows that are blank between a filled row and the one before
+    gaps = running_last(marked, ["r"], F.col("r"), "before").withColumn("blank", F.col("r") - F.coalesce("before", F.lit(start - 1)) - 1)
+    stop = gaps.agg(F.min(F.when(F.col("blank") >= 2, F.col("r"))).alias("stop"))
+    kept = gaps.where(F.col("total").isNull()).join(F.broadcast(stop), F.lit(True)).where(F.col("stop").isNull() | (F.col("r") < F.col("stop")))
     return kept.agg(F.lit(start).cast("long").alias("data_start"), F.coalesce(F.max("r"), F.lit(start - 1)).cast("long").alias("data_end"))
 
 

@@ -78,7 +78,7 @@ def q_row_findings(spark, sf):
 
 
 def q_cell_findings(spark, sf):
-    return K.cell_findings(_diff(spark, sf).cell_changes).where(F.col("column") == "o_orderpriority")
+    return K.cell_findings(_diff(spark, sf).cell_changes)
 
 
 def q_findings_ranked(spark, sf):
@@ -106,6 +106,17 @@ def q_dominant_month(spark, sf):
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
+def _shown(x: str) -> str:
+    """A value as a message shows it: prices as rupees with Indian grouping."""
+    v = f"TRY_CAST({x} AS DOUBLE)"
+    s = f"printf('%.2f', abs({v}))"
+    w = f"split_part({s}, '.', 1)"
+    head = f"left({w}, greatest(length({w}) - 3, 0))"
+    pairs = f"CASE WHEN length({head}) > 2 THEN left({head}, length({head}) - 2) || ',' || right({head}, 2) ELSE {head} END"
+    grouped = f"CASE WHEN length({w}) > 3 THEN {pairs} || ',' || right({w}, 3) ELSE {w} END"
+    return f"CASE WHEN \"column\" = 'o_totalprice' THEN CASE WHEN {v} < 0 THEN '-' ELSE '' END || '₹' || {grouped} || regexp_replace('.' || split_part({s}, '.', 2), '\\.?0+$', '') ELSE {x} END"
+
+
 _NULL = "CAST(NULL AS VARCHAR)"
 _IDS = "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS k, c_name AS name, '24AAAAA' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'A1Z5' AS id FROM orders JOIN customer ON o_custkey = c_custkey"
 _NEW_IDS = f"SELECT key, k, name, CASE WHEN k % 499 = 5 THEN left(id, 14) || '6' WHEN k % 499 = 9 THEN 'BAD' ELSE id END AS id FROM ({_IDS})"
@@ -114,22 +125,22 @@ _MONTH = "SELECT date_trunc('month', day)::DATE AS month FROM e GROUP BY 1 HAVIN
 _FOUND = f"""SELECT CASE state WHEN 'added' THEN 'ROW_ADDED' ELSE 'ROW_REMOVED' END AS rule, 'medium' AS severity, key, {_NULL} AS "column" FROM ({_STATES}) AS s WHERE state IN ('added', 'removed')
 UNION ALL SELECT 'CELL_EDIT', 'medium', key, "column" FROM ({_changes(False)}) AS c"""
 ORACLE_SQL = {
-    "q_chk03": f"""SELECT 'CHK-03' AS rule, 'high' AS severity, 'ORD-' || o_orderkey AS key, {_NULL} AS "column", 'Deleted, but referenced elsewhere' AS title,
-'ORD-' || o_orderkey || ' was removed from Orders but still appears in Notes!A' || o_orderkey || '.' AS message FROM orders WHERE o_orderkey % 100 = 7""",
+    "q_chk03": f"""SELECT 'CHK-03' AS rule, 'high' AS severity, 'ORD-' || o_orderkey AS key, {_NULL} AS "column", 'Removed key still in use' AS title,
+'ORD-' || o_orderkey || ' is gone from Orders but stands in Notes!A' || o_orderkey || '.' AS message FROM orders WHERE o_orderkey % 100 = 7""",
     "q_chk04": f"""WITH e AS ({_EVENTS}), p AS ({_MONTH})
-SELECT 'CHK-04' AS rule, 'high' AS severity, key, {_NULL} AS "column", 'Date moved outside ' || strftime(month, '%b-%Y') AS title,
-key || ' is now dated ' || strftime(day, '%Y-%m-%d') || ' in a ' || strftime(month, '%b-%Y') || ' sheet. It may belong to another period, or the date is a typo.' AS message
+SELECT 'CHK-04' AS rule, 'high' AS severity, key, {_NULL} AS "column", 'Day outside ' || strftime(month, '%b-%Y') AS title,
+key || ' has the day ' || strftime(day, '%Y-%m-%d') || ', while most days lie in ' || strftime(month, '%b-%Y') || '.' AS message
 FROM e, p WHERE m AND date_trunc('month', day) <> month""",
     "q_chk05": f"""WITH o AS ({_IDS}), n AS ({_NEW_IDS}), one AS (SELECT name, min(id) AS old_id FROM o GROUP BY name HAVING count(DISTINCT id) = 1), many AS (SELECT name FROM n GROUP BY name HAVING count(DISTINCT id) > 1)
-SELECT 'CHK-05' AS rule, 'medium' AS severity, key, 'GSTIN' AS "column", n.name || ' now has two GSTINs' AS title, key || ' uses ' || id || ', while ' || n.name || '''s other rows use ' || old_id || '. This is probably a typo.' AS message
+SELECT 'CHK-05' AS rule, 'medium' AS severity, key, 'GSTIN' AS "column", n.name || ' has another GSTIN' AS title, key || ' gives ' || id || ' for ' || n.name || ', which had ' || old_id || ' in all rows before.' AS message
 FROM n JOIN one USING (name) JOIN many USING (name) WHERE id <> old_id""",
-    "q_chk06": """SELECT 'CHK-06' AS rule, 'medium' AS severity, CAST(o_orderkey AS VARCHAR) AS key, 'o_totalprice' AS "column", 'Number stored as text' AS title,
-'''' || CASE WHEN o_totalprice = trunc(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END || ''' is stored as text, so totals skip it.' AS message FROM orders WHERE o_orderkey % 37 = 0""",
-    "q_chk07": f"""SELECT 'CHK-07' AS rule, 'medium' AS severity, CAST(o_orderkey AS VARCHAR) AS key, {_NULL} AS "column", 'Duplicate key introduced' AS title, o_orderkey || ' appears 2 times.' AS message FROM orders WHERE o_orderkey % 47 = 0""",
-    "q_chk09": f"""SELECT 'CHK-09' AS rule, 'info' AS severity, {_NULL} AS key, {_NULL} AS "column", m AS title, m AS message FROM (VALUES ('Removed column: o_orderstatus.'), ('Column renamed: o_orderpriority → o_order_priority.'), ('New column: extra.'), ('3 row(s) moved on orders.')) AS t(m)""",
-    "q_chk10": f"""SELECT 'CHK-10' AS rule, 'medium' AS severity, key, 'Customer GSTIN' AS "column", 'Invalid GSTIN format' AS title, id || ' is not a valid GSTIN format.' AS message FROM ({_NEW_IDS}) WHERE k % 499 = 9""",
-    "q_row_findings": f"""SELECT CASE state WHEN 'added' THEN 'ROW_ADDED' ELSE 'ROW_REMOVED' END AS rule, 'medium' AS severity, key, {_NULL} AS "column", 'Row ' || state AS title, key || ' was ' || state || '.' AS message FROM ({_STATES}) AS s WHERE state IN ('added', 'removed')""",
-    "q_cell_findings": f"""SELECT 'CELL_EDIT' AS rule, 'medium' AS severity, key, "column", 'Value edited' AS title, "column" || ' for ' || key || ': ' || old || ' → ' || new || '.' AS message FROM ({_changes(False)}) AS c WHERE "column" = 'o_orderpriority'""",
+    "q_chk06": """SELECT 'CHK-06' AS rule, 'medium' AS severity, CAST(o_orderkey AS VARCHAR) AS key, 'o_totalprice' AS "column", 'Text in place of a number' AS title,
+'''' || CASE WHEN o_totalprice = trunc(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END || ''' is text, which sums pass over.' AS message FROM orders WHERE o_orderkey % 37 = 0""",
+    "q_chk07": f"""SELECT 'CHK-07' AS rule, 'medium' AS severity, CAST(o_orderkey AS VARCHAR) AS key, {_NULL} AS "column", 'Key used more than once' AS title, o_orderkey || ' stands in 2 rows.' AS message FROM orders WHERE o_orderkey % 47 = 0""",
+    "q_chk09": f"""SELECT 'CHK-09' AS rule, 'info' AS severity, {_NULL} AS key, {_NULL} AS "column", m AS title, m AS message FROM (VALUES ('Column removed: o_orderstatus.'), ('Column renamed: o_orderpriority → o_order_priority.'), ('Column added: extra.'), ('3 row(s) changed place in orders.')) AS t(m)""",
+    "q_chk10": f"""SELECT 'CHK-10' AS rule, 'medium' AS severity, key, 'Customer GSTIN' AS "column", 'Malformed GSTIN' AS title, id || ' has not the form of a GSTIN.' AS message FROM ({_NEW_IDS}) WHERE k % 499 = 9""",
+    "q_row_findings": f"""SELECT CASE state WHEN 'added' THEN 'ROW_ADDED' ELSE 'ROW_REMOVED' END AS rule, 'medium' AS severity, key, {_NULL} AS "column", CASE state WHEN 'added' THEN 'Added' ELSE 'Removed' END || ' row' AS title, CASE state WHEN 'added' THEN 'Added' ELSE 'Removed' END || ' row: ' || key || '.' AS message FROM ({_STATES}) AS s WHERE state IN ('added', 'removed')""",
+    "q_cell_findings": f"""SELECT 'CELL_EDIT' AS rule, 'medium' AS severity, key, "column", 'Edited value' AS title, "column" || ' of ' || key || ': ' || {_shown('old')} || ' → ' || {_shown('new')} || '.' AS message FROM ({_changes(False)}) AS c""",
     "q_findings_ranked": _FOUND,
     "q_counts_full": f"""WITH e AS ({_EVENTS}), p AS ({_MONTH}), f AS ({_FOUND}) SELECT (SELECT count(*) FROM e, p WHERE m AND date_trunc('month', day) <> month) AS needs_attention, (SELECT count(*) FROM f) AS to_review""",
     "q_touched_rows": f"""SELECT key FROM ({_STATES}) AS s WHERE state = 'added' UNION SELECT key FROM ({_changes(False)}) AS c""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -9,13 +11,14 @@ from ..functions.values import scalar_text, typed_cell
 from ..operators import columns as C
 from ..operators import keys as K
 from ..operators import tables as T
+from ..operators.compare import compare_sheets, compare_tables, row_map
 from ..operators.diff import positional_baseline, render, snapshot_diff
 from ..operators.report import all_changes, marked_cells, removed_rows
 from ..operators.rows import pair_as_multiset, pair_by_key, pair_in_order
 from ..operators.checks import cell_findings
 from ..options import CompareOptions
 from ..sources.snapshots import as_cells, cells_long, number_rows
-from .fixtures import GRID_SQL, ORDERS_NEW_SQL, grid, orders_pair, table, text_of
+from .fixtures import GRID_SQL, ORDERS_NEW_SQL, grid, orders_pair, registers, table, text_of
 
 KEY = ["o_orderkey"]
 
@@ -166,7 +169,8 @@ def q_totals_rows(spark, sf):
 
 
 def q_table_columns(spark, sf):
-    return T.table_columns(grid(spark, sf), 3, 4, 104)
+    cells = grid(spark, sf)
+    return T.table_columns(cells, 3, 4, T.data_range(cells, 4).first()["data_end"])
 
 
 def q_dominant_kind(spark, sf):
@@ -174,7 +178,7 @@ def q_dominant_kind(spark, sf):
 
 
 def q_numeric_columns(spark, sf):
-    return T.numeric_shares(grid(spark, sf).where("r BETWEEN 4 AND 104"))
+    return T.numeric_shares(grid(spark, sf).where("r >= 4"))
 
 
 def q_report_all_changes(spark, sf):
@@ -193,6 +197,37 @@ def q_report_removed(spark, sf):
     return removed_rows(old, _diff(spark, sf).row_states, "o_orderkey", "o_orderkey")
 
 
+def _register(spark, sf):
+    """Both registers compared as sheets, and totals on another sheet of which the first stops two orders short."""
+    old, new = registers(spark, sf)
+    end = new.where("c = 0 AND cell.kind = 1").agg(F.max("r").alias("end"))
+    formulas = end.selectExpr("explode(array(struct(1 AS id, end - 2 AS last), struct(2 AS id, end AS last))) AS x").select(
+        F.col("x.id").cast("long").alias("id"), F.lit("Summary").alias("sheet"), F.concat(F.lit("SUM(Register!C6:C"), (F.col("x.last") + 1).cast("string"), F.lit(")")).alias("formula"), F.lit(1).alias("r"), F.col("x.id").alias("c")
+    )
+    return compare_sheets(old, new, name="Register", formulas=formulas)
+
+
+def q_compare_register(spark, sf):
+    return _register(spark, sf).findings.select("rule", "severity", "key", "column")
+
+
+def q_compare_register_counts(spark, sf):
+    return _register(spark, sf).counts()
+
+
+def q_compare_register_rows(spark, sf):
+    """The row map of the registers, with the rows above and below the tables."""
+    found = _register(spark, sf)
+    return row_map(found, found.old_table.end + 3)
+
+
+def q_compare_in_order(spark, sf):
+    """Tables without a key: lines of parts without their keys, rows dropped and edited, compared in order or as a multiset."""
+    old = table(spark, sf, "part").select("p_brand", "p_size", "p_retailprice")
+    new = table(spark, sf, "part").where("p_partkey % 20 <> 3").select("p_brand", "p_size", F.when(F.col("p_partkey") % 20 == 5, 1.5).otherwise(F.col("p_retailprice")).alias("p_retailprice"))
+    return compare_tables(old, new).diff.row_states.groupBy("state").agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _N = ORDERS_NEW_SQL
@@ -230,6 +265,13 @@ n AS (SELECT l_quantity, l_returnflag, l_linestatus, count(*) AS y FROM lineitem
 b AS (SELECT l_returnflag AS flag, x, coalesce(y, 0) AS y FROM o LEFT JOIN n USING (l_quantity, l_returnflag, l_linestatus))
 SELECT flag, 'paired' AS state, CAST(sum(y) AS BIGINT) AS n FROM b GROUP BY flag HAVING sum(y) > 0
 UNION ALL SELECT flag, 'removed', CAST(sum(x - y) AS BIGINT) FROM b GROUP BY flag HAVING sum(x - y) > 0"""
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_shipdate"]
+_COMBOS = " UNION ALL ".join(f"SELECT {list(x)} AS cs, count(DISTINCT ({', '.join(x)})) AS d, count(*) AS n FROM lineitem" for k in (2, 3) for x in combinations(_LINE_KEYS, k))
+_SINGLE = " UNION ALL ".join(f"SELECT '{c}' AS c, {k} AS at, count(DISTINCT {c}) / count(*) AS uniq FROM lineitem" for k, c in enumerate(_LINE_KEYS))
+#: The first combination, two columns before three and the most distinct columns first, that is unique to 99 %.
+_COMPOSITE = f"""WITH s AS (SELECT c, row_number() OVER (ORDER BY uniq DESC, at) AS k FROM ({_SINGLE})), x AS ({_COMBOS}),
+o AS (SELECT cs, any_value(d) AS d, any_value(n) AS n, string_agg(c, ',' ORDER BY k) AS cols, list(k ORDER BY k) AS ks FROM (SELECT cs, d, n, unnest(cs) AS c FROM x) JOIN s USING (c) GROUP BY cs)
+SELECT cols AS columns, 'composite' AS mode, 'medium' AS confidence, n - d AS duplicates FROM o WHERE d / n >= 0.99 ORDER BY len(ks), ks LIMIT 1"""
 ORACLE_SQL = {
     "q_scan_snapshot": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
     "q_scan_cells_long": f"""SELECT p_partkey AS r, 0 AS c, 'p_name' AS "column", 2 AS kind, p_name AS text FROM part WHERE p_name <> ''
@@ -242,6 +284,16 @@ UNION ALL SELECT p_partkey, 1, 'p_size', 1, CAST(p_size AS VARCHAR) FROM part WH
     "q_rows_removed": f"SELECT key FROM ({_STATES}) WHERE state = 'removed'",
     "q_change_counts": f"""WITH s AS ({_STATES}), c AS ({_changes(False)}), t AS (SELECT (SELECT count(*) FROM s WHERE state = 'added') AS rows_added, (SELECT count(*) FROM s WHERE state = 'removed') AS rows_removed, (SELECT count(*) FROM c) AS cells_edited_by_hand)
 SELECT rows_added, rows_removed, cells_edited_by_hand, 0::BIGINT AS formulas_overwritten, 0::BIGINT AS formulas_changed, 0::BIGINT AS recalculated, rows_added + rows_removed + cells_edited_by_hand AS real_changes FROM t""",
+    "q_compare_register": f"""SELECT CASE state WHEN 'added' THEN 'ROW_ADDED' ELSE 'ROW_REMOVED' END AS rule, 'medium' AS severity, key, CAST(NULL AS VARCHAR) AS "column" FROM ({_STATES}) AS s WHERE state IN ('added', 'removed')
+UNION ALL SELECT 'CELL_EDIT', 'medium', key, CASE "column" WHEN 'o_totalprice' THEN 'Price' ELSE 'Priorty' END FROM ({_changes(False)}) AS c
+UNION ALL SELECT 'CHK-03', 'high', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_orderkey % 100 = 7 AND o_orderkey >= 1000 AND o_orderkey < (SELECT max(o_orderkey) FROM orders)
+UNION ALL SELECT 'CHK-09', 'info', NULL, NULL FROM range(2)
+UNION ALL SELECT 'CHK-02', 'high', NULL, NULL""",
+    "q_compare_register_counts": f"""WITH s AS ({_STATES}), c AS ({_changes(False)}), t AS (SELECT (SELECT count(*) FROM s WHERE state = 'added') AS rows_added, (SELECT count(*) FROM s WHERE state = 'removed') AS rows_removed, (SELECT count(*) FROM c) AS cells_edited_by_hand)
+SELECT rows_added, rows_removed, cells_edited_by_hand, 0::BIGINT AS formulas_overwritten, 0::BIGINT AS formulas_changed, 0::BIGINT AS recalculated, rows_added + rows_removed + cells_edited_by_hand AS real_changes,
+(SELECT 1 + count(*) FROM orders WHERE o_orderkey % 100 = 7 AND o_orderkey >= 1000 AND o_orderkey < (SELECT max(o_orderkey) FROM orders)) AS needs_attention, rows_added + rows_removed + cells_edited_by_hand AS to_review FROM t""",
+    "q_compare_register_rows": """WITH m AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), e AS (SELECT 5 + max(CASE WHEN o_orderkey % 50 = 43 THEN 1 + hi - lo + (o_orderkey - lo) // 50 ELSE 0 END) AS new_end, 3 + any_value(hi - lo) AS old_end FROM orders, m)
+SELECT r AS old_row, CASE WHEN r < 3 THEN r + 2 WHEN r <= old_end THEN CASE WHEN (r - 3 + lo) % 50 <> 7 THEN r + 2 END ELSE r + new_end - old_end END AS new_row FROM m, e, (SELECT unnest(range(0, 3 + hi - lo + 3)) AS r FROM m) AS t""",
     "q_row_match_dupkeys": _DUPPAIR,
     "q_row_match_multiset": _BAG,
     "q_positional_baseline": """WITH n AS (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey - 1 ELSE n_nationkey END AS k, n_name, n_regionkey FROM nation WHERE n_nationkey <> 3)
@@ -250,15 +302,19 @@ SELECT count(*) FILTER (n.k IS NULL OR trim(o.n_name) <> trim(n.n_name)) + count
     "q_key_duplicates": "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem",
     "q_key_uniqueness": "SELECT 0 AS combo, round(count(DISTINCT (l_orderkey, l_linenumber))::DOUBLE / count(*), 6) AS uniq FROM lineitem UNION ALL SELECT 1, round(count(DISTINCT (l_orderkey, l_partkey))::DOUBLE / count(*), 6) FROM lineitem UNION ALL SELECT 2, round(count(DISTINCT (l_orderkey, l_linenumber, l_partkey))::DOUBLE / count(*), 6) FROM lineitem",
     "q_key_detect_single": "SELECT 'o_orderkey' AS columns, 'key' AS mode, 'high' AS confidence, 0::BIGINT AS duplicates",
-    "q_key_detect_composite": "SELECT 'l_orderkey,l_partkey' AS columns, 'composite' AS mode, 'medium' AS confidence, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicates FROM lineitem",
+    "q_key_detect_composite": _COMPOSITE,
     "q_column_match": "SELECT * FROM (VALUES ('Invoice No', 'invoice no.', 'matched'), ('Rate (₹)', 'Rate', 'matched'), ('GST %', 'GST %', 'matched'), ('Customer Name', 'Customer Nme', 'renamed'), ('Old Column', NULL, 'removed'), (NULL, 'Fresh', 'added')) AS t(old, new, status)",
     "q_sheet_pair_similarity": "SELECT * FROM (VALUES ('region', 'region', 1.0::DOUBLE), ('region', 'nation', 0.0::DOUBLE), ('nation', 'region', 0.0::DOUBLE), ('nation', 'nation', 1.0::DOUBLE)) AS t(old, new, score)",
-    "q_header_row": "SELECT 3::BIGINT AS header_row",
-    "q_data_range": f"SELECT 4::BIGINT AS data_start, max(r)::BIGINT AS data_end FROM {GRID_SQL} AS g WHERE r < 105",
+    "q_header_row": f"""WITH g AS ({GRID_SQL}), t AS (SELECT r, c, kind = 2 AND trim(text) <> '' AS is_text, lower(trim(text)) AS word, (SELECT count(*) FROM g AS n WHERE n.c = g.c AND n.r BETWEEN g.r + 1 AND g.r + 3) AS below FROM g WHERE r < 30),
+s AS (SELECT r, count(DISTINCT word) FILTER (is_text) * count(*) FILTER (is_text AND below >= 2) / count(*) FILTER (is_text) AS score FROM t GROUP BY r HAVING count(*) FILTER (is_text) >= 2 AND count(*) FILTER (is_text) >= 0.6 * count(*))
+SELECT CAST(r AS BIGINT) AS header_row FROM s WHERE score > 0 ORDER BY score DESC, r LIMIT 1""",
+    "q_data_range": f"SELECT 4::BIGINT AS data_start, max(r)::BIGINT AS data_end FROM {GRID_SQL} AS g WHERE r < (SELECT min(r) FROM {GRID_SQL} AS n WHERE text LIKE 'A note%')",
     "q_totals_rows": f"SELECT CAST(r AS BIGINT) AS r, text AS label FROM {GRID_SQL} AS g WHERE c = 0 AND regexp_matches(text, '(?i)^(grand\\s+)?(sub\\s*)?total\\b')",
-    "q_table_columns": "SELECT * FROM (VALUES (0, 'Part', false), (1, 'Brand', false), (2, 'Size', false), (3, 'Price', false), (4, 'Column E', true)) AS t(c, header, synthetic)",
-    "q_dominant_kind": "SELECT * FROM (VALUES (0, 2), (1, 2), (2, 1), (3, 1), (4, 1)) AS t(c, kind)",
-    "q_numeric_columns": "SELECT * FROM (VALUES (0, false), (1, false), (2, true), (3, true), (4, true)) AS t(c, numeric)",
+    "q_table_columns": f"""WITH g AS ({GRID_SQL}), e AS (SELECT max(r) AS last FROM g WHERE r < (SELECT min(r) FROM g WHERE text LIKE 'A note%')), h AS (SELECT c, trim(text) AS text FROM g WHERE r = 3),
+f AS (SELECT c, count(*) / any_value(last - 3) AS fill FROM g, e WHERE r BETWEEN 4 AND last GROUP BY c)
+SELECT coalesce(f.c, h.c) AS c, coalesce(h.text, 'Column ' || chr(65 + f.c)) AS header, h.text IS NULL AS synthetic FROM f FULL JOIN h ON h.c = f.c WHERE h.text IS NOT NULL OR fill >= 0.2""",
+    "q_dominant_kind": f"SELECT c, arg_max(kind, n) AS kind FROM (SELECT c, kind, count(*) AS n FROM {GRID_SQL} AS g WHERE r > 3 GROUP BY c, kind) GROUP BY c",
+    "q_numeric_columns": f"SELECT c, count(*) FILTER (kind = 1) >= 0.9 * count(*) AS numeric FROM {GRID_SQL} AS g WHERE r >= 4 GROUP BY c",
     "q_report_all_changes": f"""SELECT 'CELL_EDIT' AS rule, 'medium' AS severity, key, "column", old, new FROM ({_changes(False)}) AS c""",
     "q_report_marked": f"""SELECT key, "column", CASE WHEN flags = 'large_change' THEN 'high' ELSE 'changed' END AS mark, old FROM ({_changes(False)}) AS c""",
     "q_report_removed": "SELECT CAST(o_orderkey AS VARCHAR) AS key, (SELECT CAST(max(p.o_orderkey) AS VARCHAR) FROM orders p WHERE p.o_orderkey < o.o_orderkey AND p.o_orderkey % 50 <> 7) AS after FROM orders o WHERE o_orderkey % 50 = 7",

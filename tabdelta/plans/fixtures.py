@@ -37,11 +37,31 @@ GRID = """
 SELECT 0 AS r, 0 AS c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, 'Register of parts' AS text
 UNION ALL SELECT 3, c, 2, NULL, text FROM (VALUES (0, 'Part'), (1, 'Brand'), (2, 'Size'), (3, 'Price')) AS h(c, text)
 UNION ALL SELECT CAST(4 + p_partkey - lo AS INT), c, CASE WHEN c < 2 THEN 2 ELSE 1 END, CASE c WHEN 2 THEN CAST(p_size AS DOUBLE) WHEN 3 THEN p_retailprice WHEN 4 THEN 1.0 END, CASE c WHEN 0 THEN p_name WHEN 1 THEN p_brand END
-  FROM {part} CROSS JOIN (SELECT min(p_partkey) AS lo FROM {part}) AS m CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS x(c) WHERE p_partkey - lo <= 100 AND p_partkey - lo <> 50
+  FROM {part} CROSS JOIN (SELECT min(p_partkey) AS lo FROM {part}) AS m CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS x(c) WHERE p_partkey - lo <> 50
 UNION ALL SELECT 54, 0, 2, NULL, 'Sub total'
 UNION ALL SELECT 54, 3, 1, 12.5, NULL
-UNION ALL SELECT 110, 0, 2, NULL, 'A note after two blank rows'
-UNION ALL SELECT 111, 0, 2, NULL, 'Grand Total of nothing'
+UNION ALL SELECT CAST(10 + max(p_partkey) - min(p_partkey) AS INT), 0, 2, NULL, 'A note after two blank rows' FROM {part}
+UNION ALL SELECT CAST(11 + max(p_partkey) - min(p_partkey) AS INT), 0, 2, NULL, 'Grand Total of nothing' FROM {part}
+"""
+
+
+#: Order registers as sheets: a title, a header, a row an order and a total; the new one lies lower, renames a column and has notes that name removed orders.
+REGISTER_OLD = """
+SELECT CAST(0 AS BIGINT) AS r, 0 AS c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, 'Register of orders' AS text
+UNION ALL SELECT 2, c, 2, NULL, text FROM (VALUES (0, 'Order No'), (1, 'Customer'), (2, 'Price'), (3, 'Priority')) AS h(c, text)
+UNION ALL SELECT 3 + o_orderkey - lo, c, CASE WHEN c = 3 THEN 2 ELSE 1 END, CASE c WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN CAST(o_custkey AS DOUBLE) WHEN 2 THEN o_totalprice END, CASE c WHEN 3 THEN o_orderpriority END
+  FROM {orders} CROSS JOIN (SELECT min(o_orderkey) AS lo FROM {orders}) AS m CROSS JOIN (VALUES (0), (1), (2), (3)) AS x(c)
+UNION ALL SELECT 4 + max(o_orderkey) - min(o_orderkey), 0, 2, NULL, 'Total' FROM {orders}
+UNION ALL SELECT 4 + max(o_orderkey) - min(o_orderkey), 2, 1, sum(o_totalprice), NULL FROM {orders}
+"""
+REGISTER_NEW = """
+SELECT CAST(0 AS BIGINT) AS r, 0 AS c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, 'Register of orders' AS text
+UNION ALL SELECT 1, 0, 2, NULL, 'second version'
+UNION ALL SELECT 4, c, 2, NULL, text FROM (VALUES (0, 'Order No.'), (1, 'Customer'), (2, 'Price'), (3, 'Priorty'), (4, 'Note')) AS h(c, text)
+UNION ALL SELECT * FROM (SELECT CASE WHEN o_orderkey >= 1000000 THEN 6 + hi - lo + (o_orderkey - 1000000 - lo) DIV 50 ELSE 5 + o_orderkey - lo END AS r, c, CASE WHEN c >= 3 THEN 2 ELSE 1 END AS kind, CASE c WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN CAST(o_custkey AS DOUBLE) WHEN 2 THEN o_totalprice END AS num,
+  CASE c WHEN 3 THEN o_orderpriority WHEN 4 THEN CASE WHEN o_orderkey % 100 = 8 THEN CAST(o_orderkey - 1 AS STRING) ELSE 'none' END END AS text
+  FROM ({new}) AS n CROSS JOIN (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM {orders}) AS m CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS x(c)) AS d
+UNION ALL SELECT 8 + max(o_orderkey) - min(o_orderkey) + (max(o_orderkey) - min(o_orderkey)) DIV 50, 0, 2, NULL, 'Grand total' FROM {orders}
 """
 
 
@@ -55,6 +75,16 @@ def merge_triple(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return base, spark.sql(COPY_A, base=base), spark.sql(COPY_B, base=base)
 
 
+_CELL = "struct(CAST(kind AS TINYINT) AS kind, num, text, CAST(NULL AS STRING) AS formula) AS cell"
+
+
+def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both registers as long cells."""
+    orders = table(spark, sf_dir, "orders")
+    old, new = spark.sql(REGISTER_OLD, orders=orders), spark.sql(REGISTER_NEW, orders=orders, new=spark.sql(ORDERS_NEW, orders=orders))
+    return tuple(x.selectExpr("CAST(r AS BIGINT) AS r", "c", _CELL) for x in (old, new))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(GRID, part=table(spark, sf_dir, "part"))
     return rows.selectExpr("CAST(r AS BIGINT) AS r", "c", "struct(CAST(kind AS TINYINT) AS kind, num, text, CAST(NULL AS STRING) AS formula) AS cell")

@@ -82,11 +82,12 @@ def q_if_logic(spark, sf):
 
 
 def _formulas(spark, sf):
-    row = (F.col("p_partkey") % 1000 + 2).cast("int")
+    row = (F.col("p_partkey") + 2).cast("int")
     n = row.cast("string")
     f = F.when(row % 5 == 0, F.concat(F.lit("SUM(D2:D"), n, F.lit(")"))).when(row % 5 == 1, F.concat(F.lit('IF(A'), n, F.lit('="A1",B$'), n, F.lit("*2,Other!C3)"))).otherwise(F.concat(F.lit("B"), n, F.lit("*$C"), n))
-    parts = table(spark, sf, "part").where("p_partkey < 1000").select(F.col("p_partkey").alias("id"), F.lit("Register").alias("sheet"), f.alias("formula"), (row - 1).alias("r"))
-    rows = parts.sparkSession.range(0, 1100).select(F.lit("Register").alias("sheet"), F.col("id").cast("int").alias("old_row"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("Register").alias("sheet"), f.alias("formula"), (row - 1).alias("r"))
+    last = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] or 0
+    rows = parts.sparkSession.range(0, last + 100).select(F.lit("Register").alias("sheet"), F.col("id").cast("int").alias("old_row"))
     # every tenth row is deleted; two rows come in at row 500
     new = F.when(F.col("old_row") % 10 != 9, (F.col("old_row") - F.floor((F.col("old_row") + 0) / 10) + F.when(F.col("old_row") >= 500, 2).otherwise(0)).cast("int"))
     return parts, rows.withColumn("new_row", new)
@@ -105,23 +106,27 @@ def q_formula_equivalent(spark, sf):
     return X.equivalent(pairs, moves)
 
 
+def _totals(spark, sf, fixed):
+    """A total for each part over the rows of a table up to it; the table has a row for each part."""
+    parts = table(spark, sf, "part")
+    text = F.concat(F.lit("SUM(Register!$D$2:$D$" if fixed else "SUM(Register!D2:D"), (F.col("p_partkey") + 2).cast("string"), F.lit(")"))
+    rows = parts.select(F.col("p_partkey").alias("id"), F.lit("Summary").alias("sheet"), text.alias("formula"))
+    tables = parts.agg(F.count("*").cast("int").alias("data_end")).select(F.lit("Register").alias("sheet"), F.lit(1).alias("data_start"), "data_end", F.lit(0).alias("c_first"), F.lit(3).alias("c_last"))
+    return rows, tables
+
+
 def q_chk02(spark, sf):
-    """Totals over the first rows of a table of 20 rows, one for each last row."""
-    rows = spark.range(1, 30).select("id", F.lit("Summary").alias("sheet"), F.concat(F.lit("SUM(Register!D2:D"), F.col("id").cast("string"), F.lit(")")).alias("formula"))
-    tables = spark.createDataFrame([("Register", 1, 20, 0, 3)], "sheet string, data_start int, data_end int, c_first int, c_last int")
-    return X.short_totals(rows, tables).select("id", "sheet", "first_missing", "last_missing")
+    return X.short_totals(*_totals(spark, sf, False)).select("id", "sheet", "first_missing", "last_missing")
 
 
 def q_extend_ranges(spark, sf):
-    rows = spark.range(1, 30).select("id", F.lit("Summary").alias("sheet"), F.concat(F.lit("SUM(Register!$D$2:$D$"), F.col("id").cast("string"), F.lit(")")).alias("formula"))
-    tables = spark.createDataFrame([("Register", 1, 20, 0, 3)], "sheet string, data_start int, data_end int, c_first int, c_last int")
-    return extended_ranges(rows, tables)
+    return extended_ranges(*_totals(spark, sf, True))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _M = "SELECT o_orderkey, o_orderkey % 10 AS k, CASE WHEN o_orderkey % 10 = 2 THEN 1.0::DOUBLE WHEN o_orderkey % 10 > 2 THEN o_totalprice END AS x FROM orders"
-_ROWS = "SELECT p_partkey AS id, CAST(p_partkey % 1000 + 2 AS INT) AS n FROM part WHERE p_partkey < 1000"
+_ROWS = "SELECT p_partkey AS id, CAST(p_partkey + 2 AS INT) AS n FROM part"
 _NEW = "CASE WHEN ({0}) % 10 <> 9 THEN ({0}) - ({0}) // 10 + CASE WHEN ({0}) >= 500 THEN 2 ELSE 0 END END"
 _END = _NEW.format("CASE WHEN (n - 1) % 10 = 9 THEN n - 2 ELSE n - 1 END")
 _AT = f"({_NEW.format('n - 1')} + 1)"
@@ -142,6 +147,6 @@ ORACLE_SQL = {
     "q_formula_translate": f"""WITH t AS ({_ROWS}) SELECT id, CASE n % 5 WHEN 0 THEN 'SUM(D2:D' || ({_END} + 1) || ')'
 WHEN 1 THEN 'IF(' || coalesce('A' || {_AT}, '#REF!') || '="A1",' || coalesce('B$' || {_AT}, '#REF!') || '*2,Other!C3)' ELSE coalesce('B' || {_AT}, '#REF!') || '*' || coalesce('$C' || {_AT}, '#REF!') END AS formula FROM t""",
     "q_formula_equivalent": f"WITH t AS ({_ROWS}) SELECT id, id % 20 <> 0 AS same FROM t WHERE n % 5 <> 1",
-    "q_extend_ranges": "SELECT id, 'D' || id AS range_end, 'D21' AS new_end FROM range(1, 30) AS t(id) WHERE id - 1 < 20 AND (id - 1 - 1 + 1) / 20.0 >= 0.5",
-    "q_chk02": "SELECT id, 'Register' AS sheet, CAST(id AS INT) AS first_missing, 20 AS last_missing FROM range(1, 30) AS t(id) WHERE id - 1 < 20 AND (id - 1 - 1 + 1) / 20.0 >= 0.5",
+    "q_extend_ranges": "WITH m AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS id, 'D' || (p_partkey + 2) AS range_end, 'D' || (n + 1) AS new_end FROM part, m WHERE p_partkey + 1 < n",
+    "q_chk02": "WITH m AS (SELECT count(*) AS n FROM part) SELECT p_partkey AS id, 'Register' AS sheet, CAST(p_partkey + 2 AS INT) AS first_missing, CAST(n AS INT) AS last_missing FROM part, m WHERE p_partkey + 1 < n AND (p_partkey + 1) / n >= 0.5",
 }

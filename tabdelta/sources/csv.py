@@ -39,16 +39,17 @@ def detect_delimiter(lines: list[str]) -> str:
     """The delimiter that splits most lines into the same number of fields.
 
     Over the first 50 lines with text: the commonest count of at least one scores its
-    frequency a thousandfold, plus ten times itself, less the variance; the first of equals wins.
+    frequency a thousandfold, plus ten times itself, less the variance; of counts as common the
+    largest is taken, of delimiters the first.
     """
-    some = [x for x in lines if x.strip()][:50]
+    some = [x for x in lines if x][:50]
     best, top = ",", float("-inf")
     for d in DELIMITERS:
         counts = [top_level(x, d) for x in some]
         if not counts:
             continue
         freq = {n: counts.count(n) for n in dict.fromkeys(counts)}
-        mode = max(freq, key=lambda n: freq[n])
+        mode = max(freq, key=lambda n: (freq[n], n))
         if mode < 1:
             continue
         mean = sum(counts) / len(counts)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import EMPTY, is_empty, typed_cell
+from ..functions.values import EMPTY, cell_of, is_empty, typed_cell
 
 
 def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -16,8 +16,8 @@ def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def as_cells(df: DataFrame) -> DataFrame:
-    """``df`` with every column as a cell struct, under its name."""
-    return df.select(*[typed_cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+    """``df`` with every column as a cell struct, under its name; cells stay as they are."""
+    return df.select(*[cell_of(df, c).alias(c) for c in df.columns])
 
 
 def cells_long(df: DataFrame, row: str, columns: list[str] | None = None) -> DataFrame:
@@ -40,6 +40,23 @@ def number_rows(df: DataFrame, *order: str, name: str = "r") -> DataFrame:
     return local.join(F.broadcast(before.select("_p", "_before")), "_p").select(*df.columns, (F.col("_before") + F.col("_k") - 1).cast("long").alias(name))
 
 
+def running_last(df: DataFrame, order: list[str], value: Column, name: str, part: str | None = None) -> DataFrame:
+    """``df`` with the last value that isn't null of the rows before each row in ``order``, within ``part``.
+
+    As with ``number_rows``, ranges of the order are gone through on their own, and what the ranges
+    before leave behind, a row for each part in them, is carried on.
+    """
+    parts = [part] if part else []
+    spread = df.withColumn("_v", value).repartitionByRange(*parts, *order).sortWithinPartitions(*parts, *order).withColumn("_p", F.spark_partition_id())
+    place = Window.partitionBy("_p", *parts).orderBy(*order)
+    local = spread.withColumn("_local", F.last("_v", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
+    left = spread.where("_v IS NOT NULL").groupBy("_p", *parts).agg(F.max_by("_v", F.struct(*order)).alias("_left"))
+    ranges = spread.select("_p", *parts).distinct().join(left, ["_p", *parts], "left")
+    before = (Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.withColumn("_carried", F.last("_left", ignorenulls=True).over(before)).drop("_left").where("_carried IS NOT NULL")
+    return local.join(F.broadcast(carried), ["_p", *parts], "left").select(*df.columns, F.coalesce("_local", "_carried").alias(name))
+
+
 def filled(cell: str) -> Column:
     return F.col(cell)["kind"] != EMPTY
 

@@ -16,7 +16,7 @@ def test_compare(spark, tmp_path, capsys):
     assert cli.main(["compare", old, new, "--key", "id", "--json"]) == 0
     got = json.loads(capsys.readouterr().out)
     assert got["key"] == ["id"] and got["counts"]["real_changes"] == 3 and got["counts"]["rows_added"] == 1
-    assert "qty for 2: 6 → 60." in got["findings"]["medium"]
+    assert "qty of 2: 6 → 60." in got["findings"]["medium"]
     assert cli.main(["compare", old, new]) == 0 and "3 real change(s), 0 need attention." in capsys.readouterr().out
 
 

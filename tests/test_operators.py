@@ -18,7 +18,7 @@ from tabdelta.operators.columns import Match, match_columns, pair_sheets
 from tabdelta.operators.diff import snapshot_diff
 from tabdelta.operators.keys import detect_key
 from tabdelta.operators.report import summary
-from tabdelta.operators.rows import align, common_sequence, pair_in_order
+from tabdelta.operators.rows import align, common_sequence, pair_by_key, pair_in_order
 from tabdelta.sources import csv as C
 from tabdelta.sources import workbook as W
 from tabdelta.sources.snapshots import as_cells, number_rows
@@ -203,3 +203,84 @@ def test_sniffing(spark):
     rows = spark.createDataFrame([(bytearray(b"PK\x03\x04x"),), (bytearray(bytes.fromhex("D0CF11E0A1B11AE1") + "EncryptedPackage".encode("utf-16-le")),), (bytearray(b"a,b"),), (bytearray(b"\xe9"),)], "b binary").coalesce(1)
     got = [tuple(r) for r in rows.select(C.sniff_format(F.col("b")), C.is_encrypted(F.col("b")), C.encoding_of(F.col("b"))).collect()]
     assert [g[:2] for g in got] == [("zip", False), ("cfb", True), ("text", False), ("text", False)] and [g[2] for g in got[2:]] == ["UTF-8", "windows-1252"]
+
+
+def test_reversed_rows_pair_wherever_they_stand(spark):
+    """All but one of fifty reversed rows lie outside the common sequence, so order is left aside."""
+    rows = [("p", i, f"t{i}") for i in range(50)]
+    old = spark.createDataFrame(rows, "part string, r long, x string")
+    new = spark.createDataFrame([(p, 49 - i, x) for p, i, x in rows], "part string, r long, x string")
+    got = pair_in_order(old, new, ["x"], part="part").collect()
+    assert len(got) == 50 and all(r.state == "same" and r.multiset and r.old_r == 49 - r.new_r for r in got)
+
+
+def test_running_last_over_ranges_and_parts(spark):
+    from tabdelta.sources.snapshots import running_last
+
+    rows = [(p, i, i if i % 7 == 3 else None) for p in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows, "p string, o int, v int").repartition(5)
+
+    def want(keep):
+        last, out = None, []
+        for r in keep:
+            out.append((*r, last))
+            last = r[2] if r[2] is not None else last
+        return out
+
+    got = sorted(tuple(r) for r in running_last(df, ["o"], F.col("v"), "before", "p").collect())
+    assert got == sorted(want(rows[:200]) + want(rows[200:]))
+    one = sorted((tuple(r) for r in running_last(df, ["p", "o"], F.col("v"), "before").collect()), key=lambda r: r[:2])
+    assert one == want(rows)
+
+
+def test_rows_of_a_hot_key_and_without_a_key(spark):
+    old = spark.createDataFrame([(1, i) for i in range(300)] + [(None, i) for i in range(50)] + [(2, 0)], "k int, v int")
+    new = spark.createDataFrame([(1, i) for i in range(280)] + [(None, i) for i in range(40)] + [(3, 0)], "k int, v int")
+    pairs = pair_by_key(old, new, ["k"], ["k"], order=F.col("v")).collect()
+    both = [r for r in pairs if r.old and r.new]
+    assert len(both) == 280 and all(r.old.v == r.new.v for r in both)
+    assert sum(r.new is None for r in pairs) == 20 + 50 + 1 and sum(r.old is None for r in pairs) == 40 + 1
+
+
+def test_comparison_of_sheets_and_workbooks(spark):
+    from tabdelta.operators import compare as C
+
+    schema = "r long, c int, cell struct<kind:tinyint,num:double,text:string,formula:string>"
+
+    def sheet(rows):
+        out = []
+        for r, values in rows:
+            for c, v in enumerate(values):
+                if v is not None:
+                    out.append((r, c, (2, None, v, None) if isinstance(v, str) else (1, float(v), None, None)))
+        return spark.createDataFrame(out, schema)
+
+    body = [(f"INV-{i:04d}", f"Customer {i % 3}", 100 + i) for i in range(12)]
+    old = sheet([(0, ["Sales"]), (2, ["Invoice No", "Customer", "Amount"]), *[(3 + i, x) for i, x in enumerate(body)], (15, ["Total", None, 5])])
+    changed = [(a, b, 999 if a == "INV-0004" else v) for a, b, v in body if a != "INV-0007"] + [("INV-0100", "Customer 1", 7)]
+    new = sheet([(0, ["Sales"]), (1, ["note"]), (4, ["Invoice No.", "Custmer", "Amount"]), *[(5 + i, x) for i, x in enumerate(changed)], (17, ["Total", None, 5])])
+    found = C.compare_sheets(old, new, name="Sales")
+    assert (found.old_table.header_row, found.new_table.header_row, found.key.columns) == (2, 4, ["Invoice No."])
+    assert [m.status for m in found.columns] == ["matched", "matched", "renamed"]
+    states = {r.key: r.state for r in found.diff.row_states.collect()}
+    assert states["INV-0004"] == "changed" and states["INV-0007"] == "removed" and states["INV-0100"] == "added" and list(states.values()).count("unchanged") == 10
+    assert {(r.rule, r.key) for r in found.findings.collect()} == {("CELL_EDIT", "INV-0004"), ("ROW_REMOVED", "INV-0007"), ("ROW_ADDED", "INV-0100"), ("CHK-09", None)}
+    moves = {r.old_row: r.new_row for r in C.row_map(found, 17).collect()}
+    assert moves[0] == 2 and moves[3] == 5 and moves[10] is None and moves[11] == 12 and moves[15] == 17 and C.column_map(found, 5) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+    assert found.counts().first().real_changes == 3
+    found.close()
+    pairs = C.pair_workbooks({"Sales": old, "Extra": old}, {"Sales ": new, "Added": sheet([(0, ["x", "y"]), (1, [1, 2])])})
+    assert {(m.old, m.new, m.status) for m in pairs} == {("Sales", "Sales ", "matched"), ("Extra", None, "removed"), (None, "Added", "added")}
+
+
+def test_comparison_without_a_key_or_a_header(spark):
+    from tabdelta.operators import compare as C
+
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3), ("c", 3), ("d", 4)], "x string, y int").coalesce(1)
+    new = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3), ("c", 9), ("d", 4), ("d", 4)], "x string, y int").coalesce(1)
+    found = C.compare_tables(old, new)
+    assert found.key.mode == "order" and found.matched_by.first().matched_by == "order"
+    assert sorted(r.state for r in found.diff.row_states.collect()) == ["added", "changed", *["unchanged"] * 5]
+    found.close()
+    bare = spark.createDataFrame([(5 + r, c, (1, float(r * c), None, None)) for r in range(4) for c in range(2)], "r long, c int, cell struct<kind:tinyint,num:double,text:string,formula:string>")
+    assert C.detect_table(bare) == C.Table(4, 5, 8, {0: "Column A", 1: "Column B"})
