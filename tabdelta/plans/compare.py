@@ -267,9 +267,9 @@ SELECT flag, 'paired' AS state, CAST(sum(y) AS BIGINT) AS n FROM b GROUP BY flag
 UNION ALL SELECT flag, 'removed', CAST(sum(x - y) AS BIGINT) FROM b GROUP BY flag HAVING sum(x - y) > 0"""
 _LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_shipdate"]
 _COMBOS = " UNION ALL ".join(f"SELECT {list(x)} AS cs, count(DISTINCT ({', '.join(x)})) AS d, count(*) AS n FROM lineitem" for k in (2, 3) for x in combinations(_LINE_KEYS, k))
-_SINGLE = " UNION ALL ".join(f"SELECT '{c}' AS c, {k} AS at, count(DISTINCT {c}) / count(*) AS uniq FROM lineitem" for k, c in enumerate(_LINE_KEYS))
+_SINGLE = " UNION ALL ".join(f"SELECT '{c}' AS c, {k} AS place, count(DISTINCT {c}) / count(*) AS uniq FROM lineitem" for k, c in enumerate(_LINE_KEYS))
 #: The first combination, two columns before three and the most distinct columns first, that is unique to 99 %.
-_COMPOSITE = f"""WITH s AS (SELECT c, row_number() OVER (ORDER BY uniq DESC, at) AS k FROM ({_SINGLE})), x AS ({_COMBOS}),
+_COMPOSITE = f"""WITH s AS (SELECT c, row_number() OVER (ORDER BY uniq DESC, place) AS k FROM ({_SINGLE})), x AS ({_COMBOS}),
 o AS (SELECT cs, any_value(d) AS d, any_value(n) AS n, string_agg(c, ',' ORDER BY k) AS cols, list(k ORDER BY k) AS ks FROM (SELECT cs, d, n, unnest(cs) AS c FROM x) JOIN s USING (c) GROUP BY cs)
 SELECT cols AS columns, 'composite' AS mode, 'medium' AS confidence, n - d AS duplicates FROM o WHERE d / n >= 0.99 ORDER BY len(ks), ks LIMIT 1"""
 ORACLE_SQL = {

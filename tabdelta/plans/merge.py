@@ -126,10 +126,10 @@ UNION ALL SELECT 'orders', {_S.format('k')}, '(row)', {_S.format('k')}, '(delete
 w AS (SELECT k, bk, last_value(bk IGNORE NULLS) OVER (PARTITION BY s ORDER BY p, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM a) SELECT k AS key, after FROM w WHERE bk IS NULL""",
 }
 ORACLE_SQL["q_merged_rows"] = f"""WITH c AS ({_C}), b AS (SELECT k, row_number() OVER (ORDER BY k) AS pos FROM {BASE_SQL} AS b0), m AS (
-SELECT c.k, b.pos AS at, 0 AS side, c.k AS o FROM c JOIN b ON b.k = c.k WHERE NOT (class IN ('delete_a', 'delete_b', 'delete_both') OR class = 'DELETE_EDIT' AND c.k % 60 <> 8)
+SELECT c.k, b.pos AS place, 0 AS side, c.k AS o FROM c JOIN b ON b.k = c.k WHERE NOT (class IN ('delete_a', 'delete_b', 'delete_both') OR class = 'DELETE_EDIT' AND c.k % 60 <> 8)
 UNION ALL SELECT c.k, (SELECT max(b.pos) FROM b JOIN {A_SQL} AS x ON x.k = b.k WHERE b.k < c.k), 1, c.k FROM c WHERE class IN ('add_a', 'add_both', 'ADD_ADD')
 UNION ALL SELECT CASE WHEN class = 'ADD_ADD' THEN c.k * 10 + 9 ELSE c.k END, (SELECT max(b.pos) FROM b JOIN {B_SQL} AS x ON x.k = b.k WHERE b.k < c.k), 2, c.k FROM c WHERE class IN ('add_b', 'ADD_ADD'))
-SELECT k, row_number() OVER (ORDER BY at, side, o) - 1 AS row FROM m"""
+SELECT k, row_number() OVER (ORDER BY place, side, o) - 1 AS row FROM m"""
 _MERGED = ORACLE_SQL["q_merged_table"]
 ORACLE_SQL["q_impact_totals"] = f"""WITH m AS ({_MERGED}) SELECT 'p' AS "column", (SELECT round(sum(p), 2) FROM {BASE_SQL} AS b) AS before, (SELECT round(sum(p), 2) FROM m) AS after"""
 ORACLE_SQL["q_merge_selfcheck"] = f"""WITH m AS ({_MERGED}) SELECT count(*) AS expected_rows, count(*) AS rows, 0::BIGINT AS missing_inserts, 0::BIGINT AS rows_not_deleted, 0::BIGINT AS edits_not_made FROM m"""
