@@ -296,6 +296,11 @@ SELECT rows_added, rows_removed, cells_edited_by_hand, 0::BIGINT AS formulas_ove
 SELECT r AS old_row, CASE WHEN r < 3 THEN r + 2 WHEN r <= old_end THEN CASE WHEN (r - 3 + lo) % 50 <> 7 THEN r + 2 END ELSE r + new_end - old_end END AS new_row FROM m, e, (SELECT unnest(range(0, 3 + hi - lo + 3)) AS r FROM m) AS t""",
     "q_row_match_dupkeys": _DUPPAIR,
     "q_row_match_multiset": _BAG,
+    # what a common sequence keeps is all but the rows dropped and edited, so the share of the others is known beforehand
+    "q_row_match_order": """WITH x AS (SELECT CAST(conv_id AS VARCHAR) AS part, CAST(turn AS BIGINT) AS r, conv_id % 7 = 3 AND turn = 1 AS gone, conv_id % 5 = 1 AND turn = 2 AS edited FROM conversations),
+f AS (SELECT part, count(*) FILTER (gone) + 2 * count(*) FILTER (edited AND NOT gone) > 0.4 * (2 * count(*) - count(*) FILTER (gone)) AS multiset FROM x GROUP BY part), y AS (SELECT * FROM x JOIN f USING (part))
+SELECT part, r AS old_r, CASE WHEN gone OR edited AND multiset THEN NULL ELSE r END AS new_r, CASE WHEN gone OR edited AND multiset THEN 'removed' WHEN edited THEN 'similar' ELSE 'same' END AS state, multiset FROM y
+UNION ALL SELECT part, NULL, r, 'added', multiset FROM y WHERE edited AND multiset AND NOT gone""",
     "q_positional_baseline": """WITH n AS (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey - 1 ELSE n_nationkey END AS k, n_name, n_regionkey FROM nation WHERE n_nationkey <> 3)
 SELECT count(*) FILTER (n.k IS NULL OR trim(o.n_name) <> trim(n.n_name)) + count(*) FILTER (n.k IS NULL OR o.n_regionkey <> n.n_regionkey) AS differing FROM nation o LEFT JOIN n ON n.k = o.n_nationkey""",
     "q_key_stats": _KEYSTAT,
