@@ -167,7 +167,7 @@ def _display(df: DataFrame, keys: list[str]) -> Column:
 
 def _in_order(old: DataFrame, new: DataFrame, names: list[str], o: CompareOptions) -> tuple[DataFrame, DataFrame]:
     """Rows paired by position: the pairs as structs, and their row numbers with states."""
-    places = pair_in_order(old, new, names, row=_ROW, o=o)
+    places = pair_in_order(old, new, names, row=_ROW, o=o).persist()
     a = old.select(F.col(_ROW).alias("old_r"), F.struct(*map(named, old.columns)).alias("old"))
     b = new.select(F.col(_ROW).alias("new_r"), F.struct(*map(named, new.columns)).alias("new"))
     return places.join(a, "old_r", "left").join(b, "new_r", "left").select("old", "new"), places
@@ -195,9 +195,11 @@ def compare_tables(
     b = new
     key = detect_key(*[df.select(*[cell_of(df, c).alias(c) for c in names]) for df in (a, b)], names, o, given)
     numeric = frozenset(n for n in names if new_facts[n]["filled"] and new_facts[n]["kind1"] >= 0.9 * new_facts[n]["filled"])
+    kept: list[DataFrame] = []
     if key.mode == "order":
         a, b = (df if _ROW in df.columns else df.withColumn(_ROW, row_place()) for df in (a, b))
         pairs, places = _in_order(a, b, names, o)
+        kept.append(places)
         matched_by = places.groupBy("multiset").count().select(F.when(F.col("multiset"), "multiset").otherwise("order").alias("matched_by")).distinct()
         moved = places.where("state = 'moved'").count()
         row_pairs = places.select("old_r", "new_r")
@@ -210,7 +212,7 @@ def compare_tables(
     # findings read states and changes many times
     diff.persist()
     findings = _findings(diff, a, b, key, names, new_facts, o, options, name, list(matches), list(sheets), moved, formulas, table)
-    return Comparison(name, matches, key, diff, matched_by, findings, row_pairs=row_pairs, kept=[diff.row_states, diff.cell_changes])
+    return Comparison(name, matches, key, diff, matched_by, findings, row_pairs=row_pairs, kept=[*kept, diff.row_states, diff.cell_changes])
 
 
 def _findings(
