@@ -220,9 +220,9 @@ def references(formulas: DataFrame) -> DataFrame:
 
 def survivors(row_map: DataFrame) -> DataFrame:
     """``sheet, old_row, new_row, following, preceding``: new places of the nearest rows left at or after, and at or before, each row."""
-    w = Window.partitionBy("sheet").orderBy("old_row")
-    after = F.first("new_row", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last("new_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # both are running values, one of them backwards: a frame to the end would be gone through anew for each row
+    back, on = (Window.partitionBy("sheet").orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.desc("old_row"), "old_row"))
+    after, before = (F.last("new_row", ignorenulls=True).over(w) for w in (back, on))
     return row_map.select("sheet", "old_row", "new_row", after.alias("following"), before.alias("preceding"))
 
 
