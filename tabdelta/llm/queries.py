@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import filter_audit as _filter_audit
+from . import fingerprints as _fingerprints
 from . import importance as _importance
 from . import jaccard_join as _jaccard_join
 from . import language_id as _language_id
@@ -17,6 +19,7 @@ from . import lm_scoring as _lm_scoring
 from . import packing as _packing
 from . import pseudonyms as _pseudonyms
 from . import quality_rules as _quality_rules
+from . import spelling as _spelling
 
 
 #: Id that ends a packed document.
@@ -84,6 +87,18 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_jaccard_join": op2_jaccard_join,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -147,5 +165,29 @@ SELECT d.doc_id,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda y, i: NOT list_contains(gone, i)), chr(10)) END AS text,
   coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS fails
+  FROM d JOIN m USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY part, fails),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step, bits FROM o),
+q AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM s),
+r AS (SELECT part, filter_order, step, own,
+  sum(CASE WHEN fails & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails & before > 0 AND fails & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN fails = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c CROSS JOIN q GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
 """,
 }

@@ -29,7 +29,7 @@ def test_operators_are_queries_of_the_driver():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{k}" for k in range(1, 11)} and set(Q.QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{k}" for k in range(1, 14)} and set(Q.QUERIES) | {"pipeline"} <= names
 
 
 def test_pipeline_matches_brute_force(spark):
