@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.coords import col_to_letter, rc_to_a1
 from ..functions.values import DATE, EMPTY, ID_LIKE, NUMBER, STRING, cell, cell_of, display_key, is_empty, named, parse_text_date, scalar_text, trim
 from ..options import CheckOptions, CompareOptions
+from ..sources.snapshots import number_as_read
 from . import checks as K
 from .columns import Match, match_columns, pair_sheets, sheet_scores, signature
 from .diff import REMOVED, Diff, change_counts, diff_pairs
 from .formulas import short_totals
 from .keys import Key, detect_key
-from .rows import pair_by_key, pair_in_order, row_place
+from .rows import pair_by_key, pair_in_order
 from .tables import data_range, header_row, table_columns, totals_rows
 
 _ROW = "_r"
@@ -123,17 +124,19 @@ def column_map(c: Comparison, old_columns: int) -> dict[int, int]:
 
 
 def column_facts(df: DataFrame, names: list[str], o: CompareOptions = CompareOptions()) -> dict[str, dict[str, int]]:
-    """Counts of filled cells, kinds, dates and identifiers of all columns, in one pass."""
-    aggregates = []
-    for k, name in enumerate(names):
-        c = cell_of(df, name)
-        text = c["kind"] == STRING
-        like = text & trim(c["text"]).rlike(ID_LIKE)
-        date = (c["kind"] == DATE) | (text & parse_text_date(c["text"], o.date_order).isNotNull())
-        counts = {"filled": ~is_empty(c), "dates": date, "id_like": like, **{f"kind{x}": c["kind"] == x for x in range(6)}}
-        aggregates += [F.count_if(v).alias(f"{k}:{n}") for n, v in counts.items()]
-    row = df.agg(*aggregates).first()
-    return {name: {n: row[f"{k}:{n}"] for n in ("filled", "dates", "id_like", *(f"kind{x}" for x in range(6)))} for k, name in enumerate(names)}
+    """Counts of filled cells, kinds, dates and identifiers of all columns, in one pass.
+
+    Cells are spread out first, so that the rules on texts are planned once and not for each column.
+    """
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), cell_of(df, name).alias("cell")) for k, name in enumerate(names)])
+    long = df.select(F.inline(cells)) if names else df.limit(0).select(F.lit(0).alias("k"), cell(EMPTY).alias("cell"))
+    c = F.col("cell")
+    text = F.when(c["kind"] == STRING, c["text"])
+    date = (c["kind"] == DATE) | parse_text_date(text, o.date_order).isNotNull()
+    facts = long.where(~is_empty(c)).select("k", c["kind"].alias("kind"), date.alias("date"), F.coalesce(trim(text).rlike(ID_LIKE), F.lit(False)).alias("id_like"))
+    counts = [F.count("*").alias("filled"), F.count_if("date").alias("dates"), F.count_if("id_like").alias("id_like"), *[F.count_if(F.col("kind") == x).alias(f"kind{x}") for x in range(6)]]
+    found = {r["k"]: r.asDict() for r in facts.groupBy("k").agg(*counts).collect()}
+    return {name: {n: found.get(k, {}).get(n, 0) for n in ("filled", "dates", "id_like", *(f"kind{x}" for x in range(6)))} for k, name in enumerate(names)}
 
 
 def _dominant(facts: dict[str, int]) -> int:
@@ -197,7 +200,7 @@ def compare_tables(
     numeric = frozenset(n for n in names if new_facts[n]["filled"] and new_facts[n]["kind1"] >= 0.9 * new_facts[n]["filled"])
     kept: list[DataFrame] = []
     if key.mode == "order":
-        a, b = (df if _ROW in df.columns else df.withColumn(_ROW, row_place()) for df in (a, b))
+        a, b = (df if _ROW in df.columns else number_as_read(df, _ROW) for df in (a, b))
         pairs, places = _in_order(a, b, names, o)
         kept.append(places)
         matched_by = places.groupBy("multiset").count().select(F.when(F.col("multiset"), "multiset").otherwise("order").alias("matched_by")).distinct()

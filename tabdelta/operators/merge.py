@@ -199,7 +199,10 @@ def merged_rows(base: DataFrame, a: DataFrame, b: DataFrame, key: str, changes:
 
 
 def merge_log(classes: DataFrame, answers: DataFrame, unticked: DataFrame | None = None, labels: tuple[str, str] = ("Copy 1", "Copy 2"), sheet: str = "Sheet1") -> DataFrame:
-    """``sheet, key, column, old, new, source, decision, note`` of every applied proposal and answer but 'base'."""
+    """``number, sheet, key, column, old, new, source, decision, note`` of every applied proposal and answer but 'base'.
+
+    What was applied without asking comes first; then by sheet, key, column and source.
+    """
     ticked = proposals(classes, sheet)
     if unticked is not None:
         ticked = ticked.join(unticked, "id", "left_anti")
@@ -229,4 +232,6 @@ def merge_log(classes: DataFrame, answers: DataFrame, unticked: DataFrame | None
         keep = F.col("type") == "DELETE_EDIT"
         decision = F.when(keep, "resolved: keep with edits").otherwise(F.concat(F.lit("resolved: "), F.col("choice")))
         out = out.unionAll(take.select("sheet", "key", "column", F.col("base").alias("old"), F.col(f"{name.lower()}_value").alias("new"), label(F.lit(name)).alias("source"), decision.alias("decision"), F.when(keep, "delete/edit conflict").otherwise("related edits").alias("note")))
-    return out
+    asked_last = out.withColumn("_asked", F.col("decision") != "auto")
+    log = number_rows(asked_last, "_asked", "sheet", "key", "column", "source", name="number")
+    return log.select((F.col("number") + 1).alias("number"), *out.columns)

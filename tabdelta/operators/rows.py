@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import cell_of, cell_token, matching_key, named
 from ..options import CompareOptions
+from ..sources.scratch import Scratch
+from ..sources.snapshots import in_ranges
 
 #: Above this product of row counts, rows are paired as a multiset.
 WORK = 50_000_000
@@ -18,6 +21,8 @@ WORK = 50_000_000
 CHURN = 0.4
 #: Rows of a gap compared at a time.
 HUNK = 2_000
+#: Rows of a group numbered in one task at most.
+HOT = 200_000
 
 
 def row_place() -> Column:
@@ -50,20 +55,27 @@ def pair_by_key(old: DataFrame, new: DataFrame, old_keys: list[str], new_keys: l
     return rows.where((F.col("_side") == 0) | F.col("_before").isNull()).select("old", F.when(F.col("_side") == 0, F.col("_new")).otherwise(F.col("new")).alias("new"))
 
 
-def number_within(rows: DataFrame, groups: list[str], place: str, name: str) -> DataFrame:
-    """``rows`` with their number from 1 within ``groups``, by ``place``; a group of any size is numbered in ranges.
+def number_within(rows: DataFrame, groups: list[str], place: str, name: str, hot: int = HOT) -> DataFrame:
+    """``rows`` with their number from 1 within ``groups``, by ``place``; a group of any size is numbered.
 
-    Ranges number their rows on their own, and the sizes of a group's parts in the ranges
-    before, a small table, are added.
+    Groups of up to ``hot`` rows are numbered by one shuffle.  Larger ones, of which there
+    are few, are sorted in ranges, and a group that goes on from one range into the next goes on with its numbers.
     """
-    order = [*groups, place]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p", *groups).orderBy(place)))
-    sizes = local.groupBy("_p", *groups).agg(F.max("_n").alias("_size"))
-    split = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).where("_before > 0")
-    # at most one group goes on from each range into the next
-    joined = local.join(F.broadcast(split.drop("_size")), ["_p", *groups], "left")
-    return joined.select(*rows.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).alias(name))
+    large = rows.groupBy(*groups).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*groups)
+    large = Scratch(rows.sparkSession, "numbers").save(large)
+    number = lambda *parts: F.row_number().over(Window.partitionBy(*groups, *parts).orderBy(place)).cast("long")
+    if large.isEmpty():
+        return rows.select("*", number().alias(name))
+    within = [F.col(f"_a.{g}").eqNullSafe(F.col(f"_b.{g}")) for g in groups]
+    met = reduce(lambda x, y: x & y, within)
+    few = rows.alias("_a").join(F.broadcast(large.alias("_b")), met, "left_anti").select("*", number().alias(name))
+    many = in_ranges(rows.alias("_a").join(F.broadcast(large.alias("_b")), met, "left_semi"), [*groups, place])
+    sizes = many.groupBy("_p", *groups).agg(F.count("*").alias("_size"), F.min("_k").alias("_first"))
+    earlier = F.coalesce(F.sum("_size").over(Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_p", *groups, (F.lit(1) + earlier - F.col("_first")).alias("_shift"))
+    same = reduce(lambda x, y: x & y, [F.col(f"_a.{g}").eqNullSafe(F.col(f"_b.{g}")) for g in ["_p", *groups]])
+    numbered = many.alias("_a").join(F.broadcast(starts.alias("_b")), same).select(*[F.col(f"_a.{c}").alias(c) for c in rows.columns], (F.col("_k") + F.col("_shift")).alias(name))
+    return few.unionByName(numbered)
 
 
 def pair_as_multiset(old: DataFrame, new: DataFrame, old_columns: list[str], new_columns: list[str], o: CompareOptions = CompareOptions(), order: Column | None = None) -> DataFrame:

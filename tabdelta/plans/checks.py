@@ -86,7 +86,7 @@ def q_findings_ranked(spark, sf):
     old, new = orders_pair(spark, sf)
     diff = _diff(spark, sf).persist()
     keys = [x.select(F.col("o_orderkey").cast("string").alias("key")) for x in (old, new)]
-    return K.ranked(K.run_checks(diff, *keys)).select("rule", "severity", "key", "column")
+    return K.ranked(K.run_checks(diff, *keys)).select("rank", "rule", "severity", "key", "column")
 
 
 def q_counts_full(spark, sf):
@@ -141,7 +141,8 @@ FROM n JOIN one USING (name) JOIN many USING (name) WHERE id <> old_id""",
     "q_chk10": f"""SELECT 'CHK-10' AS rule, 'medium' AS severity, key, 'Customer GSTIN' AS "column", 'Malformed GSTIN' AS title, id || ' has not the form of a GSTIN.' AS message FROM ({_NEW_IDS}) WHERE k % 499 = 9""",
     "q_row_findings": f"""SELECT CASE state WHEN 'added' THEN 'ROW_ADDED' ELSE 'ROW_REMOVED' END AS rule, 'medium' AS severity, key, {_NULL} AS "column", CASE state WHEN 'added' THEN 'Added' ELSE 'Removed' END || ' row' AS title, CASE state WHEN 'added' THEN 'Added' ELSE 'Removed' END || ' row: ' || key || '.' AS message FROM ({_STATES}) AS s WHERE state IN ('added', 'removed')""",
     "q_cell_findings": f"""SELECT 'CELL_EDIT' AS rule, 'medium' AS severity, key, "column", 'Edited value' AS title, "column" || ' of ' || key || ': ' || {_shown('old')} || ' → ' || {_shown('new')} || '.' AS message FROM ({_changes(False)}) AS c""",
-    "q_findings_ranked": _FOUND,
+    # all are of one severity, and edits and rows weigh the same
+    "q_findings_ranked": f"""SELECT row_number() OVER (ORDER BY key NULLS FIRST, "column" NULLS FIRST) AS rank, rule, severity, key, "column" FROM ({_FOUND}) AS f""",
     "q_counts_full": f"""WITH e AS ({_EVENTS}), p AS ({_MONTH}), f AS ({_FOUND}) SELECT (SELECT count(*) FROM e, p WHERE m AND date_trunc('month', day) <> month) AS needs_attention, (SELECT count(*) FROM f) AS to_review""",
     "q_touched_rows": f"""SELECT key FROM ({_STATES}) AS s WHERE state = 'added' UNION SELECT key FROM ({_changes(False)}) AS c""",
     "q_dominant_month": "SELECT date_trunc('month', ts)::DATE AS month FROM events GROUP BY 1 HAVING count(*) >= 0.8 * (SELECT count(*) FROM events)",

@@ -116,12 +116,13 @@ CASE WHEN class = 'RELATED_EDITS' AND c.k % 60 = 5 AND yre THEN yr WHEN class =
 FROM {BASE_SQL} AS b JOIN c ON c.k = b.k WHERE NOT (class IN ('delete_a', 'delete_b', 'delete_both') OR class = 'DELETE_EDIT' AND c.k % 60 <> 8)
 UNION ALL SELECT x.k, x.p, x.r, x.s FROM {A_SQL} AS x JOIN c ON c.k = x.k WHERE class IN ('add_a', 'add_both', 'ADD_ADD')
 UNION ALL SELECT CASE WHEN class = 'ADD_ADD' THEN y.k * 10 + 9 ELSE y.k END, y.p, y.r, y.s FROM {B_SQL} AS y JOIN c ON c.k = y.k WHERE class IN ('add_b', 'ADD_ADD')""",
-    "q_merge_log": f"""{_WITH}, p AS ({_PROPOSALS}) SELECT sheet, key, CASE kind WHEN 'cell' THEN "column" WHEN 'row_add' THEN '(new row)' ELSE '(row)' END AS "column", CASE kind WHEN 'cell' THEN base WHEN 'row_delete' THEN key END AS old,
+    "q_merge_log": f"""{_WITH}, p AS ({_PROPOSALS}), log AS (SELECT sheet, key, CASE kind WHEN 'cell' THEN "column" WHEN 'row_add' THEN '(new row)' ELSE '(row)' END AS "column", CASE kind WHEN 'cell' THEN base WHEN 'row_delete' THEN key END AS old,
 CASE kind WHEN 'cell' THEN value WHEN 'row_add' THEN key ELSE '(deleted)' END AS new, CASE source WHEN 'A' THEN 'Copy 1' WHEN 'B' THEN 'Copy 2' ELSE 'Both copies' END AS source, 'auto' AS decision, '' AS note FROM p
 UNION ALL SELECT 'orders' AS sheet, {_S.format('k')} AS key, col AS "column", base AS old, xv AS new, 'Copy 1' AS source, 'resolved: A' AS decision, 'conflict' AS note FROM e WHERE class = 'CELL' AND ix AND iy AND xv <> yv
 UNION ALL SELECT 'orders', {_S.format('k')}, col, base, CASE WHEN ix THEN xv ELSE yv END, CASE WHEN ix THEN 'Copy 1' ELSE 'Copy 2' END, 'resolved: both', 'related edits' FROM e WHERE class = 'RELATED_EDITS' AND k % 60 = 5
 UNION ALL SELECT 'orders', {_S.format('k')}, col, base, CASE WHEN ix THEN xv ELSE yv END, CASE WHEN ix THEN 'Copy 1' ELSE 'Copy 2' END, 'resolved: keep with edits', 'delete/edit conflict' FROM e WHERE class = 'DELETE_EDIT' AND k % 60 = 8
-UNION ALL SELECT 'orders', {_S.format('k')}, '(row)', {_S.format('k')}, '(deleted)', CASE WHEN hx THEN 'Copy 2' ELSE 'Copy 1' END, 'resolved: delete', 'delete/edit conflict' FROM c WHERE class = 'DELETE_EDIT' AND k % 60 <> 8""",
+UNION ALL SELECT 'orders', {_S.format('k')}, '(row)', {_S.format('k')}, '(deleted)', CASE WHEN hx THEN 'Copy 2' ELSE 'Copy 1' END, 'resolved: delete', 'delete/edit conflict' FROM c WHERE class = 'DELETE_EDIT' AND k % 60 <> 8)
+SELECT row_number() OVER (ORDER BY decision <> 'auto', sheet, key, "column", source) AS number, * FROM log""",
     "q_merge_anchor": f"""WITH a AS (SELECT x.*, b.k AS bk FROM {A_SQL} AS x LEFT JOIN {BASE_SQL} AS b ON b.k = x.k),
 w AS (SELECT k, bk, last_value(bk IGNORE NULLS) OVER (PARTITION BY s ORDER BY p, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM a) SELECT k AS key, after FROM w WHERE bk IS NULL""",
 }

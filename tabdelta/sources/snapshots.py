@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import EMPTY, cell_of, is_empty, typed_cell
+from .scratch import Scratch
 
 
 def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -28,33 +29,62 @@ def cells_long(df: DataFrame, row: str, columns: list[str] | None = None) -> Dat
     return df.select(F.col(row).cast("long").alias("r"), F.explode(F.array(*parts)).alias("x")).select("r", "x.*").where(~is_empty(F.col("cell")))
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` sorted in ranges of ``order``: ``_p`` is the number of a row's range, ``_k`` its place there from 0.
+
+    The ranges are written once and read by all that follows.  Planned twice, Spark would sample
+    and cut them anew, and numbers of one plan would not fit the rows of the other.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    table = Scratch(df.sparkSession, "ranges").save(spread)
+    return _places(table, df.columns)
+
+
+def _places(table: DataFrame, columns: list[str]) -> DataFrame:
+    # the upper bits are the partition that wrote a row, the lower 33 the row's place in it
+    return table.select(*columns, F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
+
+
+def _numbered(local: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Places in ranges as numbers; the sizes of the ranges, a table of one row each, shift them."""
+    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return local.join(F.broadcast(before), "_p").select(*columns, (F.col("_before") + F.col("_k")).cast("long").alias(name))
+
+
 def number_rows(df: DataFrame, *order: str, name: str = "r") -> DataFrame:
-    """``df`` with rows numbered from 0 in ``order``.
+    """``df`` with rows numbered from 0 in ``order``; rows that it doesn't tell apart are numbered in any order.
 
-    Rows are range-partitioned and numbered within partitions; counts of the partitions,
-    a table of one row each, shift the numbers, so no task sorts everything.
+    Rows are sorted in ranges and no task sorts everything.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    before = local.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("_p", "_before")), "_p").select(*df.columns, (F.col("_before") + F.col("_k") - 1).cast("long").alias(name))
+    return _numbered(in_ranges(df, list(order)), df.columns, name)
+
+
+def number_as_read(df: DataFrame, name: str = "r") -> DataFrame:
+    """``df`` with rows numbered from 0 as they are read; they are written once, so that numbers stay."""
+    table = Scratch(df.sparkSession, "rows").save(df.withColumn("_at", F.monotonically_increasing_id()))
+    return _numbered(_places(table, df.columns), df.columns, name)
 
 
 def running_last(df: DataFrame, order: list[str], value: Column, name: str, part: str | None = None) -> DataFrame:
     """``df`` with the last value that isn't null of the rows before each row in ``order``, within ``part``.
 
     As with ``number_rows``, ranges of the order are gone through on their own, and what the ranges
-    before leave behind, a row for each part in them, is carried on.
+    before leave behind is carried on, a row for each part that a range begins with.
     """
     parts = [part] if part else []
-    spread = df.withColumn("_v", value).repartitionByRange(*parts, *order).sortWithinPartitions(*parts, *order).withColumn("_p", F.spark_partition_id())
-    place = Window.partitionBy("_p", *parts).orderBy(*order)
-    local = spread.withColumn("_local", F.last("_v", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
-    left = spread.where("_v IS NOT NULL").groupBy("_p", *parts).agg(F.max_by("_v", F.struct(*order)).alias("_left"))
-    ranges = spread.select("_p", *parts).distinct().join(left, ["_p", *parts], "left")
-    before = (Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    local = in_ranges(df.withColumn("_v", value), [*parts, *order])
+    own = Window.partitionBy("_p", *parts).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    # only the part at the start of a range can have begun before it
+    heads = local.where("_k = 0").select("_p", *parts)
+    left = local.where("_v IS NOT NULL").groupBy("_p", *parts).agg(F.max_by("_v", "_k").alias("_left"))
+    if parts:
+        left = left.join(F.broadcast(heads.select(*parts).distinct()), parts, "left_semi")
+    ranges = heads.unionByName(left.select("_p", *parts)).distinct().join(left, ["_p", *parts], "left")
+    before = Window.partitionBy(*(parts or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     carried = ranges.withColumn("_carried", F.last("_left", ignorenulls=True).over(before)).drop("_left").where("_carried IS NOT NULL")
-    return local.join(F.broadcast(carried), ["_p", *parts], "left").select(*df.columns, F.coalesce("_local", "_carried").alias(name))
+    seen = local.withColumn("_local", F.last("_v", ignorenulls=True).over(own))
+    return seen.join(F.broadcast(carried), ["_p", *parts], "left").select(*df.columns, F.coalesce("_local", "_carried").alias(name))
 
 
 def filled(cell: str) -> Column:
