@@ -8,6 +8,7 @@ possible distance where the profile lacks it.  The nearest profile wins.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from .textkit import map_text, slices
 #: Longest n-gram, and n-grams in a profile.
 ORDERS = 3
 PROFILE = 400
-#: Documents per language from which profiles are learned, about.
+#: Documents per language from which profiles are learned at most.
 TRAIN_DOCS = 20_000
 UNKNOWN = "und"
 
@@ -132,8 +133,9 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Profiles:
     """Profiles of the languages in ``lang_col``.
 
-    A language with more than ``train_docs`` labelled rows is learned from about that
-    many, picked by a hash of the text; others from all their rows.
+    A language with more than ``train_docs`` labelled rows is learned from that many at most, others
+    from all their rows.  Rows are picked by a hash of what they hold and of their place,
+    so rows that are alike are picked apart, and each language is filled up to the bound.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
@@ -142,8 +144,12 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     share = F.lit(1.0)
     for lang, n in sizes.items():
         if n > train_docs:
-            share = F.when(F.col(lang_col) == lang, train_docs / n).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
+            # some more than the bound, of which the least hashes stay: fewer are as good as impossible
+            share = F.when(F.col(lang_col) == lang, min(1.0, (train_docs + 10 * math.sqrt(train_docs) + 100) / n)).otherwise(share)
+    spot = F.pmod(F.xxhash64(*docs.columns, F.monotonically_increasing_id(), F.lit(7)), F.lit(1 << 53))
+    some = labelled.select(F.col(lang_col), F.col(text_col), spot.alias("_spot")).where(F.col("_spot") < share * float(1 << 53))
+    least = F.row_number().over(Window.partitionBy(lang_col).orderBy("_spot", F.xxhash64(text_col)))
+    picked = some.withColumn("_n", least).where(F.col("_n") <= train_docs).drop("_n", "_spot") if max(sizes.values()) > train_docs else labelled
     counts = gram_counts(picked, lang_col, text_col)
     # Spark drops all but the first PROFILE rows of a language before the shuffle
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

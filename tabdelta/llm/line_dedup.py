@@ -5,6 +5,10 @@ sites the line stands.  Sketches are built within tasks and merged by aggregatio
 line that a third of all documents hold costs a shuffled row for each task.  Lines whose
 estimate is near the threshold get exact distinct counts; the others are far enough
 from it for the sketch to decide.
+
+What then looks lines up takes the same path at every size.  A bitmap of fixed size, in which each
+sought line sets a bit, is sent to the executors; only lines that meet a bit are shuffled, as keys and
+places, and joined with the lines sought.  Only documents that may lose a line are joined with what they lose.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .scratch import Scratch
 from .textkit import map_text
@@ -23,8 +27,12 @@ from .textkit import map_text
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: over ten standard errors.
 NEAR = 0.2
-#: Spread lines up to this number are broadcast, as keys and first places of some 40 bytes each.
-BROADCAST_LINES = 2_000_000
+#: Bits of the bitmap of sought lines, 16 MB; the more lines there are, the more others meet a bit and are shuffled.
+BITS = 1 << 27
+#: Groups of document ids; those that hold a document that loses a line are broadcast.
+ID_GROUPS = 1 << 20
+#: Bits that one row of a bitmap holds in Spark.
+_ROW_BITS = 1 << 15
 _BLANK = " \t\x0b\x0c\r"
 #: Stands for the site of documents without one.
 _NO_SITE = "\x01"
@@ -38,31 +46,69 @@ def line_keys(line: Column) -> list[Column]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """``doc, site, pos, line, k1, k2`` of each line with a word, blank space around it taken off."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit(_NO_SITE)).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
-    )
+    """``doc, site, pos, k1, k2`` of each line with a word, blank space around it taken off."""
+    rows = _sources(docs, id_col, text_col, site_col).select("doc", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = _trimmed(F.col("line"))
-    return rows.where(line != "").select("doc", "site", "pos", line.alias("line"), *line_keys(line))
+    return rows.where(line != "").select("doc", "site", "pos", *line_keys(line))
+
+
+def _sources(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit(_NO_SITE)).alias("site"), F.col(text_col).alias("text"))
 
 
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANK))
 
 
-def spread_lines(lines: DataFrame, least: int) -> DataFrame:
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``BITS`` bits in which each ``k1`` of ``keys`` sets one; its size doesn't depend on them."""
+    at = F.pmod("k1", F.lit(BITS))
+    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / _ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("at") % _ROW_BITS).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        start, part = r["row"] * _ROW_BITS // 8, np.frombuffer(r["bits"], np.uint8)[: _ROW_BITS // 8]
+        out[start : start + len(part)] = part
+    return out
+
+
+def marked_lines(docs: DataFrame, bitmap: np.ndarray, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """Rows of ``lines_of`` whose ``k1`` meets a bit of the bitmap; these hold all lines that it was made of."""
+    known = docs.sparkSession.sparkContext.broadcast(bitmap)
+    rows = _sources(docs, id_col, text_col, site_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        doc, pos, lines = [], [], []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            for at, line in enumerate(text.split("\n") if text else ()):
+                if line := line.strip(_BLANK):
+                    doc.append(k)
+                    pos.append(at)
+                    lines.append(line.encode("utf-8", "surrogatepass"))
+        k1 = np.array([xxhash.xxh64_intdigest(x, _SEEDS[0]) for x in lines], np.uint64).view(np.int64)
+        bit = k1 % (8 * len(known.value))
+        met = np.flatnonzero(known.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        if not len(met):
+            return None
+        k2 = np.array([xxhash.xxh64_intdigest(lines[i], _SEEDS[1]) for i in met.tolist()], np.uint64).view(np.int64)
+        of = pa.array(np.array(doc, np.int64)[met])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(pos, np.int32)[met]), pa.array(k1[met]), pa.array(k2)], ["doc", "site", "pos", "k1", "k2"])
+
+    schema = StructType([rows.schema["doc"], rows.schema["site"], StructField("pos", IntegerType()), StructField("k1", LongType()), StructField("k2", LongType())])
+    return map_text(rows, run, schema)
+
+
+def spread_lines(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Keys of lines on ``least`` or more distinct sites, with their first place by document and position."""
+    lines = lines_of(docs, id_col, text_col, site_col)
     sketched = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc", "pos")).alias("first"))
     rough = sketched.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = max(1.0, NEAR * least)
-    table = Scratch(lines.sparkSession, "line_dedup").save(rough.where(F.col("sites") >= least - slack))
+    table = Scratch(docs.sparkSession, "line_dedup").save(rough.where(F.col("sites") >= least - slack))
     sure = table.where(F.col("sites") > least + slack).select("k1", "k2", "first")
     near = table.where(F.col("sites") <= least + slack)
-    exact = (
-        lines.join(near.select("k1", "k2", "first"), ["k1", "k2"])
-        .groupBy("k1", "k2", "first", "site").agg(F.lit(1).alias("one"))
-        .groupBy("k1", "k2", "first").agg(F.count("*").alias("sites"))
-    )
+    # the sites of a line are made distinct before lines meet, so a line in very many documents is a few rows
+    sites = marked_lines(docs, _bitmap(near), id_col, text_col, site_col).select("k1", "k2", "site").distinct()
+    exact = near.select("k1", "k2", "first").join(sites, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("first").alias("first"), F.count("*").alias("sites"))
     return sure.unionAll(exact.where(F.col("sites") >= least).select("k1", "k2", "first"))
 
 
@@ -73,7 +119,6 @@ def remove_spread_lines(
     site_col: str = "source",
     least: int = 10,
     keep_first: bool = True,
-    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """``docs`` without lines found on ``least`` or more sites; also ``n_lines`` and ``n_removed``.
 
@@ -82,8 +127,7 @@ def remove_spread_lines(
     occurrence of a line, by document id and position, stays, so that what many
     sites copy is left once.  A null site is a site of its own.
 
-    The keys and first places of up to ``broadcast_lines`` such lines are sent to the executors, and
-    no text is shuffled; beyond that their places are joined to the documents.
+    A text is shuffled only if its document is in one of ``ID_GROUPS`` groups of ids of which one loses a line.
 
     Null and empty texts stay as they are, with 0 lines.  Rows with a null id stay
     as they are and their lines don't count.  Rows repeated with the same id count as one
@@ -91,78 +135,30 @@ def remove_spread_lines(
     ``n_lines`` and ``n_removed`` replace columns of that name.  An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "line_dedup")
-    lines = lines_of(docs, id_col, text_col, site_col)
-    spread = scratch.save(spread_lines(lines, least))
-    base = docs.drop("n_lines", "n_removed")
-    if spread.count() <= broadcast_lines:
-        return _removed_by_key(base, spread, id_col, text_col, keep_first)
-    return _removed_by_place(base, scratch, lines, spread, id_col, text_col, keep_first)
-
-
-class _Places:
-    """First places of spread lines by their keys."""
-
-    def __init__(self, spread: DataFrame):
-        table = spread.select("k1", "k2", "first.doc", "first.pos").orderBy("k1").toArrow()
-        self.k1, self.k2, self.pos = (table[c].to_numpy() for c in ("k1", "k2", "pos"))
-        self.doc = table["doc"].combine_chunks()
-
-    def find(self, lines: list[bytes]) -> np.ndarray:
-        """The place of each line among the spread lines, or -1."""
-        keys = [np.array([xxhash.xxh64_intdigest(x, seed) for x in lines], np.uint64).view(np.int64) for seed in _SEEDS]
-        if not len(self.k1):
-            return np.full(len(lines), -1)
-        at = np.minimum(np.searchsorted(self.k1, keys[0]), len(self.k1) - 1)
-        return np.where((self.k1[at] == keys[0]) & (self.k2[at] == keys[1]), at, -1)
-
-
-def _removed_by_key(base: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
-    """Removal with the keys of the spread lines at hand in each task."""
-    known = base.sparkSession.sparkContext.broadcast(_Places(spread))
-    at, key = base.columns.index(text_col), base.columns.index(id_col)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = known.value
-        docs, texts = batch.column(key).to_pylist(), batch.column(at).to_pylist()
-        parts = [t.split("\n") if t and d is not None else [] for d, t in zip(docs, texts, strict=True)]
-        trimmed = [x.strip(_BLANK) for p in parts for x in p]
-        lines = [x.encode("utf-8", "surrogatepass") for x in trimmed if x]
-        found = iter(places.find(lines).tolist())
-        count, lost = [0] * len(docs), [0] * len(docs)
-        each = iter(trimmed)
-        for k, (doc, held) in enumerate(zip(docs, parts, strict=True)):
-            left = []
-            for pos, part in enumerate(held):
-                place = -1
-                if next(each):
-                    count[k] += 1
-                    place = next(found)
-                if place < 0 or (keep_first and places.pos[place] == pos and places.doc[place].as_py() == doc):
-                    left.append(part)
-            lost[k] = len(held) - len(left)
-            if lost[k]:
-                texts[k] = "\n".join(left)
-        columns = list(batch.columns)
-        columns[at] = pa.array(texts, batch.schema.field(at).type)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(lost, pa.int64())], [*batch.schema.names, "n_lines", "n_removed"])
-
-    schema = StructType([*base.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return map_text(base, run, schema, text_col)
-
-
-def _removed_by_place(base: DataFrame, scratch: Scratch, lines: DataFrame, spread: DataFrame, id_col: str, text_col: str, keep_first: bool) -> DataFrame:
-    """Removal by a join of the places of spread lines with the documents."""
-    hits = lines.select("doc", "pos", "k1", "k2").join(spread, ["k1", "k2"])
+    spread = scratch.save(spread_lines(docs, least, id_col, text_col, site_col))
+    hits = marked_lines(docs, _bitmap(spread), id_col, text_col, site_col).join(spread, ["k1", "k2"])
     if keep_first:
         hits = hits.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
     gone = scratch.save(hits.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
-    rows = base.select(F.col(id_col).alias("doc"), F.struct(*base.columns).alias("row")).join(gone, "doc", "left")
+
+    base = docs.drop("n_lines", "n_removed").select(F.col(id_col).alias("doc"), F.struct(*[c for c in docs.columns if c not in ("n_lines", "n_removed")]).alias("row"))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_GROUPS)).cast("int")
+    groups = F.broadcast(scratch.save(gone.select(group("doc").alias("group")).distinct()))
+    rows = base.withColumn("group", F.when(F.col("doc").isNotNull(), group("doc")))
+    touched = rows.join(groups, "group", "left_semi").join(gone, "doc", "left")
+    others = rows.join(groups, "group", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    return touched.unionByName(others).select(*_left(docs, text_col))
+
+
+def _left(docs: DataFrame, text_col: str) -> list[Column]:
+    """Columns of ``docs`` from ``row``, without the lines at the places in ``gone``."""
     value, parts = F.col("row")[text_col], F.split(F.col("row")[text_col], "\n")
     left = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), value).otherwise(F.array_join(left, "\n"))
     lost = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     counted = F.when(F.col("doc").isNull() | value.isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: _trimmed(x) != "")))
-    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in base.columns], counted.cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"))
+    own = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return [*own, counted.cast("long").alias("n_lines"), lost.cast("long").alias("n_removed")]
 
 
 def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:

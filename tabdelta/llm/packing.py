@@ -16,10 +16,11 @@ import os
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import Scratch
 from .textkit import map_text
@@ -171,22 +172,27 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: no sequence exceeds ``capacity``, none has a hole.
 
-    ``pieces`` has a ``length`` from 1 to ``capacity``; all its columns stay.  Rows repeated
+    ``pieces`` has a ``length`` from 1 to ``capacity``; all its columns stay as they are, but
+    ``sequence_id`` and ``offset`` replace columns of that name.  Rows repeated
     are packed each on their own.  An empty table gives an empty result.
     """
-    names = pieces.columns
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     groups = max(1, math.ceil(pieces.count() / group))
     # the place of a row is hashed too, so that rows repeated do not meet in one group
     place_of = F.monotonically_increasing_id()
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*[c for c in names if c != "ids"], place_of), F.lit(groups)))
-    place = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", *names[:2]], ascending=[False, True, True], kind="stable")
+    dealt = pieces.select(F.pmod(F.xxhash64(*[c for c in names if c != "ids"], place_of), F.lit(groups)).alias("_packed_in"), F.struct(*names).alias("_piece"))
+    schema = StructType([*[pieces.schema[c] for c in names], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # Arrow keeps long ids beside nulls as they are, which pandas would turn into doubles
+        rows = pa.Table.from_struct_array(table["_piece"].combine_chunks())
+        order = pc.sort_indices(rows, [("length", "descending"), *[(c, "ascending") for c in names[:2] if c != "length"]])
+        rows = rows.take(order)
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=rows["_group"] * (1 << 32) + sequence, offset=offset).drop(columns="_group")
+        first = key[0].as_py() << 32
+        return rows.append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("_group").applyInPandas(run, f"{place}, sequence_id long, offset long")
+    return dealt.groupBy("_packed_in").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -209,6 +209,27 @@ def test_held_out_accuracy_and_edge_cases(spark, rng, odd):
     assert held_ids == {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2}
 
 
+def test_no_language_is_lost_beyond_the_bound(spark):
+    english, german = "the very same english text", "ein deutscher satz mit anderen wörtern"
+    rows = [(i, english, "en") for i in range(30)] + [(100 + i, f"{german} {i}", "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for bound in (1, 3):
+        profiles = L.learn_profiles(docs.select("text", "lang"), train_docs=bound)
+        assert profiles.names == ["de", "en"] and profiles.predict(english)[0] == "en" and profiles.predict(german)[0] == "de"
+
+
+def test_the_bound_is_filled(spark):
+    rows = [("same", "x")] * 50_000 + [("other words", "y")] * 10
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    counts = {}
+    learn, L.gram_counts = L.gram_counts, lambda picked, lang, text: counts.update({r[0]: r[1] for r in picked.groupBy(lang).count().collect()}) or learn(picked, lang, text)
+    try:
+        assert L.learn_profiles(docs).names == ["x", "y"]
+    finally:
+        L.gram_counts = learn
+    assert counts == {"x": L.TRAIN_DOCS, "y": 10}
+
+
 def test_distance_by_definition():
     profiles = L.Profiles.of({"x": np.array([5, 3, 9]), "y": np.array([7, 5])})
     own = np.array([5, 7, 3])

@@ -88,6 +88,17 @@ def test_repeated_rows_null_ids_and_empty_table(docs_of):
     assert P.pack_documents(docs_of([]), tokenizer_path(), END_ID).count() == 0
 
 
+def test_large_ids_beside_null_and_clashing_columns(spark, docs_of, tokenizer):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**60) - 5]
+    got = P.pack_documents(docs_of([(i, "a b") for i in ids]), tokenizer_path(), END_ID).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+    rows = [(2**60 + k if k % 3 else None, 5 + k, None if k % 2 else "x", 7, k) for k in range(20)]
+    pieces = spark.createDataFrame(rows, "_group long, length long, offset string, sequence_id int, _packed_in long")
+    packed = P.pack(pieces, capacity=64, group=8)
+    assert packed.columns == ["_group", "length", "_packed_in", "sequence_id", "offset"]
+    assert sorted(((r._group, r.length, r._packed_in) for r in packed.collect()), key=str) == sorted(((a, b, e) for a, b, _, _, e in rows), key=str)
+
+
 def test_sum_of_squares_by_definition():
     r = np.random.default_rng(2)
     lengths = r.integers(1, 21, 300)
