@@ -145,7 +145,8 @@ def remove_spread_lines(
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_GROUPS)).cast("int")
     groups = F.broadcast(scratch.save(gone.select(group("doc").alias("group")).distinct()))
     rows = base.withColumn("group", F.when(F.col("doc").isNotNull(), group("doc")))
-    touched = rows.join(groups, "group", "left_semi").join(gone, "doc", "left")
+    # merged at every size: a broadcast of what is lost would hold while inputs are small only
+    touched = rows.join(groups, "group", "left_semi").join(gone.hint("merge"), "doc", "left")
     others = rows.join(groups, "group", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
     return touched.unionByName(others).select(*_left(docs, text_col))
 
