@@ -8,6 +8,7 @@ column; rows and cells stay in DataFrames.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from ..sources.snapshots import number_as_read
 from . import checks as K
 from .columns import Match, match_columns, pair_sheets, sheet_scores, signature
 from .diff import REMOVED, Diff, change_counts, diff_pairs
-from .formulas import short_totals
+from .formulas import equivalent, short_totals
 from .keys import Key, detect_key
 from .rows import pair_by_key, pair_in_order
 from .tables import data_range, header_row, table_columns, totals_rows
@@ -54,6 +55,8 @@ class Comparison:
     new_table: Table | None = None
     row_pairs: DataFrame | None = None
     kept: list[DataFrame] = field(default_factory=list)
+    #: The comparison once more, with formulas followed along ``row_map(sheet, old_row, new_row)``.
+    again: Callable[[DataFrame], Comparison] | None = None
 
     def close(self) -> None:
         """Let go of what was kept for results that read it more than once."""
@@ -178,7 +181,7 @@ def _in_order(old: DataFrame, new: DataFrame, names: list[str], o: CompareOption
 
 def compare_tables(
     old: DataFrame, new: DataFrame, o: CompareOptions = CompareOptions(), options: CheckOptions = CheckOptions(), name: str = "Sheet1",
-    given: list[str] | None = None, sheets: list[Match] = (), with_kinds: bool = True, formulas: DataFrame | None = None, table: Table | None = None,
+    given: list[str] | None = None, sheets: list[Match] = (), with_kinds: bool = True, formulas: DataFrame | None = None, table: Table | None = None, old_name: str | None = None,
 ) -> Comparison:
     """Compare two tables of typed columns or cells.
 
@@ -211,11 +214,36 @@ def compare_tables(
         pairs = pair_by_key(a, b, key.columns, key.columns, o, order)
         matched_by, moved = pairs.sparkSession.createDataFrame([("key",)], "matched_by string"), 0
         row_pairs = pairs.select(F.col(f"old.{_ROW}").alias("old_r"), F.col(f"new.{_ROW}").alias("new_r")) if order is not None else None
-    diff = diff_pairs(pairs, [(n, n) for n in names], key.columns, key.columns, o, numeric, label=_ROW if _ROW in a.columns else None)
-    # findings read states and changes many times
-    diff.persist()
-    findings = _findings(diff, a, b, key, names, new_facts, o, options, name, list(matches), list(sheets), moved, formulas, table)
-    return Comparison(name, matches, key, diff, matched_by, findings, row_pairs=row_pairs, kept=[*kept, diff.row_states, diff.cell_changes])
+    label = _ROW if _ROW in a.columns else None
+
+    def finish(moves: DataFrame | None) -> Comparison:
+        judged = pairs if moves is None else follow_formulas(pairs, names, moves, old_name or name)
+        diff = diff_pairs(judged, [(n, n) for n in names], key.columns, key.columns, o, numeric, label=label)
+        # findings read states and changes many times
+        diff.persist()
+        findings = _findings(diff, a, b, key, names, new_facts, o, options, name, list(matches), list(sheets), moved, formulas, table)
+        return Comparison(name, matches, key, diff, matched_by, findings, row_pairs=row_pairs, kept=[*kept, diff.row_states, diff.cell_changes], again=finish)
+
+    return finish(None)
+
+
+def follow_formulas(pairs: DataFrame, names: list[str], row_map: DataFrame, sheet: str) -> DataFrame:
+    """``pairs`` in which an old formula that is the new one once its rows are moved has the new one's text.
+
+    Such a formula isn't changed; what it gives may be, which then counts as recalculated.
+    """
+    width = len(names)
+    both = F.array(*[F.struct(F.lit(k).alias("k"), F.col("old")[n]["formula"].alias("old"), F.col("new")[n]["formula"].alias("new")) for k, n in enumerate(names)])
+    unlike = pairs.select(F.col(f"old.{_ROW}").alias("_at"), F.inline(both)).where("_at IS NOT NULL AND old IS NOT NULL AND new IS NOT NULL AND old <> new")
+    asked = unlike.select((F.col("_at") * width + F.col("k")).alias("id"), F.lit(sheet).alias("sheet"), "old", "new")
+    same = equivalent(asked, row_map).where("same").groupBy(F.expr(f"id div {width}").alias("_at")).agg(F.collect_set((F.col("id") % width).cast("int")).alias("_same"))
+    met = pairs.withColumn("_row", F.col(f"old.{_ROW}")).join(same, F.col("_row") == F.col("_at"), "left")
+    old = F.col("old")
+    for k, n in enumerate(names):
+        moved = F.array_contains("_same", k)
+        cell_now = F.col("old")[n].withField("formula", F.when(moved, F.col("new")[n]["formula"]).otherwise(F.col("old")[n]["formula"]))
+        old = old.withField(f"`{n}`", cell_now)
+    return met.select(old.alias("old"), "new")
 
 
 def _findings(
@@ -274,16 +302,45 @@ def total_findings(formulas: DataFrame, rows: DataFrame, table: Table, name: str
     return groups.select(*K.short_total(F.col("keys"), F.col("cells"), F.col("host"), F.col("impact")))
 
 
-def compare_sheets(old: DataFrame, new: DataFrame, o: CompareOptions = CompareOptions(), options: CheckOptions = CheckOptions(), name: str = "Sheet1", old_name: str | None = None, sheets: list[Match] = (), formulas: DataFrame | None = None) -> Comparison:
-    """Compare two sheets of long cells ``r, c, cell``: their tables are detected first."""
+def formula_cells(cells: DataFrame, sheet: str) -> DataFrame:
+    """``id, sheet, formula, r, c`` of the formulas of a sheet."""
+    return cells.where("cell.formula IS NOT NULL").select(F.xxhash64(F.lit(sheet), "r", "c").alias("id"), F.lit(sheet).alias("sheet"), F.col("cell.formula").alias("formula"), "r", "c")
+
+
+def compare_sheets(
+    old: DataFrame, new: DataFrame, o: CompareOptions = CompareOptions(), options: CheckOptions = CheckOptions(), name: str = "Sheet1",
+    old_name: str | None = None, sheets: list[Match] = (), formulas: DataFrame | None = None, follow: bool = True,
+) -> Comparison:
+    """Compare two sheets of long cells ``r, c, cell``: their tables are detected first.
+
+    Formulas are followed along the rows of this sheet, unless ``follow`` is off; totals are looked for in ``formulas``,
+    those of the new sheet if none are given.
+    """
     tables = [detect_table(x, o.header_row.get(n)) for x, n in ((old, old_name or name), (new, name))]
     rows = [sheet_rows(x, t).persist() for x, t in zip((old, new), tables, strict=True)]
-    found = compare_tables(*rows, o, options, name, o.keys.get(name), sheets, formulas=formulas, table=tables[1])
+    totals = formula_cells(new, name) if formulas is None else formulas
+    found = compare_tables(*rows, o, options, name, o.keys.get(name), sheets, formulas=totals, table=tables[1], old_name=old_name)
     found.old_table, found.new_table = tables
     found.kept += rows
+    if follow and not old.where("cell.formula IS NOT NULL").isEmpty():
+        return _followed(found, sheet_map(found, old, old_name or name))
     return found
 
 
+def sheet_map(c: Comparison, old: DataFrame, sheet: str) -> DataFrame:
+    """``sheet, old_row, new_row`` of all rows of an old sheet of long cells."""
+    last = old.agg(F.max("r")).first()[0] or 0
+    return row_map(c, max(int(last), c.old_table.end) + 2).select(F.lit(sheet).alias("sheet"), F.col("old_row").cast("int").alias("old_row"), F.col("new_row").cast("int").alias("new_row"))
+
+
+def _followed(c: Comparison, moves: DataFrame) -> Comparison:
+    """``c`` with formulas followed along ``moves``."""
+    again = c.again(moves)
+    again.old_table, again.new_table = c.old_table, c.new_table
+    again.kept = [*c.kept, *again.kept]
+    return again
+
+
 def pair_workbooks(old: dict[str, DataFrame], new: dict[str, DataFrame], o: CompareOptions = CompareOptions()) -> list[Match]:
     """Sheets paired by the options, by name, and by the likeness of headers and first rows."""
     fixed = [Match(x, y, "matched" if x == y else "renamed") for x, y in o.sheet_pairs if x in old and y in new]
@@ -307,8 +364,23 @@ def pair_workbooks(old: dict[str, DataFrame], new: dict[str, DataFrame], o: Comp
 
 
 def compare_workbooks(old: dict[str, DataFrame], new: dict[str, DataFrame], o: CompareOptions = CompareOptions(), options: CheckOptions = CheckOptions(), formulas: DataFrame | None = None) -> tuple[list[Match], list[Comparison]]:
-    """All pairs of sheets compared; sheets added, removed and renamed are reported with the first pair."""
+    """All pairs of sheets compared; sheets added, removed and renamed are reported with the first pair.
+
+    Rows of all sheets are paired before a formula is judged, so a reference to another sheet follows that one's rows.
+    """
     pairs = pair_workbooks(old, new, o)
     matched = [m for m in pairs if m.old is not None and m.new is not None]
     changed = [m for m in pairs if m.status != "matched"]
-    return pairs, [compare_sheets(old[m.old], new[m.new], o, options, m.new, m.old, changed if k == 0 else (), formulas) for k, m in enumerate(matched)]
+    if formulas is None:
+        for n, cells in new.items():
+            part = formula_cells(cells, n)
+            formulas = part if formulas is None else formulas.unionByName(part)
+    found = [compare_sheets(old[m.old], new[m.new], o, options, m.new, m.old, changed if k == 0 else (), formulas, follow=False) for k, m in enumerate(matched)]
+    with_formulas = [not old[m.old].where("cell.formula IS NOT NULL").isEmpty() for m in matched]
+    if any(with_formulas):
+        moves = None
+        for m, c in zip(matched, found, strict=True):
+            part = sheet_map(c, old[m.old], m.old)
+            moves = part if moves is None else moves.unionByName(part)
+        found = [_followed(c, moves) if x else c for c, x in zip(found, with_formulas, strict=True)]
+    return pairs, found
