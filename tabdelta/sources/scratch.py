@@ -21,7 +21,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            if not re.match(r"local(\[[^\[\]]*\])?$", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="tabdelta-")
         self.spark = spark
