@@ -21,7 +21,7 @@ from ..sources.snapshots import number_as_read
 from . import checks as K
 from .columns import Match, match_columns, pair_sheets, sheet_scores, signature
 from .diff import REMOVED, Diff, change_counts, diff_pairs
-from .formulas import equivalent, short_totals
+from .formulas import followed, short_totals
 from .keys import Key, detect_key
 from .rows import pair_by_key, pair_in_order
 from .tables import data_range, header_row, table_columns, totals_rows
@@ -230,18 +230,21 @@ def compare_tables(
 def follow_formulas(pairs: DataFrame, names: list[str], row_map: DataFrame, sheet: str) -> DataFrame:
     """``pairs`` in which an old formula that is the new one once its rows are moved has the new one's text.
 
-    Such a formula isn't changed; what it gives may be, which then counts as recalculated.
+    Such a formula isn't changed; what it gives may be, which then counts as recalculated.  One that
+    kept its text although the rows it names have moved is changed: its moved form, with a leading ``=``, stands for it.
     """
     width = len(names)
     both = F.array(*[F.struct(F.lit(k).alias("k"), F.col("old")[n]["formula"].alias("old"), F.col("new")[n]["formula"].alias("new")) for k, n in enumerate(names)])
-    unlike = pairs.select(F.col(f"old.{_ROW}").alias("_at"), F.inline(both)).where("_at IS NOT NULL AND old IS NOT NULL AND new IS NOT NULL AND old <> new")
-    asked = unlike.select((F.col("_at") * width + F.col("k")).alias("id"), F.lit(sheet).alias("sheet"), "old", "new")
-    same = equivalent(asked, row_map).where("same").groupBy(F.expr(f"id div {width}").alias("_at")).agg(F.collect_set((F.col("id") % width).cast("int")).alias("_same"))
-    met = pairs.withColumn("_row", F.col(f"old.{_ROW}")).join(same, F.col("_row") == F.col("_at"), "left")
+    asked = pairs.select(F.col(f"old.{_ROW}").alias("_at"), F.inline(both)).where("_at IS NOT NULL AND old IS NOT NULL AND new IS NOT NULL")
+    asked = asked.select((F.col("_at") * width + F.col("k")).alias("id"), F.lit(sheet).alias("sheet"), "old", "new")
+    other = followed(asked, row_map).where("CASE WHEN same THEN old <> new ELSE upper(old) = upper(new) END")
+    text = F.when(F.col("same"), F.col("new")).otherwise(F.concat(F.lit("="), "moved"))
+    entry = F.struct((F.col("id") % width).cast("int").alias("k"), text.alias("text"))
+    texts = other.groupBy(F.expr(f"id div {width}").alias("_at")).agg(F.map_from_entries(F.collect_list(entry)).alias("_texts"))
+    met = pairs.withColumn("_row", F.col(f"old.{_ROW}")).join(texts, F.col("_row") == F.col("_at"), "left")
     old = F.col("old")
     for k, n in enumerate(names):
-        moved = F.array_contains("_same", k)
-        cell_now = F.col("old")[n].withField("formula", F.when(moved, F.col("new")[n]["formula"]).otherwise(F.col("old")[n]["formula"]))
+        cell_now = F.col("old")[n].withField("formula", F.coalesce(F.try_element_at("_texts", F.lit(k)), F.col("old")[n]["formula"]))
         old = old.withField(f"`{n}`", cell_now)
     return met.select(old.alias("old"), "new")
 

@@ -195,6 +195,10 @@ _CELL = r"\$?[A-Z]{1,3}\$?[1-9][0-9]*"
 REFERENCE = rf'"(?:[^"]|"")*"|(?<![A-Za-z0-9_.$!])(?:(?:\'(?:[^\']|\'\')+\'|[A-Za-z_][A-Za-z0-9_.]*)!)?{_CELL}(?::{_CELL})?(?![A-Za-z0-9_.(])'
 
 
+#: Rows of a sheet in a block of a row map.
+_BLOCK = 4096
+
+
 def references(formulas: DataFrame) -> DataFrame:
     """``id, k, text, sheet, c1, r1, c2, r2`` and the ``$`` marks of the references of ``formulas(id, sheet, formula)``.
 
@@ -219,11 +223,20 @@ def references(formulas: DataFrame) -> DataFrame:
 
 
 def survivors(row_map: DataFrame) -> DataFrame:
-    """``sheet, old_row, new_row, following, preceding``: new places of the nearest rows left at or after, and at or before, each row."""
+    """``sheet, old_row, new_row, following, preceding``: new places of the nearest rows left at or after, and at or before, each row.
+
+    Rows are gone through in blocks; what a block has left first and last is carried to the blocks
+    beside it, so that no task gets a whole sheet.
+    """
+    at = row_map.withColumn("_block", F.expr(f"old_row div {_BLOCK}"))
     # both are running values, one of them backwards: a frame to the end would be gone through anew for each row
-    back, on = (Window.partitionBy("sheet").orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.desc("old_row"), "old_row"))
-    after, before = (F.last("new_row", ignorenulls=True).over(w) for w in (back, on))
-    return row_map.select("sheet", "old_row", "new_row", after.alias("following"), before.alias("preceding"))
+    back, on = (Window.partitionBy("sheet", "_block").orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.desc("old_row"), "old_row"))
+    own = at.select("*", *[F.last("new_row", ignorenulls=True).over(w).alias(n) for w, n in ((back, "_after"), (on, "_before"))])
+    left = F.when(F.col("new_row").isNotNull(), F.col("old_row"))
+    blocks = at.groupBy("sheet", "_block").agg(F.min_by("new_row", left).alias("_first"), F.max_by("new_row", left).alias("_last"))
+    down, up = (Window.partitionBy("sheet").orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in (F.desc("_block"), "_block"))
+    beside = blocks.select("sheet", "_block", F.last("_first", ignorenulls=True).over(down).alias("_next"), F.last("_last", ignorenulls=True).over(up).alias("_previous"))
+    return own.join(beside, ["sheet", "_block"]).select("sheet", "old_row", "new_row", F.coalesce("_after", "_next").alias("following"), F.coalesce("_before", "_previous").alias("preceding"))
 
 
 def translate(formulas: DataFrame, row_map: DataFrame) -> DataFrame:
@@ -264,10 +277,15 @@ def canonical(formula: Column) -> Column:
     return F.array_join(F.zip_with(gaps, texts, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
 
+def followed(pairs: DataFrame, row_map: DataFrame) -> DataFrame:
+    """``pairs(id, sheet, old, new)`` with ``moved``, the old formula moved along, and ``same``: whether that is the new one."""
+    moved = translate(pairs.select("id", "sheet", F.col("old").alias("formula")), row_map).withColumnRenamed("formula", "moved")
+    return pairs.join(moved, "id").withColumn("same", canonical(F.col("moved")) == canonical(F.col("new")))
+
+
 def equivalent(pairs: DataFrame, row_map: DataFrame) -> DataFrame:
     """``id, same`` of ``pairs(id, sheet, old, new)``: whether the old formula, moved along, is the new one."""
-    moved = translate(pairs.select("id", "sheet", F.col("old").alias("formula")), row_map)
-    return pairs.join(moved, "id").select("id", (canonical(F.col("formula")) == canonical(F.col("new"))).alias("same"))
+    return followed(pairs, row_map).select("id", "same")
 
 
 #: Functions whose ranges are totals.

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import rc_to_a1
-from .formulas import TOTALS, references
+from ..functions.values import DATE, NUMBER
+from .formulas import TOTALS, references, translate
+
+#: A formula that is one total of one range.
+SINGLE = r"(?i)^\s*(SUM|COUNT|AVERAGE|MIN|MAX)\s*\([^(),\"]+\)\s*$"
+#: Rows, and then nodes, in a node of the next level; four levels above the cells span a million rows.
+_FAN, _LEVELS = 16, 5
 
 
 def totals_before_after(base: DataFrame, merged: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,6 +37,69 @@ def extended_ranges(formulas: DataFrame, tables: DataFrame) -> DataFrame:
     return early.select("id", rc_to_a1(F.col("r2"), F.col("c2")).alias("range_end"), rc_to_a1(F.col("data_end"), F.col("c2")).alias("new_end")).distinct()
 
 
+def _nodes(cells: DataFrame) -> DataFrame:
+    """``sheet, c, level, node`` with ``s, n, lo, hi`` of the numbers in 16 ** level rows each, level 0 being rows."""
+    numbers = cells.where(F.col("cell.kind").isin(NUMBER, DATE)).select("sheet", "c", "r", F.col("cell.num").alias("x"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("r", 4 * k).alias("node")) for k in range(_LEVELS)])
+    spread = numbers.select("sheet", "c", "x", F.inline(levels))
+    return spread.groupBy("sheet", "c", "level", "node").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+def _cover() -> Column:
+    """Nodes that cover the rows ``r1`` to ``r2`` exactly: at each level those before and after what the next level takes."""
+    whole = [(F.ceil(F.col("r1") / F.lit(_FAN**k)), F.floor((F.col("r2") + 1) / F.lit(_FAN**k))) for k in range(_LEVELS)]
+    none = F.array().cast("array<bigint>")
+
+    def at(level: int) -> Callable[[Column], Column]:
+        return lambda n: F.struct(F.lit(level).alias("level"), n.alias("node"))
+
+    def between(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.sequence(a, F.greatest(a, b - 1))).otherwise(none)
+
+    parts = []
+    for k, (a, b) in enumerate(whole):
+        nodes = between(a, b)
+        if k + 1 < _LEVELS:
+            x, y = whole[k + 1]
+            nodes = F.when(x < y, F.concat(between(a, x * _FAN), between(y * _FAN, b))).otherwise(nodes)
+        parts.append(F.transform(nodes, at(k)))
+    return F.concat(*parts)
+
+
+def range_totals(formulas: DataFrame, cells: DataFrame) -> DataFrame:
+    """``id, value`` of ``formulas(id, sheet, formula)`` that are one SUM, COUNT, AVERAGE, MIN or MAX of one range.
+
+    ``cells`` holds ``sheet, r, c, cell``.  Numbers are summed up in nodes of 16, 256 and more rows, and a range asks for
+    the at most 30 nodes a level that cover it, so ranges that overlap or are long don't go through their cells
+    again.  A range without numbers gives 0, and null, for an error, as an average; so does a lost reference.
+    """
+    totals = formulas.where(F.col("formula").rlike(SINGLE))
+    refs = references(totals).where("r1 IS NOT NULL")
+    spans = refs.select("id", "sheet", F.least("r1", F.coalesce("r2", "r1")).cast("long").alias("r1"), F.greatest("r1", F.coalesce("r2", "r1")).cast("long").alias("r2"), F.explode(F.sequence(F.least("c1", F.coalesce("c2", "c1")), F.greatest("c1", F.coalesce("c2", "c1")))).alias("c"))
+    asked = spans.select("id", "sheet", "c", F.inline(_cover()))
+    found = asked.join(_nodes(cells), ["sheet", "c", "level", "node"]).groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    name = F.upper(F.regexp_extract("formula", SINGLE, 1))
+    value = F.when(name == "COUNT", F.coalesce(F.col("n"), F.lit(0)).cast("double")).when(name == "AVERAGE", F.col("s") / F.col("n"))
+    value = value.otherwise(F.coalesce(F.when(name == "SUM", F.col("s")).when(name == "MIN", F.col("lo")).when(name == "MAX", F.col("hi")), F.lit(0.0)))
+    named = refs.select("id").distinct().withColumn("_named", F.lit(True))
+    return totals.join(named, "id", "left").join(found, "id", "left").select("id", F.when(F.col("_named"), value).alias("value"))
+
+
+def ranges_before_after(formulas: DataFrame, base: DataFrame, merged: DataFrame, row_map: DataFrame) -> DataFrame:
+    """``id, before, after_formula, before_value, after_value, changed`` of totals of single ranges.
+
+    ``formulas(id, sheet, formula)`` are of the base and follow ``row_map(sheet, old_row, new_row)`` into the merged
+    cells; ``base`` and ``merged`` hold ``sheet, r, c, cell``.
+    """
+    totals = formulas.where(F.col("formula").rlike(SINGLE))
+    moved = translate(totals, row_map)
+    after = totals.select("id", "sheet").join(moved, "id")
+    # a lost reference leaves no range, which is an error and not an empty total
+    then = range_totals(after, merged).withColumnRenamed("value", "after_value")
+    out = totals.join(range_totals(totals, base).withColumnRenamed("value", "before_value"), "id").join(moved.withColumnRenamed("formula", "after_formula"), "id").join(then, "id", "left")
+    return out.select("id", F.col("formula").alias("before"), "after_formula", "before_value", "after_value", (~F.col("before_value").eqNullSafe(F.col("after_value"))).alias("changed"))
+
+
 def self_check(base: DataFrame, merged: DataFrame, key: str, changes: dict[str, DataFrame]) -> DataFrame:
     """``expected_rows, rows, missing_inserts, rows_not_deleted, edits_not_made``: all but the first two should be 0."""
     text = merged.select(F.col(key).cast("string").alias("key"), F.create_map(*[x for c in merged.columns for x in (F.lit(c), F.col(c).cast("string"))]).alias("row"))

@@ -11,14 +11,14 @@ from ..functions.values import scalar_text, typed_cell
 from ..operators import columns as C
 from ..operators import keys as K
 from ..operators import tables as T
-from ..operators.compare import compare_sheets, compare_tables, row_map
+from ..operators.compare import compare_sheets, compare_tables, compare_workbooks, row_map
 from ..operators.diff import positional_baseline, render, snapshot_diff
 from ..operators.report import all_changes, marked_cells, removed_rows
 from ..operators.rows import pair_as_multiset, pair_by_key, pair_in_order
 from ..operators.checks import cell_findings
 from ..options import CompareOptions
 from ..sources.snapshots import as_cells, cells_long, number_rows
-from .fixtures import GRID_SQL, ORDERS_NEW_SQL, grid, orders_pair, registers, table, text_of
+from .fixtures import GRID_SQL, ORDERS_NEW_SQL, PLACED_SQL, grid, orders_pair, registers, table, text_of, workbooks
 
 KEY = ["o_orderkey"]
 
@@ -211,6 +211,15 @@ def q_compare_register(spark, sf):
     return _register(spark, sf).findings.select("rule", "severity", "key", "column")
 
 
+def q_compare_formulas(spark, sf):
+    """Cells changed between two workbooks: formulas of both sheets follow the rows of the register."""
+    out = None
+    for c in compare_workbooks(*workbooks(spark, sf))[1]:
+        part = c.diff.cell_changes.select(F.lit(c.name).alias("sheet"), "key", "column", "kind")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def q_compare_register_counts(spark, sf):
     return _register(spark, sf).counts()
 
@@ -272,6 +281,10 @@ _COMPOSITE = f"""WITH s AS (SELECT c, row_number() OVER (ORDER BY uniq DESC, pla
 o AS (SELECT cs, any_value(d) AS d, any_value(n) AS n, string_agg(c, ',' ORDER BY k) AS cols, list(k ORDER BY k) AS ks FROM (SELECT cs, d, n, unnest(cs) AS c FROM x) JOIN s USING (c) GROUP BY cs)
 SELECT cols AS columns, 'composite' AS mode, 'medium' AS confidence, n - d AS duplicates FROM o WHERE d / n >= 0.99 ORDER BY len(ks), ks LIMIT 1"""
 ORACLE_SQL = {
+    "q_compare_formulas": f"""WITH t AS {PLACED_SQL}
+SELECT 'Register' AS sheet, CAST(k AS VARCHAR) AS key, 'Price' AS "column", 'value_changed' AS kind FROM t WHERE j % 50 = 11
+UNION ALL SELECT 'Register', CAST(k AS VARCHAR), 'Twice', CASE j % 50 WHEN 11 THEN 'recalculated' WHEN 17 THEN 'formula_overwritten' ELSE 'formula_changed' END FROM t WHERE j % 50 IN (11, 17, 23)
+UNION ALL SELECT 'Summary', 'price of ' || k, 'Amount', CASE j % 50 WHEN 11 THEN 'recalculated' ELSE 'formula_changed' END FROM t WHERE j % 50 IN (11, 31)""",
     "q_scan_snapshot": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
     "q_scan_cells_long": f"""SELECT p_partkey AS r, 0 AS c, 'p_name' AS "column", 2 AS kind, p_name AS text FROM part WHERE p_name <> ''
 UNION ALL SELECT p_partkey, 1, 'p_size', 1, CAST(p_size AS VARCHAR) FROM part WHERE p_size IS NOT NULL UNION ALL SELECT p_partkey, 2, 'p_retailprice', 1, {_TEXT('p_retailprice')} FROM part WHERE p_retailprice IS NOT NULL""",

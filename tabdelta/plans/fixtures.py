@@ -64,6 +64,33 @@ UNION ALL SELECT * FROM (SELECT CASE WHEN o_orderkey >= 1000000 THEN 6 + hi - lo
 UNION ALL SELECT 8 + max(o_orderkey) - min(o_orderkey) + (max(o_orderkey) - min(o_orderkey)) DIV 50, 0, 2, NULL, 'Grand total' FROM {orders}
 """
 
+#: The same orders with a formula in each row, and a summary that names rows of the register; j counts orders from 0.
+#: In the new register every order of j % 50 = 7 is gone and the rows below move up; 11: other price, 17: typed over, 23: other formula.
+BY_PLACE = "SELECT o_orderkey AS k, o_orderkey - lo AS j, o_totalprice AS p FROM {orders} CROSS JOIN (SELECT min(o_orderkey) AS lo FROM {orders}) AS m"
+FORMULAS_OLD = """
+SELECT CAST(2 AS BIGINT) AS r, c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, text, CAST(NULL AS STRING) AS formula FROM (VALUES (0, 'Order No'), (1, 'Price'), (2, 'Twice')) AS h(c, text)
+UNION ALL SELECT 3 + j, c, 1, CASE c WHEN 0 THEN CAST(k AS DOUBLE) WHEN 1 THEN p ELSE 2 * p END, NULL, CASE c WHEN 2 THEN concat('B', 4 + j, '*2') END
+  FROM {placed} CROSS JOIN (VALUES (0), (1), (2)) AS x(c)
+"""
+FORMULAS_NEW = """
+SELECT CAST(0 AS BIGINT) AS r, 0 AS c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, 'second version' AS text, CAST(NULL AS STRING) AS formula
+UNION ALL SELECT 4, c, 2, NULL, text, NULL FROM (VALUES (0, 'Order No'), (1, 'Price'), (2, 'Twice')) AS h(c, text)
+UNION ALL SELECT 5 + n, c, 1, CASE c WHEN 0 THEN CAST(k AS DOUBLE) WHEN 1 THEN p ELSE CASE WHEN j % 50 = 17 THEN 1.0 WHEN j % 50 = 23 THEN 3 * p ELSE 2 * p END END, NULL,
+  CASE WHEN c = 2 AND j % 50 = 23 THEN concat('B', 6 + n, '*3') WHEN c = 2 AND j % 50 <> 17 THEN concat('b', 6 + n, ' * 2') END
+  FROM (SELECT k, j, j - (j + 42) DIV 50 AS n, CASE WHEN j % 50 = 11 THEN p + 1000 ELSE p END AS p FROM {placed} WHERE j % 50 <> 7) AS d CROSS JOIN (VALUES (0), (1), (2)) AS x(c)
+"""
+SUMMARY_OLD = """
+SELECT CAST(0 AS BIGINT) AS r, c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, text, CAST(NULL AS STRING) AS formula FROM (VALUES (0, 'What'), (1, 'Amount')) AS h(c, text)
+UNION ALL SELECT 1 + j DIV 5, c, CASE c WHEN 0 THEN 2 ELSE 1 END, CASE c WHEN 1 THEN p END, CASE c WHEN 0 THEN concat('price of ', k) END, CASE c WHEN 1 THEN concat('Register!$B$', 4 + j) END
+  FROM {placed} CROSS JOIN (VALUES (0), (1)) AS x(c) WHERE j % 5 = 1
+"""
+SUMMARY_NEW = """
+SELECT CAST(0 AS BIGINT) AS r, c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, text, CAST(NULL AS STRING) AS formula FROM (VALUES (0, 'What'), (1, 'Amount')) AS h(c, text)
+UNION ALL SELECT 1 + j DIV 5, c, CASE c WHEN 0 THEN 2 ELSE 1 END, CASE c WHEN 1 THEN CASE WHEN j % 50 = 11 THEN p + 1000 ELSE p END END, CASE c WHEN 0 THEN concat('price of ', k) END,
+  CASE c WHEN 1 THEN concat('Register!$B$', 6 + j - (j + 42) DIV 50 + CASE WHEN j % 50 = 31 THEN 1 ELSE 0 END) END
+  FROM {placed} CROSS JOIN (VALUES (0), (1)) AS x(c) WHERE j % 5 = 1
+"""
+
 
 def orders_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
@@ -85,6 +112,16 @@ def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(x.selectExpr("CAST(r AS BIGINT) AS r", "c", _CELL) for x in (old, new))
 
 
+def workbooks(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Two workbooks of a register with formulas and a summary of it, as long cells."""
+    placed = spark.sql(BY_PLACE, orders=table(spark, sf_dir, "orders"))
+
+    def sheet(text: str) -> DataFrame:
+        return spark.sql(text, placed=placed).selectExpr("CAST(r AS BIGINT) AS r", "c", "struct(CAST(kind AS TINYINT) AS kind, num, text, formula) AS cell")
+
+    return {"Register": sheet(FORMULAS_OLD), "Summary": sheet(SUMMARY_OLD)}, {"Register": sheet(FORMULAS_NEW), "Summary": sheet(SUMMARY_NEW)}
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(GRID, part=table(spark, sf_dir, "part"))
     return rows.selectExpr("CAST(r AS BIGINT) AS r", "c", "struct(CAST(kind AS TINYINT) AS kind, num, text, CAST(NULL AS STRING) AS formula) AS cell")
@@ -97,6 +134,7 @@ def sql(text: str, **names: str) -> str:
 
 ORDERS_NEW_SQL = f"({sql(ORDERS_NEW, orders='orders')})"
 BASE_SQL = f"({sql(BASE, orders='orders')})"
+PLACED_SQL = f"({sql(BY_PLACE, orders='orders')})"
 A_SQL = f"({sql(COPY_A, base=BASE_SQL + ' AS base')})"
 B_SQL = f"({sql(COPY_B, base=BASE_SQL + ' AS base')})"
 GRID_SQL = f"({sql(GRID, part='part')})"

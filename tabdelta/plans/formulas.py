@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.values import BOOLEAN, EMPTY, NUMBER, STRING, cell
 from ..operators import formulas as X
-from ..operators.impact import extended_ranges
+from ..operators.impact import extended_ranges, ranges_before_after
 from ..sources.snapshots import as_cells
-from .fixtures import table
+from .fixtures import BY_PLACE, PLACED_SQL, table
 
 
 def _sheet(spark, sf):
@@ -123,6 +123,21 @@ def q_extend_ranges(spark, sf):
     return extended_ranges(*_totals(spark, sf, True))
 
 
+def q_impact_ranges(spark, sf):
+    """A total for every third order over up to 1,000 rows, before and after a merge that drops an order in 50 and changes another."""
+    # hundredths are whole numbers, so sums are the same in any order
+    placed = spark.sql(BY_PLACE, orders=table(spark, sf, "orders")).withColumn("p", F.round(F.col("p") * 100))
+    n, gone = F.expr("j - (j + 42) DIV 50"), F.expr("j % 50 = 7")
+    base = placed.select(F.lit("Register").alias("sheet"), F.col("j").alias("r"), F.lit(2).alias("c"), cell(F.lit(NUMBER), F.col("p")).alias("cell"))
+    merged = placed.where(~gone).select(F.lit("Register").alias("sheet"), n.alias("r"), F.lit(2).alias("c"), cell(F.lit(NUMBER), F.expr("CASE WHEN j % 50 = 11 THEN p * 2 ELSE p END")).alias("cell"))
+    moves = placed.select(F.lit("Register").alias("sheet"), F.col("j").cast("int").alias("old_row"), F.when(~gone, n).cast("int").alias("new_row"))
+    name = F.element_at(F.array(*map(F.lit, ("SUM", "COUNT", "AVERAGE", "MIN", "MAX"))), F.expr("CAST(j DIV 3 % 5 + 1 AS INT)"))
+    spans = placed.join(F.broadcast(placed.agg(F.max("j").alias("top"))), F.lit(True)).where("j % 3 = 1")
+    text = F.concat(name, F.lit("(Register!C"), F.col("j") + 1, F.lit(":C"), F.least(F.expr("j + j * 7 % 1000"), F.col("top")) + 1, F.lit(")"))
+    totals = spans.select(F.col("k").cast("long").alias("id"), F.lit("Summary").alias("sheet"), text.alias("formula"))
+    return ranges_before_after(totals, base, merged, moves).drop("changed")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _M = "SELECT o_orderkey, o_orderkey % 10 AS k, CASE WHEN o_orderkey % 10 = 2 THEN 1.0::DOUBLE WHEN o_orderkey % 10 > 2 THEN o_totalprice END AS x FROM orders"
@@ -130,7 +145,19 @@ _ROWS = "SELECT p_partkey AS id, CAST(p_partkey + 2 AS INT) AS n FROM part"
 _NEW = "CASE WHEN ({0}) % 10 <> 9 THEN ({0}) - ({0}) // 10 + CASE WHEN ({0}) >= 500 THEN 2 ELSE 0 END END"
 _END = _NEW.format("CASE WHEN (n - 1) % 10 = 9 THEN n - 2 ELSE n - 1 END")
 _AT = f"({_NEW.format('n - 1')} + 1)"
+_NAME = "CASE a.j // 3 % 5 WHEN 0 THEN 'SUM' WHEN 1 THEN 'COUNT' WHEN 2 THEN 'AVERAGE' WHEN 3 THEN 'MIN' ELSE 'MAX' END"
+
+
+def _total(x: str) -> str:
+    return f"CASE any_value(a.j // 3 % 5) WHEN 0 THEN sum({x}) WHEN 1 THEN count({x}) WHEN 2 THEN sum({x}) / count({x}) WHEN 3 THEN min({x}) ELSE max({x}) END"
+
+
 ORACLE_SQL = {
+    "q_impact_ranges": f"""WITH t AS (SELECT j, k, round(p * 100) AS p FROM {PLACED_SQL}), m AS (SELECT j, k, p, CASE WHEN j % 50 <> 7 THEN CASE WHEN j % 50 = 11 THEN p * 2 ELSE p END END AS q, CASE WHEN j % 50 <> 7 THEN j - (j + 42) // 50 END AS n, max(j) OVER () AS top FROM t)
+SELECT a.k AS id, any_value({_NAME} || '(Register!C' || (a.j + 1) || ':C' || (least(a.j + a.j * 7 % 1000, a.top) + 1) || ')') AS before,
+CASE WHEN min(b.n) IS NULL THEN any_value({_NAME}) || '(#REF!)' ELSE any_value({_NAME} || '(Register!C') || (min(b.n) + 1) || ':C' || (max(b.n) + 1) || ')' END AS after_formula,
+{_total('b.p')} AS before_value, CASE WHEN min(b.n) IS NOT NULL THEN {_total('b.q')} END AS after_value
+FROM m AS a JOIN m AS b ON b.j BETWEEN a.j AND least(a.j + a.j * 7 % 1000, a.top) WHERE a.j % 3 = 1 GROUP BY a.k""",
     "q_sum": f"SELECT round(sum(x), 2) AS sum, round(avg(x), 2) AS average FROM ({_M})",
     "q_minmax": f"SELECT min(x) AS min, max(x) AS max FROM ({_M})",
     "q_count_blank": f"SELECT count(x) AS count, count(*) FILTER (k <> 0) AS counta, count(*) FILTER (k = 0) AS countblank FROM ({_M})",

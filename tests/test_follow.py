@@ -1,6 +1,7 @@
 """Formulas followed along the rows of a comparison."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabdelta.operators.compare import compare_sheets, compare_workbooks
 
@@ -54,3 +55,14 @@ def test_edits_beside_moved_formulas_in_two_sheets(spark, names):
         ("Summary", "third", "Amount"): "recalculated", ("Summary", "all", "Amount"): "formula_changed",
     }
     assert ("CHK-01", "n2") in rules and ("RECALCULATED", None) in rules
+
+
+def test_a_formula_that_keeps_its_text_while_its_row_moves_is_changed(spark, names):
+    old = register(spark, names)
+    new = register(spark, ["n99", *names])
+    # n3 was in row 5 and named B5; now it is in row 6 and names B5 still
+    stale = F.when((F.col("r") == 5) & (F.col("c") == 2), F.col("cell").withField("formula", F.lit("b5*2"))).otherwise(F.col("cell"))
+    found = compare_sheets(old, new.withColumn("cell", stale))
+    changes = [(r["key"], r["kind"]) for r in found.diff.cell_changes.collect()]
+    found.close()
+    assert changes == [("n3", "formula_changed")]
