@@ -23,7 +23,8 @@ from .columns import Match, match_columns, pair_sheets, sheet_scores, signature
 from .diff import REMOVED, Diff, change_counts, diff_pairs
 from .formulas import followed, short_totals
 from .keys import Key, detect_key
-from .rows import pair_by_key, pair_in_order
+from .order import pair_in_order
+from .rows import pair_by_key
 from .tables import data_range, header_row, table_columns, totals_rows
 
 _ROW = "_r"

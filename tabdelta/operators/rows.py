@@ -1,12 +1,9 @@
-"""Pairing the rows of two snapshots: by key, as a multiset, or in order."""
+"""Pairing the rows of two snapshots by key or as a multiset; ``order`` pairs them in order."""
 
 from __future__ import annotations
 
-from collections import deque
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +12,6 @@ from ..options import CompareOptions
 from ..sources.scratch import Scratch
 from ..sources.snapshots import in_ranges
 
-#: Above this product of row counts, rows are paired as a multiset.
-WORK = 50_000_000
-#: Above this share of rows outside the longest common sequence, too.
-CHURN = 0.4
-#: Rows of a gap compared at a time.
-HUNK = 2_000
 #: Rows of a group numbered in one task at most.
 HOT = 200_000
 
@@ -92,137 +83,3 @@ def pair_as_multiset(old: DataFrame, new: DataFrame, old_columns: list[str], new
 
     keys = ["_h1", "_h2", "_k"]
     return hashed(old, old_columns, "old").join(hashed(new, new_columns, "new"), keys, "full_outer").select("old", "new")
-
-
-# in order -----------------------------------------------------------------------
-
-
-def common_sequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A longest common subsequence as index pairs, in linear space by bisection of the edit path."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        if a1 - a0 == 1 or b1 - b0 == 1:
-            i, j = np.nonzero(a[a0:a1, None] == b[None, b0:b1])
-            if len(i):
-                out.append((a0 + int(i[0]), b0 + int(j[0])))
-            continue
-        mid = (a0 + a1) // 2
-        front = _lengths(a[a0:mid], b[b0:b1])
-        back = _lengths(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
-        cut = b0 + int((front + back).argmax())
-        todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
-    return sorted(out)
-
-
-def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        step = np.maximum(row[1:], row[:-1] + (b == x))
-        row[1:] = np.maximum.accumulate(step)
-    return row
-
-
-def _similar(left: list[int], right: list[int], old_tokens: list, new_tokens: list) -> list[tuple[int, int]]:
-    """Pairs of a gap: each old row takes the unused new row that shares most tokens, half or more; the last of equals."""
-    pairs = []
-    for k in range(0, max(len(left), len(right), 1), HUNK):
-        olds, news = left[k : k + HUNK], right[k : k + HUNK]
-        if not olds or not news:
-            continue
-        codes, _ = pd.factorize(np.array([x for i in olds for x in old_tokens[i]] + [x for j in news for x in new_tokens[j]], object))
-        width = len(old_tokens[olds[0]])
-        a, b = codes[: len(olds) * width].reshape(-1, width), codes[len(olds) * width :].reshape(-1, width)
-        free = np.ones(len(news), bool)
-        for i in range(len(olds)):
-            share = np.where(free, (b == a[i]).mean(axis=1) if width else 1.0, -1.0)
-            best = len(news) - 1 - int(share[::-1].argmax())
-            if share[best] >= 0.5:
-                free[best] = False
-                pairs.append((olds[i], news[best]))
-    return pairs
-
-
-def align(old: pd.DataFrame, new: pd.DataFrame, churn: float = 1.0) -> pd.DataFrame:
-    """``old_r, new_r, state, multiset`` of two row lists (``r, hash, tokens`` in order).
-
-    States are same, similar, moved, removed or added.  If more than ``churn`` of all rows lie
-    outside the longest common sequence, order says little, and equal rows pair wherever they stand.
-    """
-    a, b = old["hash"].to_numpy(), new["hash"].to_numpy()
-    anchors = common_sequence(a, b)
-    multiset = len(a) + len(b) - 2 * len(anchors) > churn * (len(a) + len(b))
-    out: list[tuple[int | None, int | None, str]] = []
-    removed, added = list(range(len(a))), list(range(len(b)))
-    if not multiset:
-        out = [(i, j, "same") for i, j in anchors]
-        bounds = [(-1, -1), *anchors, (len(a), len(b))]
-        removed, added = [], []
-        old_tokens, new_tokens = old["tokens"].tolist(), new["tokens"].tolist()
-        for (i0, j0), (i1, j1) in zip(bounds, bounds[1:], strict=False):
-            left, right = list(range(i0 + 1, i1)), list(range(j0 + 1, j1))
-            near = _similar(left, right, old_tokens, new_tokens) if left and right else []
-            out += [(i, j, "similar") for i, j in near]
-            olds, news = {i for i, _ in near}, {j for _, j in near}
-            removed += [i for i in left if i not in olds]
-            added += [j for j in right if j not in news]
-    waiting: dict[int, deque[int]] = {}
-    for j in added:
-        waiting.setdefault(b[j], deque()).append(j)
-    for i in removed:
-        if waiting.get(a[i]):
-            out.append((i, waiting[a[i]].popleft(), "same" if multiset else "moved"))
-        else:
-            out.append((i, None, "removed"))
-    out += [(None, j, "added") for js in waiting.values() for j in js]
-    olds, news = old["r"].to_numpy(), new["r"].to_numpy()
-    rows = [(None if i is None else int(olds[i]), None if j is None else int(news[j]), s, multiset) for i, j, s in out]
-    return pd.DataFrame(rows, columns=["old_r", "new_r", "state", "multiset"]).astype({"old_r": "Int64", "new_r": "Int64", "multiset": bool})
-
-
-def pair_in_order(old: DataFrame, new: DataFrame, columns: list[str], row: str = "r", o: CompareOptions = CompareOptions(), part: str | None = None, new_columns: list[str] | None = None) -> DataFrame:
-    """``part, old_r, new_r, state, multiset`` of rows without a key, aligned by position within each ``part``.
-
-    Only parts whose row counts multiply to ``WORK`` or less are aligned, so a task holds a bounded
-    sheet; larger ones are paired as multisets by joins, and so are those of which
-    too many rows have no equal.  ``multiset`` says which way a part went.
-    """
-
-    def rows(df: DataFrame, names: list[str]) -> DataFrame:
-        tokens = F.array(*[cell_token(cell_of(df, c), o) for c in names])
-        return df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(row).cast("long").alias("r"), F.xxhash64(tokens).alias("hash"), tokens.alias("tokens"))
-
-    a, b = rows(old, columns), rows(new, new_columns or columns)
-    n = a.groupBy("part").agg(F.count("*").alias("n")).join(b.groupBy("part").agg(F.count("*").alias("m")), "part", "full_outer")
-    overlap = a.groupBy("part", "hash").agg(F.count("*").alias("x")).join(b.groupBy("part", "hash").agg(F.count("*").alias("y")), ["part", "hash"]).groupBy("part").agg(F.sum(F.least("x", "y")).alias("both"))
-    # rows in no common sequence are at least those without an equal row
-    sizes = n.join(overlap, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("both", F.lit(0)).alias("both"))
-    large = (F.col("n") * F.col("m") > WORK) | (F.col("n") + F.col("m") - 2 * F.col("both") > CHURN * (F.col("n") + F.col("m")))
-    plan = sizes.select("part", large.alias("multiset"))
-
-    small_a, small_b = (x.join(plan.where(~F.col("multiset")), "part").drop("multiset") for x in (a, b))
-    schema = "part string, old_r long, new_r long, state string, multiset boolean"
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        made = align(left.sort_values("r").reset_index(drop=True), right.sort_values("r").reset_index(drop=True), CHURN)
-        made.insert(0, "part", key[0])
-        return made
-
-    aligned = small_a.groupBy("part").cogroup(small_b.groupBy("part")).applyInPandas(run, schema)
-
-    def numbered(x: DataFrame) -> DataFrame:
-        return number_within(x.join(plan.where("multiset"), "part").drop("multiset", "tokens"), ["part", "hash"], "r", "k")
-
-    joined = numbered(a).withColumnRenamed("r", "old_r").join(numbered(b).withColumnRenamed("r", "new_r"), ["part", "hash", "k"], "full_outer")
-    state = F.when(F.col("old_r").isNull(), "added").when(F.col("new_r").isNull(), "removed").otherwise("same")
-    return aligned.unionByName(joined.select("part", "old_r", "new_r", state.alias("state"), F.lit(True).alias("multiset")))

@@ -14,11 +14,12 @@ from ..operators import tables as T
 from ..operators.compare import compare_sheets, compare_tables, compare_workbooks, row_map
 from ..operators.diff import positional_baseline, render, snapshot_diff
 from ..operators.report import all_changes, marked_cells, removed_rows
-from ..operators.rows import pair_as_multiset, pair_by_key, pair_in_order
+from ..operators.order import pair_in_order
+from ..operators.rows import pair_as_multiset, pair_by_key
 from ..operators.checks import cell_findings
 from ..options import CompareOptions
 from ..sources.snapshots import as_cells, cells_long, number_rows
-from .fixtures import GRID_SQL, ORDERS_NEW_SQL, PLACED_SQL, grid, orders_pair, registers, table, text_of, workbooks
+from .fixtures import BY_PLACE, GRID_SQL, IN_ORDER_NEW, IN_ORDER_OLD, ORDERS_NEW_SQL, PLACED_SQL, grid, orders_pair, registers, table, text_of, workbooks
 
 KEY = ["o_orderkey"]
 
@@ -230,8 +231,15 @@ def q_compare_register_rows(spark, sf):
     return row_map(found, found.old_table.end + 3)
 
 
+def q_row_match_large(spark, sf):
+    """All orders as one sheet without a key, aligned between anchors where it is large: rows go, change, and move to the end."""
+    placed = spark.sql(BY_PLACE, orders=table(spark, sf, "orders"))
+    a, b = (spark.sql(text, placed=placed, orders=table(spark, sf, "orders")) for text in (IN_ORDER_OLD, IN_ORDER_NEW))
+    return pair_in_order(a, b, ["k", "p", "c", "d"]).drop("part")
+
+
 def q_compare_in_order(spark, sf):
-    """Tables without a key, of which rows were dropped: compared in order, or as a multiset where they are large."""
+    """Tables without a key, of which rows were dropped: compared in order, between anchors where they are large."""
     old, new = (x.select("l_quantity", "l_returnflag", "l_linestatus") for x in _lines(spark, sf))
     return compare_tables(old, new).diff.row_states.groupBy("state").agg(F.count("*").alias("n"))
 
@@ -310,6 +318,9 @@ SELECT r AS old_row, CASE WHEN r < 3 THEN r + 2 WHEN r <= old_end THEN CASE WHEN
     "q_row_match_dupkeys": _DUPPAIR,
     "q_row_match_multiset": _BAG,
     # what a common sequence keeps is all but the rows dropped and edited, so the share of the others is known beforehand
+    "q_row_match_large": f"""SELECT j AS old_r, CASE WHEN j % 50 = 7 THEN NULL WHEN j < 5 THEN last - 4 + j ELSE n - 5 END AS new_r,
+CASE WHEN j % 50 = 7 THEN 'removed' WHEN j < 5 THEN 'moved' WHEN j % 50 = 17 THEN 'similar' ELSE 'same' END AS state, false AS multiset
+FROM (SELECT j, j - (j + 42) // 50 AS n, max(j) OVER () - (max(j) OVER () + 42) // 50 AS last FROM {PLACED_SQL} AS placed) AS y""",
     "q_row_match_order": """WITH x AS (SELECT CAST(conv_id AS VARCHAR) AS part, CAST(turn AS BIGINT) AS r, conv_id % 7 = 3 AND turn = 1 AS gone, conv_id % 5 = 1 AND turn = 2 AS edited FROM conversations),
 f AS (SELECT part, count(*) FILTER (gone) + 2 * count(*) FILTER (edited AND NOT gone) > 0.4 * (2 * count(*) - count(*) FILTER (gone)) AS multiset FROM x GROUP BY part), y AS (SELECT * FROM x JOIN f USING (part))
 SELECT part, r AS old_r, CASE WHEN gone OR edited AND multiset THEN NULL ELSE r END AS new_r, CASE WHEN gone OR edited AND multiset THEN 'removed' WHEN edited THEN 'similar' ELSE 'same' END AS state, multiset FROM y

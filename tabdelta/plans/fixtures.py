@@ -67,6 +67,13 @@ UNION ALL SELECT 8 + max(o_orderkey) - min(o_orderkey) + (max(o_orderkey) - min(
 #: The same orders with a formula in each row, and a summary that names rows of the register; j counts orders from 0.
 #: In the new register every order of j % 50 = 7 is gone and the rows below move up; 11: other price, 17: typed over, 23: other formula.
 BY_PLACE = "SELECT o_orderkey AS k, o_orderkey - lo AS j, o_totalprice AS p FROM {orders} CROSS JOIN (SELECT min(o_orderkey) AS lo FROM {orders}) AS m"
+#: All orders in the order of their keys, without a key; in the new version those of j % 50 = 7 are gone, 17 have another price, and the first five stand last.
+IN_ORDER_OLD = "SELECT j AS r, k, p, o_custkey AS c, o_orderdate AS d FROM {placed} JOIN {orders} ON k = o_orderkey"
+IN_ORDER_NEW = """
+SELECT CASE WHEN j < 5 THEN last - 4 + j ELSE n - 5 END AS r, k, CASE WHEN j % 50 = 17 THEN p + 1000 ELSE p END AS p, o_custkey AS c, o_orderdate AS d
+  FROM (SELECT k, p, j, j - (j + 42) DIV 50 AS n FROM {placed} WHERE j % 50 <> 7) AS x JOIN {orders} ON k = o_orderkey
+  CROSS JOIN (SELECT max(j) - (max(j) + 42) DIV 50 AS last FROM {placed}) AS y
+"""
 FORMULAS_OLD = """
 SELECT CAST(2 AS BIGINT) AS r, c, 2 AS kind, CAST(NULL AS DOUBLE) AS num, text, CAST(NULL AS STRING) AS formula FROM (VALUES (0, 'Order No'), (1, 'Price'), (2, 'Twice')) AS h(c, text)
 UNION ALL SELECT 3 + j, c, 1, CASE c WHEN 0 THEN CAST(k AS DOUBLE) WHEN 1 THEN p ELSE 2 * p END, NULL, CASE c WHEN 2 THEN concat('B', 4 + j, '*2') END

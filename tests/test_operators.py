@@ -18,7 +18,8 @@ from tabdelta.operators.columns import Match, match_columns, pair_sheets
 from tabdelta.operators.diff import snapshot_diff
 from tabdelta.operators.keys import detect_key
 from tabdelta.operators.report import summary
-from tabdelta.operators.rows import align, common_sequence, pair_by_key, pair_in_order
+from tabdelta.operators.order import align, common_sequence, pair_in_order
+from tabdelta.operators.rows import pair_by_key
 from tabdelta.sources import csv as C
 from tabdelta.sources import workbook as W
 from tabdelta.sources.snapshots import as_cells, number_rows
