@@ -78,10 +78,10 @@ def diff_pairs(pairs: DataFrame, columns: list[tuple[str, str]], old_keys: list[
     return Diff(pairs, states, changes)
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str] | None = None, o: CompareOptions = CompareOptions(), numeric: frozenset[str] = frozenset()) -> Diff:
-    """Compare two typed tables with the same column names by their ``keys``."""
+def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str] | None = None, o: CompareOptions = CompareOptions(), numeric: frozenset[str] = frozenset(), each: bool = False) -> Diff:
+    """Compare two typed tables with the same column names by their ``keys``; with ``each``, rows of a key meet as in a join."""
     names = columns or [c for c in old.columns if c in set(new.columns)]
-    pairs = pair_by_key(old.select(*names), new.select(*names), keys, keys, o)
+    pairs = pair_by_key(old.select(*names), new.select(*names), keys, keys, o, each=each)
     return diff_pairs(pairs, [(c, c) for c in names], keys, keys, o, numeric)
 
 

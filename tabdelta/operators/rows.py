@@ -21,12 +21,13 @@ def row_place() -> Column:
     return F.monotonically_increasing_id()
 
 
-def pair_by_key(old: DataFrame, new: DataFrame, old_keys: list[str], new_keys: list[str], o: CompareOptions = CompareOptions(), order: Column | None = None) -> DataFrame:
+def pair_by_key(old: DataFrame, new: DataFrame, old_keys: list[str], new_keys: list[str], o: CompareOptions = CompareOptions(), order: Column | None = None, each: bool = False) -> DataFrame:
     """``old, new`` row structs: the k-th row of a key pairs with the k-th; a side is null if unmatched.
 
     Columns are typed or cells.  Rows with an empty key cell match nothing.  Both sides go
     through one shuffle by key, in which rows without a key are spread on their own; there
-    the rows of a key are numbered by ``order`` on each side, and equal numbers meet.
+    the rows of a key are numbered by ``order`` on each side, and equal numbers meet.  With ``each``, every
+    row of a key meets every one of the other side, as in a join.
     """
     place = order if order is not None else row_place()
     kinds = [df.schema for df in (old, new)]
@@ -35,9 +36,13 @@ def pair_by_key(old: DataFrame, new: DataFrame, old_keys: list[str], new_keys: l
         names = ["old", "new"]
         # a key that no row has twice stands for a missing one
         key = F.coalesce(matching_key([cell_of(df, c) for c in keys], o), F.concat(F.lit(f"\u0000{k}:"), row_place().cast("string")))
+        if each:
+            return df.select(key.alias("_key"), F.struct(*map(named, df.columns)).alias(names[k]))
         structs = [F.struct(*map(named, df.columns)).alias(names[k]) if i == k else F.lit(None).cast(kinds[i]).alias(names[i]) for i in (0, 1)]
         return df.select(key.alias("_key"), F.lit(k).alias("_side"), place.alias("_place"), *structs)
 
+    if each:
+        return side(old, old_keys, 0).join(side(new, new_keys, 1), "_key", "full_outer").select("old", "new")
     both = side(old, old_keys, 0).unionByName(side(new, new_keys, 1)).repartition("_key")
     number = F.row_number().over(Window.partitionBy("_key", "_side").orderBy("_place"))
     met = Window.partitionBy("_key", "_k").orderBy("_side")

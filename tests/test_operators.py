@@ -15,7 +15,7 @@ from tabdelta.errors import TabDeltaError
 from tabdelta.operators import formulas as X
 from tabdelta.operators import merge as M
 from tabdelta.operators.columns import Match, match_columns, pair_sheets
-from tabdelta.operators.diff import snapshot_diff
+from tabdelta.operators.diff import render, snapshot_diff
 from tabdelta.operators.keys import detect_key
 from tabdelta.operators.report import summary
 from tabdelta.operators.order import align, common_sequence, pair_in_order
@@ -285,3 +285,13 @@ def test_comparison_without_a_key_or_a_header(spark):
     found.close()
     bare = spark.createDataFrame([(5 + r, c, (1, float(r * c), None, None)) for r in range(4) for c in range(2)], "r long, c int, cell struct<kind:tinyint,num:double,text:string,formula:string>")
     assert C.detect_table(bare) == C.Table(4, 5, 8, {0: "Column A", 1: "Column B"})
+
+
+def test_rows_of_a_key_meet_each_with_each(spark):
+    old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, p double")
+    new = spark.createDataFrame([(1, 1.0), (1, 7.0), (3, 3.0), (None, 4.0)], old.schema)
+    diff = snapshot_diff(old, new, ["k"], each=True)
+    assert sorted(tuple(r) for r in diff.row_states.collect()) == [("", "added"), ("1", "changed"), ("1", "unchanged"), ("2", "removed"), ("3", "added")]
+    assert [(r.key, r.old, r.new) for r in render(diff.cell_changes).collect()] == [("1", "1", "7")]
+    by_turn = snapshot_diff(old, new, ["k"]).row_states
+    assert sorted(r.state for r in by_turn.where("key = '1'").collect()) == ["added", "unchanged"]
