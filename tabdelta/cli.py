@@ -81,7 +81,7 @@ def run_merge(spark: SparkSession, args: argparse.Namespace) -> int:
         raise ValueError(f"{unknown[0]['id']} is no conflict")
     merge.check_answers(found, answers)
     changes = merge.change_set(classes, answers)
-    merge.merged_table(base, a, b, key, changes).write.mode("overwrite").parquet(f"{args.out}/table")
+    merge.merged_table(base, a, b, key, changes, classes).write.mode("overwrite").parquet(f"{args.out}/table")
     merge.merge_log(classes, answers).write.mode("overwrite").parquet(f"{args.out}/log")
     n = merge.proposals(classes).count()
     classes.unpersist()

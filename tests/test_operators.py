@@ -16,6 +16,7 @@ from tabdelta.operators import formulas as X
 from tabdelta.operators import merge as M
 from tabdelta.operators.columns import Match, match_columns, pair_sheets
 from tabdelta.operators.diff import render, snapshot_diff
+from tabdelta.operators.impact import self_check
 from tabdelta.operators.keys import detect_key
 from tabdelta.operators.report import summary
 from tabdelta.operators.order import align, common_sequence, pair_in_order
@@ -287,6 +288,19 @@ def test_comparison_without_a_key_or_a_header(spark):
     assert C.detect_table(bare) == C.Table(4, 5, 8, {0: "Column A", 1: "Column B"})
 
 
+def test_merge_of_a_key_twice_in_both_copies(spark):
+    base = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, "y")], "k long, p double, r string")
+    a = base.unionAll(spark.createDataFrame([(1, 5.0, "x")], base.schema))
+    b = base.unionAll(spark.createDataFrame([(1, 6.0, "z")], base.schema))
+    rows = M.classify(M.three_way(base, a, b, "k"), ["p", "r"])
+    answers = M.conflicts(rows).select("id", F.lit("A").alias("choice"), F.lit(None).cast("string").alias("typed"), F.col("key").alias("a_key"), F.col("key").alias("b_key"))
+    changes = M.change_set(rows, answers)
+    merged = M.merged_table(base, a, b, "k", changes, rows)
+    assert sorted(tuple(r) for r in merged.collect()) == [(1, 1.0, "x"), (1, 5.0, "x"), (1, 5.0, "z"), (1, 6.0, "z"), (2, 2.0, "y")]
+    assert self_check(base, merged, "k", changes, rows).first().asDict() == {"expected_rows": 5, "rows": 5, "missing_inserts": 0, "rows_not_deleted": 0, "edits_not_made": 0}
+    assert M.merge_log(rows, answers).count() == changes["cell_edits"].count() == 5
+
+
 def test_rows_of_a_key_meet_each_with_each(spark):
     old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, p double")
     new = spark.createDataFrame([(1, 1.0), (1, 7.0), (3, 3.0), (None, 4.0)], old.schema)
