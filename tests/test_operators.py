@@ -309,3 +309,18 @@ def test_rows_of_a_key_meet_each_with_each(spark):
     assert [(r.key, r.old, r.new) for r in render(diff.cell_changes).collect()] == [("1", "1", "7")]
     by_turn = snapshot_diff(old, new, ["k"]).row_states
     assert sorted(r.state for r in by_turn.where("key = '1'").collect()) == ["added", "unchanged"]
+
+
+def test_composite_key_of_a_table_against_itself_reads_little(spark, monkeypatch):
+    from tabdelta.operators import keys as K
+
+    rows = spark.range(600).selectExpr("id div 30 AS a", "id % 30 AS b", "id % 3 AS c", "id % 7 AS d")
+    cells = as_cells(rows)
+    seen = []
+    monkeypatch.setattr(K, "uniqueness", lambda x, combos, o, plain=K.uniqueness: seen.append(combos) or plain(x, combos, o))
+    monkeypatch.setattr(K, "duplicates", lambda *_: pytest.fail("counted again"))
+    key = detect_key(cells, cells, cells.columns)
+    # of 600 rows, 20 * 3 or 7 * 30 values can't tell all apart, and three columns aren't needed
+    assert seen == [[["b", "a"]]] and (sorted(key.columns), key.mode, key.duplicates) == (["a", "b"], "composite", 0)
+    twice = as_cells(rows.unionAll(rows.limit(3)))
+    assert detect_key(cells, twice, cells.columns).duplicates == 3
