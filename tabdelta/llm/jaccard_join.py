@@ -499,7 +499,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (sim.den * both >= sim.num * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, with_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, with_links: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """``n_shingles``, ``component_id`` and ``n_links`` of each row of ``docs``.
 
     Two documents link if their sets of ``width``-word shingles (words folded A-Z) have a
@@ -511,11 +511,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and blank texts have no shingles and link with nothing.  Rows with a null id take no
     part and are left out.  Rows repeated each give a row; an id with several texts
     belongs with each of these on its own.  An empty table gives an empty result.  Further
-    columns of ``docs`` are ignored.
+    columns of ``docs`` are ignored.  The result reads tables in ``scratch``.
     """
     spark = docs.sparkSession
     sim = Similarity(num, den)
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = scratch.save(_features(texts, width, sim))
 
@@ -541,12 +541,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if pairs.isEmpty() and (not first or big.isEmpty()):
             break
         done = scratch.save(_verified(pairs, classes, sim))
-        tried = done if tried is None else scratch.save(tried.unionAll(done))
+        scratch.drop(pairs)
+        before, tried = tried, done if tried is None else scratch.save(tried.unionAll(done))
         if not done.where("linked").isEmpty():
             labels = components(tried.where("linked"), scratch)
+        if before is not None:
+            scratch.drop(before, done)
         tries, first = tries * MORE, False
         # only cells that had survivors can have more; large ones were searched in parts
-        live = scratch.save(live.join(found.select("cell").unionAll(big.select("cell")).distinct(), "cell", "left_semi"))
+        before, live = live, scratch.save(live.join(found.select("cell").unionAll(big.select("cell")).distinct(), "cell", "left_semi"))
+        scratch.drop(found, *[before] * (before is not cells))
+    scratch.drop(found, pairs)
 
     # what a class has is found for classes first, so that only one join meets the rows of a group of copies
     copies = scratch.save(known.where(F.col("n") > 0).groupBy("cls", "check").agg(F.count("*").alias("copies"), F.min("id").alias("low")))
@@ -569,6 +574,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows go by id: rows repeated with the id that stays all stay, and an id with several texts goes if
     any of these is a copy of a text with a lower id.
     """
-    found = jaccard_components(docs, id_col, text_col, width, num, den, with_links=False)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(Scratch(docs.sparkSession, "jaccard").save(gone), id_col, "left_anti")
+    work = Scratch(docs.sparkSession, "jaccard")
+    found = jaccard_components(docs, id_col, text_col, width, num, den, with_links=False, scratch=work)
+    gone = Scratch(docs.sparkSession, "jaccard").save(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    work.clear()
+    return docs.join(gone, id_col, "left_anti")

@@ -33,9 +33,14 @@ class Scratch:
         self._files.deleteOnExit(path)
 
     def save(self, df: DataFrame, compression: str | None = None) -> DataFrame:
-        """Write ``df`` and return it read back."""
+        """Write ``df`` and return it read back.
+
+        The shuffles behind it are done with then.  Spark deletes their files when the driver collects garbage, which it
+        seldom does by itself, so it is asked to.
+        """
         path = f"{self.root}/{len(self._saved)}"
         df.write.parquet(path, compression=compression)
+        self.spark._jvm.java.lang.System.gc()
         table = self.spark.read.schema(df.schema).parquet(path)
         self._saved.append((table, path))
         return table
@@ -47,6 +52,10 @@ class Scratch:
                 if saved is table:
                     self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
 
+    def clear(self) -> None:
+        """Delete all saved tables, when what they led to is written elsewhere."""
+        self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)
+
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
