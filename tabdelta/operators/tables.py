@@ -25,8 +25,13 @@ def first_text(cells: DataFrame) -> DataFrame:
 
 
 def totals_rows(cells: DataFrame) -> DataFrame:
-    """``r, label`` of rows that begin with a total's label."""
-    return first_text(cells).where(trim(F.col("text")).rlike(TOTAL)).select("r", trim(F.col("text")).alias("label"))
+    """``r, label`` of rows that begin with a total's label.
+
+    Rows without such a text in any cell are left behind before the first cells of rows are sought.
+    """
+    label = (F.col("cell.kind") == STRING) & trim(F.col("cell.text")).rlike(TOTAL)
+    asked = cells.where(label).select("r").distinct()
+    return first_text(cells.join(asked, "r", "left_semi")).where(trim(F.col("text")).rlike(TOTAL)).select("r", trim(F.col("text")).alias("label"))
 
 
 def header_scores(cells: DataFrame) -> DataFrame:
