@@ -15,6 +15,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Tables of one run of an operator, in a folder of their own."""
@@ -35,11 +38,16 @@ class Scratch:
     def save(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         """Write ``df`` and return it read back.
 
-        The shuffles behind it are done with then.  Spark deletes their files when the driver collects garbage, which it
-        seldom does by itself, so it is asked to.
+        The shuffles behind it are done with then, and Spark deletes their files as the write ends.  What it remembers of
+        them goes when the driver collects garbage, which it seldom does by itself, so it is asked to.
         """
         path = f"{self.root}/{len(self._saved)}"
-        df.write.parquet(path, compression=compression)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path, compression=compression)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.spark._jvm.java.lang.System.gc()
         table = self.spark.read.schema(df.schema).parquet(path)
         self._saved.append((table, path))
