@@ -285,7 +285,10 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``cls, n, point, shingles`` of the classes in ``wanted(cls, id)``, made anew from the texts of these ids."""
+    """``cls, n, point, shingles`` of the classes in ``wanted(cls, id, rows)``, made anew from the texts of these ids.
+
+    Sets are wide, so only those of ids of which several rows have the text are shuffled, to keep one of each.
+    """
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,9 +300,12 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    found = texts.join(broadcast_if_small(wanted, BROADCAST_IDS), "id")
-    made = map_text(found.select("cls", "text"), run, "cls long, n long, point binary, shingles array<long>")
-    return made.dropDuplicates(["cls"])  # repeated rows
+    def made(some: DataFrame) -> DataFrame:
+        found = texts.join(broadcast_if_small(some.select("cls", "id"), BROADCAST_IDS), "id")
+        return map_text(found.select("cls", "text"), run, "cls long, n long, point binary, shingles array<long>")
+
+    once, repeated = wanted.where("rows = 1"), wanted.where("rows > 1")
+    return made(once) if repeated.isEmpty() else made(once).unionAll(made(repeated).dropDuplicates(["cls"]))
 
 
 def _survivors(members: DataFrame, sim: Similarity, tries: int) -> DataFrame:
@@ -492,7 +498,10 @@ def _links(labels: DataFrame, weights: DataFrame, classes: DataFrame, sim: Simil
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """``a, b, linked`` by the exact overlap of the sets."""
+    """``a, b, linked`` by the exact overlap of the sets; only those of some pair are shuffled, while they are few."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    if asked.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(asked), "cls", "left_semi")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -517,14 +526,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sim = Similarity(num, den)
     scratch = scratch or Scratch(spark, "jaccard")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = scratch.save(_features(texts, width, sim))
+    features = scratch.save(_features(texts, width, sim))
 
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = known.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "cls")
+    keyed = features.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "cls")
     shared = _shared_cells(keyed.repartitionByRange(partitions, "key", "cls").sortWithinPartitions("key", "cls"))
     cells = scratch.save(shared.distinct())
-    met = known.where(F.col("keys").isNotNull()).join(cells.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("id"))
+    # the keys are most of it, and their work is done
+    known = scratch.save(features.drop("keys"))
+    scratch.drop(features)
+    # aggregated before the join, so that the rows of a group of copies don't meet in it
+    lowest_row = known.groupBy("cls", "id").agg(F.count("*").alias("rows")).groupBy("cls").agg(F.min(F.struct("id", "rows")).alias("x"))
+    met = scratch.save(lowest_row.join(cells.select("cls").distinct(), "cls", "left_semi").select("cls", "x.*"))
     classes = scratch.save(_sets(texts, met, width))
+    scratch.drop(met)
     by_cell = cells.groupBy("cell").agg(F.min(F.struct("cls", "chunk")).alias("head"), F.collect_set("chunk").alias("chunks"))
     big = scratch.save(by_cell.where(F.size("chunks") > 1))
 

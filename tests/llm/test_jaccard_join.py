@@ -158,3 +158,21 @@ def test_empty_table_and_no_pairs(docs_of):
     assert J.jaccard_components(docs_of([])).count() == 0
     assert [tuple(r) for r in J.jaccard_components(docs_of([(4, "a b c d e")])).collect()] == [(4, 2, 4, 0)]
     assert len(shingle_set("a b c d e", 4)) == 2
+
+
+def test_sets_are_shuffled_only_where_rows_repeat_or_pairs_ask(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(6)], "id long, text string")
+    known = J._features(texts, 4, J.Similarity(85, 100)).select("cls", "id").collect()
+    wanted = [(r["cls"], r["id"]) for r in known]
+
+    def sets(rows: int, of):
+        return J._sets(of, spark.createDataFrame([(c, i, rows) for c, i in wanted], "cls long, id long, rows long"), 4)
+
+    once = sets(1, texts)
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["cls"] for r in once.collect()) == sorted(c for c, _ in wanted)
+    assert sorted(r["cls"] for r in sets(2, texts.unionAll(texts)).collect()) == sorted(c for c, _ in wanted)
+    (a, _), (b, _) = wanted[:2]
+    found = J._verified(spark.createDataFrame([(a, b)], "a long, b long"), once, J.Similarity(85, 100))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    assert [tuple(r) for r in found.collect()] == [(a, b, False)]
