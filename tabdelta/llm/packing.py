@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 import os
+import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -29,8 +31,12 @@ from .textkit import map_text
 CAPACITY = 4096
 #: Pieces packed together, about.
 GROUP = 16_384
-#: Words whose ids a worker keeps, about, in two halves: the newer half takes over words in use.
+#: Words whose ids a worker keeps, about; beyond it the half used last stays.
 _KNOWN = 500_000
+#: Runs of signs whose ids it keeps, about.
+_TAILS = 10_000
+#: Signs that the tokenizer cuts off from letters before them; an apostrophe may stay with the letters behind it.
+_SIGNS = string.punctuation.replace("'", "")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -40,7 +46,7 @@ class Encoder:
 
     Such a tokenizer treats what stands between spaces on its own, so a worker encodes
     each distinct word once and keeps its ids.  New words of letters alone are encoded many
-    at a time and told apart by the tokens that end a word.
+    at a time and told apart by the tokens that end a word; signs behind letters are encoded once.
     """
 
     def __init__(self, path: str):
@@ -48,14 +54,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_binary())
+        self.ids = np.empty(0, "<u4")  # of all words, one after another
+        self.bounds = np.zeros(1, np.int64)
+        self.used = np.empty(0, np.int64)  # when a word was last asked for
+        self.turn = 0
         ends = sorted(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
         # added tokens are sought in the text as it is, inside of words too; texts that may hold one are encoded whole
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(".,", self._apart([".", ","]), strict=True))
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -81,32 +90,76 @@ class Encoder:
                 at = end
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        known, marks = self.known, self.marks
-        letters = {w for w in new if w.isalpha()}
-        marked = {w for w in new - letters if w[-1:] in marks and w[:-1].isalpha()}
-        stems = letters.union(w[:-1] for w in marked if w[:-1] not in known)
-        for words, encode in ((list(stems), self._together), (list(new - letters - marked), self._apart)):
-            known.update(zip(words, encode(words), strict=True))
-        known.update({w: known[w[:-1]] + marks[w[-1]] for w in marked})
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of new words; letters and the signs behind them are pieces of their own to the tokenizer."""
+        if len(self.tails) > _TAILS:
+            self.tails.clear()
+        made: dict[str, bytes] = {}
+        letters, other, marked = [], [], []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+                continue
+            stem = w.rstrip(_SIGNS)
+            # some letters are composed or folded into a letter and a mark, which goes with the signs
+            if len(stem) < len(w) <= len(stem) + 8 and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
+                marked.append((w, stem, w[len(stem) :]))
+            else:
+                other.append(w)
+        stems = list({stem for _, stem, _ in marked}.difference(letters))
+        known = self._known(pa.array([x.encode("utf-8", "surrogatepass") for x in stems], pa.large_binary())).to_pylist()
+        made.update((x, self.ids[self.bounds[k] : self.bounds[k + 1]].tobytes()) for x, k in zip(stems, known, strict=True) if k is not None)
+        letters += [x for x, k in zip(stems, known, strict=True) if k is None]
+        tails = list({tail for _, _, tail in marked}.difference(self.tails))
+        self.tails.update(zip(tails, self._apart(tails), strict=True))
+        for some, encode in ((letters, self._together), (other, self._apart)):
+            made.update(zip(some, encode(some), strict=True))
+        made.update((w, made[stem] + self.tails[tail]) for w, stem, tail in marked)
+        return [made[w] for w in words]
+
+    def _known(self, words: pa.Array) -> pa.Array:
+        return pc.index_in(words, value_set=self.words)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those kept; new ones are learned, and the ones longest unused go if there are too many."""
+        self.turn += 1
+        if len(self.words) > _KNOWN:
+            stay = np.sort(np.argsort(self.used, kind="stable")[-_KNOWN // 2 :])
+            size = np.diff(self.bounds)
+            self.ids = self.ids[np.repeat(np.isin(np.arange(len(size)), stay), size)]
+            self.bounds = np.concatenate([[0], np.cumsum(size[stay])])
+            self.words, self.used = self.words.take(pa.array(stay)), self.used[stay]
+        found = self._known(words)
+        new = found.is_null()
+        places = found.fill_null(0).to_numpy().astype(np.int64)
+        if pc.any(new).as_py():
+            fresh = words.filter(new)
+            ids = self._learn([w.decode("utf-8", "surrogatepass") for w in fresh.to_pylist()])
+            places[new.to_numpy(zero_copy_only=False)] = np.arange(len(fresh)) + len(self.words)
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+            self.used = np.concatenate([self.used, np.empty(len(fresh), np.int64)])
+        self.used[places] = self.turn
+        return places
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Words are cut and told apart by Arrow, and ids are put in their place by NumPy; Python sees distinct words only.
+        """
         # A-Z are folded first, so that a word is kept once; the tokenizer folds the rest
-        folded = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+        folded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
         apart = [i for i, t in enumerate(folded) if any(a in t for a in self.added)]
         whole = dict(zip(apart, self._apart([texts[i] for i in apart]), strict=True))
-        parts = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(folded)]
-        if len(self.known) > _KNOWN // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = {w for p in parts for w in p if w not in known}
-        if older:
-            known.update({w: older[w] for w in new if w in older})
-            new = {w for w in new if w not in known}
-        if new:
-            self._learn(new)
-        return [whole[i] if i in whole else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
+        parts = pc.split_pattern(pa.array([b"" if i in whole else t.replace(b"\n", b" ") for i, t in enumerate(folded)], pa.large_binary()), b" ")
+        coded = parts.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        starts, sizes = self.bounds[place], np.diff(self.bounds)[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        made = self.ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+        bounds = ends[parts.offsets.to_numpy()].tolist()
+        return [whole[i] if i in whole else made[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -114,3 +114,20 @@ def test_sum_of_squares_by_definition():
         assert options[s] == min(options.values()) if options else s == len(gaps)
         assert o == 20 - gaps.get(s, 20)
         gaps[s] = gaps.get(s, 20) - size
+
+
+def test_letters_that_fall_apart_keep_their_mark_with_the_signs_behind():
+    odd = ["İ, x İ.", "सक़, a", "it's don't, 'tis' rock'n'roll,", "a_b_ c__ 9, x²., ²,", "fiﬁ. ß!! ΑΣ,", "é, a̸≮ b&&&", "x.́ y,̂", "日本, 한.", "a" * 3000 + ",", "z" + "." * 30, "", " "]
+    encoder = P.Encoder(tokenizer_path())
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+    assert encoder.encode(odd) == want
+    assert encoder.encode(odd[::-1]) == want[::-1]
+
+
+def test_words_that_go_are_learned_again(monkeypatch):
+    monkeypatch.setattr(P, "_KNOWN", 40)
+    encoder = P.Encoder(tokenizer_path())
+    texts = [" ".join(f"{a}{b}{sign}" for b in "xyzuvw") for a in "abcdefgh" for sign in ("", ",", "&&&")] * 2
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [encoder.encode([t])[0] for t in texts] == want
+    assert len(encoder.words) <= 40 + 6
