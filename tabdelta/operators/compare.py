@@ -130,16 +130,17 @@ def column_map(c: Comparison, old_columns: int) -> dict[int, int]:
 def column_facts(df: DataFrame, names: list[str], o: CompareOptions = CompareOptions()) -> dict[str, dict[str, int]]:
     """Counts of filled cells, kinds, dates and identifiers of all columns, in one pass.
 
-    Cells are spread out first, so that the rules on texts are planned once and not for each column.
+    Cells are spread out first, so that the rules on texts are planned once and not for each column; each task counts
+    its equal texts, and only distinct ones are looked at.
     """
     cells = F.array(*[F.struct(F.lit(k).alias("k"), cell_of(df, name).alias("cell")) for k, name in enumerate(names)])
     long = df.select(F.inline(cells)) if names else df.limit(0).select(F.lit(0).alias("k"), cell(EMPTY).alias("cell"))
     c = F.col("cell")
-    text = F.when(c["kind"] == STRING, c["text"])
-    date = (c["kind"] == DATE) | parse_text_date(text, o.date_order).isNotNull()
-    facts = long.where(~is_empty(c)).select("k", c["kind"].alias("kind"), date.alias("date"), F.coalesce(trim(text).rlike(ID_LIKE), F.lit(False)).alias("id_like"))
-    counts = [F.count("*").alias("filled"), F.count_if("date").alias("dates"), F.count_if("id_like").alias("id_like"), *[F.count_if(F.col("kind") == x).alias(f"kind{x}") for x in range(6)]]
-    found = {r["k"]: r.asDict() for r in facts.groupBy("k").agg(*counts).collect()}
+    each = long.where(~is_empty(c)).groupBy("k", c["kind"].alias("kind"), F.when(c["kind"] == STRING, c["text"]).alias("text")).agg(F.count("*").alias("n"))
+    date = (F.col("kind") == DATE) | parse_text_date(F.col("text"), o.date_order).isNotNull()
+    counts = {"filled": F.lit(True), "dates": date, "id_like": trim(F.col("text")).rlike(ID_LIKE), **{f"kind{x}": F.col("kind") == x for x in range(6)}}
+    sums = [F.coalesce(F.sum(F.when(met, F.col("n"))), F.lit(0)).alias(name) for name, met in counts.items()]
+    found = {r["k"]: r.asDict() for r in each.groupBy("k").agg(*sums).collect()}
     return {name: {n: found.get(k, {}).get(n, 0) for n in ("filled", "dates", "id_like", *(f"kind{x}" for x in range(6)))} for k, name in enumerate(names)}
 
 

@@ -30,8 +30,14 @@ ROWS = 100_000
 CHURN = 0.4
 #: Rows of a gap compared at a time.
 HUNK = 2_000
-#: Neighbouring anchors searched for runs in one task.
+#: Neighbouring anchors searched for runs in one task, and rows searched for the last anchor before them.
 BLOCK = 4_096
+#: Stretches of rows sought in gaps that stay wide: how many rows they have, and of how many, by their hash, one is sought.
+STRETCHES = ((16, 64), (8, 64), (4, 64))
+#: A stretch found more often than this is no anchor.
+OFTEN = 1_000
+#: Rows of gaps aligned in one call, on average.
+BATCH = 20_000
 #: Runs of anchors put in increasing order in one task.
 RUNS = 2_000_000
 
@@ -218,12 +224,38 @@ def _anchors(rows: DataFrame, keys: list[str], most: int, work: Scratch) -> Data
     return pairs.join(_kept_runs(runs, most, work), ["g", "run"]).select("g", "i", "old_r", "new_r")
 
 
+def _stretches(rows: DataFrame, length: int, share: int) -> DataFrame:
+    """``g, side, r, seed, k``: starts of stretches of ``length`` rows that ``g`` has as often on both sides, numbered; one of ``share`` by its hash."""
+    block = F.expr(f"r div {BLOCK}")
+    # the first rows of a block end stretches of the block before, too
+    blocks = F.array_compact(F.array(block, F.when(F.col("r") % BLOCK < length - 1, block - 1)))
+    by = Window.partitionBy("g", "side", "_b").orderBy("r")
+    lanes = rows.select("g", "side", "r", F.col("hash").alias("seed"), F.explode(blocks).alias("_b")).withColumn("_last", F.lead("r", length - 1).over(by))
+    step = 1
+    while step < length:
+        lanes, step = lanes.withColumn("seed", F.xxhash64("seed", F.lead("seed", step).over(by))), 2 * step
+    starts = lanes.where((F.col("_b") == block) & F.col("_last").isNotNull() & (F.pmod("seed", F.lit(share)) == 0)).select("g", "side", "r", "seed")
+    a, b = (F.count_if(F.col("side") == k) for k in (0, 1))
+    often = starts.groupBy("g", "seed").agg(a.alias("_a"), b.alias("_n")).where((F.col("_a") == F.col("_n")) & (F.col("_n") <= OFTEN)).select("g", "seed")
+    return starts.join(often, ["g", "seed"]).withColumn("k", F.row_number().over(Window.partitionBy("g", "side", "seed").orderBy("r")))
+
+
 def _cut(rows: DataFrame, anchors: DataFrame, work: Scratch) -> DataFrame:
-    """``rows`` without the anchors, with the last anchor before them put to their ``g``."""
+    """``rows`` without the anchors, with the last anchor before them put to their ``g``.
+
+    Blocks of rows are gone through on their own; the last anchor before a block is carried on, a row for each block.
+    """
+    block = F.expr(f"r div {BLOCK}")
     places = anchors.select("g", "i", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old_r").alias("r")), F.struct(F.lit(1).alias("side"), F.col("new_r").alias("r")))))
-    lanes = rows.join(places, ["g", "side", "r"], "left").withColumn("_lane", F.struct("g", "side"))
-    cut = running_last(lanes, ["r"], F.col("i"), "_after", part="_lane").where("i IS NULL")
-    return work.save(cut.select(F.concat_ws(":", "g", F.coalesce(F.col("_after").cast("string"), F.lit(""))).alias("g"), *[c for c in rows.columns if c != "g"]))
+    at = ["g", "side", "_b"]
+    filled = rows.select("g", "side", block.alias("_b")).distinct().join(places.groupBy("g", "side", block.alias("_b")).agg(F.max("i").alias("_i")), at, "left")
+    earlier = Window.partitionBy("g", "side").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = filled.select(*at, F.max("_i").over(earlier).alias("_carried"))
+    own = Window.partitionBy(*at).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    # anchors rise with the rows, so the last one is the highest
+    lanes = rows.join(places, ["g", "side", "r"], "left").withColumn("_b", block).withColumn("_own", F.max("i").over(own)).where("i IS NULL").join(carried, at)
+    after = F.coalesce(F.coalesce("_own", "_carried").cast("string"), F.lit(""))
+    return work.save(lanes.select(F.concat_ws(":", "g", after).alias("g"), *[c for c in rows.columns if c != "g"]))
 
 
 def _wide(rows: DataFrame, work_limit: int, row_limit: int) -> DataFrame:
@@ -234,27 +266,119 @@ def _wide(rows: DataFrame, work_limit: int, row_limit: int) -> DataFrame:
     return sizes.select("g", both.alias("both"), (both & ((F.col("n") * F.col("m") > work_limit) | (F.col("n") + F.col("m") > row_limit))).alias("wide"))
 
 
-def gap_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """``old_r, new_r, state, hash`` of the rows between two anchors: same in order, similar, or one side alone."""
-    left, right = (x.sort_values("r").reset_index(drop=True) for x in (left, right))
-    made = align(left, right, moves=False)
-    own, other = (dict(zip(x["r"], x["hash"], strict=True)) for x in (left, right))
-    made["hash"] = [other[j] if pd.isna(i) else own[i] for i, j in zip(made["old_r"], made["new_r"], strict=True)]
-    return made.drop(columns="multiset")
+def _embedded(part: list[int], whole: list[int]) -> list[int] | None:
+    """Where the items of ``part`` stand in ``whole``, in order; none if they don't."""
+    at, found = -1, []
+    try:
+        for x in part:
+            at = whole.index(x, at + 1)
+            found.append(at)
+    except ValueError:
+        return None
+    return found
+
+
+def _in_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a longest common subsequence; where rows were only dropped, or only added, one walk finds it."""
+    short, whole = (b, a) if len(b) <= len(a) else (a, b)
+    at = _embedded(short.tolist(), whole.tolist())
+    if at is None:
+        pairs = np.array(common_sequence(a, b), np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+    both = np.array(at, np.int64), np.arange(len(short), dtype=np.int64)
+    return both if len(b) <= len(a) else both[::-1]
+
+
+def _each_gap(rows: pd.DataFrame, *names: str):
+    """The gaps of a batch: part and name, and each column of ``names`` of its old and of its new rows, in order."""
+    rows = rows.sort_values(["g", "side", "r"])
+    part, g, side, *columns = (rows[c].to_numpy() for c in ("part", "g", "side", *names))
+    cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(rows)]
+    news = np.add.reduceat(side, cuts[:-1]).tolist()
+    for first, last, n in zip(cuts, cuts[1:], news, strict=False):
+        yield part[first], g[first], *[(c[first : last - n], c[last - n : last]) for c in columns]
+
+
+_FOUND = "part string, g string, old_r long, new_r long, hash long"
+_NONE = np.zeros(0, np.int64)
+
+
+def _same_in_gaps(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows ``part, g, old_r, new_r, hash`` of gaps ``g, part, side, r, hash``: pairs that are the same in order, and all others alone.
+
+    ``g`` of a row left alone names the place between two pairs, where rows of the other side are left, too.
+    """
+    out = []
+    for part, g, (a, b), (r, s) in _each_gap(rows, "hash", "r"):
+        i, j = _in_both(a, b)
+        left, right = _others(len(a), i), _others(len(b), j)
+        places = [None] * (len(i) + len(left) + len(right))
+        if len(left) and len(right):
+            hunks = [np.searchsorted(x, y).tolist() for x, y in ((i, left), (j, right))]
+            shared = set(hunks[0]) & set(hunks[1])
+            places[len(i) :] = [f"{g}.{h}" if h in shared else None for hunk in hunks for h in hunk]
+        out.append((part, places, r, s, a, b, i, j, left, right))
+    return _found(out)
+
+
+def _similar_in_gaps(rows: pd.DataFrame) -> pd.DataFrame:
+    """As ``_same_in_gaps``, of gaps without equal rows in order: pairs are similar rows; ``tokens`` are compared."""
+    out = []
+    for part, _, (a, b), (r, s), (old, new) in _each_gap(rows, "hash", "r", "tokens"):
+        i, j = np.array(_similar(list(range(len(a))), list(range(len(b))), list(old), list(new)), np.int64).reshape(-1, 2).T
+        left, right = _others(len(a), i), _others(len(b), j)
+        out.append((part, [None] * (len(i) + len(left) + len(right)), r, s, a, b, i, j, left, right))
+    return _found(out)
+
+
+def _others(n: int, taken: np.ndarray) -> np.ndarray:
+    """The numbers below ``n`` that aren't taken."""
+    if len(taken) == n:
+        return _NONE
+    free = np.ones(n, bool)
+    free[taken] = False
+    return np.flatnonzero(free)
+
+
+def _found(gaps: list[tuple]) -> pd.DataFrame:
+    """Gaps as one table; -1 stands for no row."""
+    old, new, hashes, parts, places = [], [], [], [], []
+    for part, at, r, s, a, b, i, j, left, right in gaps:
+        old += [r[i], r[left], np.full(len(right), -1)]
+        new += [s[j], np.full(len(left), -1), s[right]]
+        hashes += [a[i], a[left], b[right]]
+        parts += [part] * len(at)
+        places += at
+    old, new = (pd.Series(np.concatenate(x)).astype("Int64") for x in (old, new))
+    return pd.DataFrame({"part": parts, "g": pd.Series(places, dtype=object), "old_r": old.where(old >= 0), "new_r": new.where(new >= 0), "hash": np.concatenate(hashes)})
+
+
+def _batches(gaps: DataFrame, rows: int) -> DataFrame:
+    """``gaps`` with whole gaps in batches of ``BATCH`` of all ``rows`` on average."""
+    return gaps.groupBy(F.pmod(F.xxhash64("g"), F.lit(1 + rows // BATCH)).alias("_batch"))
 
 
 def align_large(old: DataFrame, new: DataFrame, work_limit: int = WORK, row_limit: int = ROWS, hunk: int = HUNK, most: int = RUNS) -> DataFrame:
     """``part, old_r, new_r, state`` of parts of any size; ``old`` and ``new`` hold ``part, r, hash, tokens``.
 
-    Anchors are rows found once on both sides, and in gaps that stay wide the k-th of equal rows with
-    the k-th.  A gap that is still wide is aligned in windows of ``hunk`` rows of both sides.  Rows left over that are equal have moved,
-    the first with the first, wherever they stand in the part.
+    Anchors are rows found once on both sides.  In gaps that stay wide, starts of stretches of rows that are found as often on both sides are
+    anchors too, of shorter ones if need be, and then the k-th of equal rows with the k-th.  A gap that is still wide is aligned
+    in windows of ``hunk`` rows of both sides.  Rows left over that are equal have moved, the first with the first, wherever they stand in the part.
     """
     work = Scratch(old.sparkSession, "order")
     sides = [df.select("part", F.lit(k).alias("side"), "r", "hash") for k, df in enumerate((old, new))]
     rows = work.save(sides[0].unionByName(sides[1]).withColumn("g", F.col("part")))
     same = work.save(_anchors(rows, ["hash"], most, work).select(F.col("g").alias("part"), "old_r", "new_r"))
-    rest = _cut(rows, _renumbered(same), work)
+    rest = rows if same.isEmpty() else _cut(rows, _renumbered(same), work)
+    for length, share in STRETCHES:
+        wide = work.save(_wide(rest, work_limit, row_limit).where("wide").select("g"))
+        if wide.isEmpty():
+            break
+        inside = rest.join(wide, "g", "left_semi")
+        more = work.save(_anchors(work.save(_stretches(inside, length, share)), ["seed", "k"], most, work))
+        if not more.isEmpty():
+            same = same.unionByName(more.join(inside.select("g", "part").distinct(), "g").select("part", "old_r", "new_r"))
+            rest = work.save(rest.join(wide, "g", "left_anti").unionByName(_cut(inside, more, work)))
     sizes = work.save(_wide(rest, work_limit, row_limit))
     if not sizes.where("wide").isEmpty():
         wide = rest.join(sizes.where("wide").select("g"), "g", "left_semi")
@@ -272,22 +396,18 @@ def align_large(old: DataFrame, new: DataFrame, work_limit: int = WORK, row_limi
         sizes = work.save(_wide(rest, work_limit, row_limit))
     both = rest.join(sizes.where("both").select("g"), "g", "left_semi")
     alone = rest.join(sizes.where("both").select("g"), "g", "left_anti")
-    # texts of rows go only into gaps that have rows of both sides
+    found = work.save(_batches(both, both.count()).applyInPandas(_same_in_gaps, _FOUND))
+    # texts of rows go only where rows of both sides are left between equal ones
+    left = found.where("g IS NOT NULL").select("part", "g", F.when(F.col("old_r").isNotNull(), 0).otherwise(1).alias("side"), F.coalesce("old_r", "new_r").alias("r"), "hash")
     texts = [df.select("part", F.lit(k).alias("side"), "r", "tokens") for k, df in enumerate((old, new))]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        made = gap_pairs(*(rows[rows["side"] == k] for k in (0, 1)))
-        made.insert(0, "part", rows["part"].iloc[0])
-        return made
-
-    gaps = both.join(texts[0].unionByName(texts[1]), ["part", "side", "r"])
-    near = work.save(gaps.groupBy("g").applyInPandas(run, "part string, old_r long, new_r long, state string, hash long"))
-    single = [near.where(f"state = '{state}'").select("part", "hash", F.col(r).alias("r")).unionByName(alone.where(F.col("side") == k).select("part", "hash", "r")) for k, (r, state) in enumerate((("old_r", "removed"), ("new_r", "added")))]
+    near = work.save(_batches(left.join(texts[0].unionByName(texts[1]), ["part", "side", "r"]), left.count()).applyInPandas(_similar_in_gaps, _FOUND))
+    paired, over = "old_r IS NOT NULL AND new_r IS NOT NULL", found.where("g IS NULL").unionByName(near)
+    single = [over.where(f"{other} IS NULL").select("part", "hash", F.col(r).alias("r")).unionByName(alone.where(F.col("side") == k).select("part", "hash", "r")) for k, (r, other) in enumerate((("old_r", "new_r"), ("new_r", "old_r")))]
     olds, news = (number_within(x, ["part", "hash"], "r", "k").withColumnRenamed("r", r) for x, r in zip(single, ("old_r", "new_r"), strict=True))
     state = F.when(F.col("old_r").isNull(), "added").when(F.col("new_r").isNull(), "removed").otherwise("moved")
     moved = olds.join(news, ["part", "hash", "k"], "full_outer").select("part", "old_r", "new_r", state.alias("state"))
-    paired = near.where("state IN ('same', 'similar')").drop("hash")
-    return same.withColumn("state", F.lit("same")).unionByName(paired).unionByName(moved)
+    in_order = [x.select("part", "old_r", "new_r").withColumn("state", F.lit(state)) for x, state in ((same, "same"), (found.where(paired), "same"), (near.where(paired), "similar"))]
+    return in_order[0].unionByName(in_order[1]).unionByName(in_order[2]).unionByName(moved)
 
 
 def _renumbered(anchors: DataFrame) -> DataFrame:
