@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import col_to_letter, rc_to_a1
 from ..functions.values import DATE, EMPTY, ID_LIKE, NUMBER, STRING, cell, cell_of, display_key, is_empty, named, parse_text_date, scalar_text, trim
 from ..options import CheckOptions, CompareOptions
+from ..sources.scratch import Scratch
 from ..sources.snapshots import number_as_read
 from . import checks as K
 from .columns import Match, match_columns, pair_sheets, sheet_scores, signature
@@ -183,13 +184,14 @@ def _in_order(old: DataFrame, new: DataFrame, names: list[str], o: CompareOption
 
 def compare_tables(
     old: DataFrame, new: DataFrame, o: CompareOptions = CompareOptions(), options: CheckOptions = CheckOptions(), name: str = "Sheet1",
-    given: list[str] | None = None, sheets: list[Match] = (), with_kinds: bool = True, formulas: DataFrame | None = None, table: Table | None = None, old_name: str | None = None,
+    given: list[str] | None = None, sheets: list[Match] = (), with_kinds: bool = True, formulas: DataFrame | None = None, table: Table | None = None, old_name: str | None = None, save: bool = False,
 ) -> Comparison:
     """Compare two tables of typed columns or cells.
 
     ``given`` names key columns of the new table.  A column ``_r`` holds row numbers; without it rows
     are numbered as they are read if there is no key.  ``formulas(id, sheet, formula, r, c)`` of
-    the new workbook and the ``table`` they point to add the check of totals.
+    the new workbook and the ``table`` they point to add the check of totals.  With ``save``, pairs of rows are
+    written once; formulas that are followed read them several times, each with other columns.
     """
     old_names, new_names = ([c for c in df.columns if c != _ROW] for df in (old, new))
     facts = [column_facts(df, names, o) for df, names in ((old, old_names), (new, new_names))]
@@ -217,6 +219,9 @@ def compare_tables(
         matched_by, moved = pairs.sparkSession.createDataFrame([("key",)], "matched_by string"), 0
         row_pairs = pairs.select(F.col(f"old.{_ROW}").alias("old_r"), F.col(f"new.{_ROW}").alias("new_r")) if order is not None else None
     label = _ROW if _ROW in a.columns else None
+    if save:
+        pairs = Scratch(pairs.sparkSession, "pairs").save(pairs)
+        row_pairs = pairs.select(F.col(f"old.{_ROW}").alias("old_r"), F.col(f"new.{_ROW}").alias("new_r")) if label else row_pairs
 
     def finish(moves: DataFrame | None) -> Comparison:
         judged = pairs if moves is None else follow_formulas(pairs, names, moves, old_name or name)
@@ -324,14 +329,19 @@ def compare_sheets(
     tables = [detect_table(x, o.header_row.get(n)) for x, n in ((old, old_name or name), (new, name))]
     rows = [sheet_rows(x, t).persist() for x, t in zip((old, new), tables, strict=True)]
     totals = formula_cells(new, name) if formulas is None else formulas
-    found = compare_tables(*rows, o, options, name, o.keys.get(name), sheets, formulas=totals, table=tables[1], old_name=old_name)
+    with_formulas = has_formulas(old)
+    found = compare_tables(*rows, o, options, name, o.keys.get(name), sheets, formulas=totals, table=tables[1], old_name=old_name, save=with_formulas)
     found.old_table, found.new_table = tables
     found.kept += rows
-    if follow and not old.where("cell.formula IS NOT NULL").isEmpty():
-        return _followed(found, sheet_map(found, old, old_name or name))
+    if follow and with_formulas:
+        return _followed(found, Scratch(old.sparkSession, "moves").save(sheet_map(found, old, old_name or name)))
     return found
 
 
+def has_formulas(cells: DataFrame) -> bool:
+    return not cells.where("cell.formula IS NOT NULL").isEmpty()
+
+
 def sheet_map(c: Comparison, old: DataFrame, sheet: str) -> DataFrame:
     """``sheet, old_row, new_row`` of all rows of an old sheet of long cells."""
     last = old.agg(F.max("r")).first()[0] or 0
@@ -381,11 +391,12 @@ def compare_workbooks(old: dict[str, DataFrame], new: dict[str, DataFrame], o: C
             part = formula_cells(cells, n)
             formulas = part if formulas is None else formulas.unionByName(part)
     found = [compare_sheets(old[m.old], new[m.new], o, options, m.new, m.old, changed if k == 0 else (), formulas, follow=False) for k, m in enumerate(matched)]
-    with_formulas = [not old[m.old].where("cell.formula IS NOT NULL").isEmpty() for m in matched]
+    with_formulas = [has_formulas(old[m.old]) for m in matched]
     if any(with_formulas):
         moves = None
         for m, c in zip(matched, found, strict=True):
-            part = sheet_map(c, old[m.old], m.old)
+            # every sheet's formulas read the rows of all sheets
+            part = Scratch(old[m.old].sparkSession, "moves").save(sheet_map(c, old[m.old], m.old))
             moves = part if moves is None else moves.unionByName(part)
         found = [_followed(c, moves) if x else c for c, x in zip(found, with_formulas, strict=True)]
     return pairs, found
